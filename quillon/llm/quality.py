@@ -10,7 +10,6 @@ damaged part in an otherwise good document.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,16 +33,16 @@ class Band:
 
 #: Whole documents: ratio limits by length in bytes.
 DOCUMENT_BANDS = (
-    Band(400, 1.02, 3.2),
-    Band(1_000, 1.12, 3.8),
-    Band(4_000, 1.20, 4.6),
-    Band(16_000, 1.30, 6.0),
-    Band(64_000, 1.35, 8.0),
-    Band(None, 1.35, 12.0),
+    Band(400, 1.12, 2.5),
+    Band(1_000, 1.20, 2.8),
+    Band(4_000, 1.38, 3.2),
+    Band(16_000, 1.50, 3.6),
+    Band(64_000, 1.60, 4.0),
+    Band(None, 1.60, 4.5),
 )
 #: Fixed chunks; a last chunk under MIN_CHUNK bytes isn't judged.
 CHUNK_BYTES, MIN_CHUNK = 4096, 1024
-CHUNK_BANDS = (Band(2_048, 1.12, 4.6), Band(None, 1.18, 6.5))
+CHUNK_BANDS = (Band(2_048, 1.30, 3.4), Band(None, 1.40, 3.8))
 #: The share of a document's chunks that may lie outside their band.
 BAD_CHUNKS = 0.25
 LEVEL = 3
@@ -152,6 +151,3 @@ def compression_bands(docs: DataFrame, **limits) -> DataFrame:
         return work
 
     return map_columns(docs, ["doc_id", "text"], make, COLUMNS, rows=64)
-
-
-WORD = re.compile(r"[^\x20\x09-\x0D]+")

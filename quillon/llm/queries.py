@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality, shard
+from . import bpe, chat, decontaminate, jaccard, langid, quality, shard, toxicity
 from .common import table
 
 
@@ -17,6 +17,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(
         table(spark, sf_dir, "documents"),
@@ -46,11 +60,19 @@ def op9_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity_mil": op2_toxicity_mil,
+    "op3_string_tiling": op3_string_tiling,
+    "op4_hierarchical_langid": op4_hierarchical_langid,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_compression_bands": op6_compression_bands,
     "op7_histogram_sort": op7_histogram_sort,
     "op9_chat_template": op9_chat_template,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
