@@ -3,9 +3,9 @@
 d = 1 - Jaccard is a metric. Texts of unrelated documents share no shingle, so
 nearly all distances are exactly 1 and a few fixed pivots would tell nothing. The
 pivots are therefore documents found where sets meet: any two linked sets share
-one of the first floor(0.2 n) + 1 shingles of a common order, so each such shingle
-names the smallest set that holds it as pivot, and every holder joins the region of
-that pivot. Each linked pair meets in at least one region.
+some of the first floor(0.2 n) + 1 + n / 25 shingles of a common order, so each such
+shingle names the smallest set that holds it as pivot, and its holders join the
+region of that pivot. Each linked pair meets in at least one region.
 
 A region is joined exactly and recursively (see region.py). A region that is too
 large for a task is dealt into chunks, each with the pivot; what is tied to the
@@ -20,10 +20,12 @@ work and never the result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -37,7 +39,9 @@ SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4000, 4, 200_000
 #: Postings of one part, and sets and shingles that one task holds at once.
 PART_POSTINGS, TASK_SETS, TASK_SHINGLES = 1_000_000, 3_000, 4_000_000
 SHORTEST = 4  # a smaller set is linked with equal sets only
-MET = "kind byte, doc_id long, n long, sig long, pivot long, n_pivot long"
+#: A prefix is longer by a shingle in so many, and sizes are told apart by this factor.
+EXTRA, STEP = 25, 1.06
+MET = "kind byte, doc_id long, n long, sig long, pivot long, shared long"
 
 
 def frequent_shingles(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
@@ -53,12 +57,20 @@ def frequent_shingles(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.nda
     return np.sort(rows["h"].to_numpy(np.int64))
 
 
+def least_shared(n: int) -> int:
+    """How many shingles of both prefixes two linked sets share, the smaller one of n."""
+    return 1 + n // EXTRA
+
+
 def prefix(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first shingles of the common order, enough that linked sets share one."""
+    """The first shingles of the common order: linked sets share least_shared of them.
+
+    floor(n / 5) is as many as may be missing from the other set.
+    """
     n = len(hashes)
     if n < SHORTEST:
         return hashes[:0]
-    take = n // 5 + 1
+    take = n // 5 + least_shared(n)
     if len(frequent) == 0:
         return hashes[:take]
     last = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
@@ -66,24 +78,35 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return rare if len(rare) == take else np.concatenate([rare, hashes[last][: take - len(rare)]])
 
 
+def size_class(n: int) -> int:
+    return int(math.log(max(1, n)) / math.log(STEP))
+
+
+#: Sizes whose classes differ by more can't be linked.
+CLASSES_APART = math.ceil(math.log(1.25) / math.log(STEP)) + 1
+
+
 def meet(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """Rows of documents (kind 0) and of meetings of a set with a pivot (kind 1).
 
-    Postings travel packed, a row for each part and batch, through one exchange; a
-    part is sorted in one task and has about PART_POSTINGS postings.
+    Postings travel packed, 14 bytes each, a row for each part and batch, through
+    one exchange; a part is sorted in one task and has about PART_POSTINGS postings.
+    Keys are cut to 40 bits within a part; two that fall together only cause a
+    needless meeting. A meeting counts the shingles for which another set of a
+    fitting size is there.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(4 * n, -(-docs.count() * 128 // PART_POSTINGS))
+    parts = min(1 << 22, max(4 * n, -(-docs.count() * 160 // PART_POSTINGS)))
     shared = spark.sparkContext.broadcast(frequent)
 
     def packed(batches):
         last = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                ids = batch.column(0).slice(at, 1024)
-                texts = batch.column(1).slice(at, 1024)
-                sizes, sigs, keys, owners, known = [], [], [], [], set()
+            for at in range(0, batch.num_rows, 2048):
+                ids = batch.column(0).slice(at, 2048)
+                texts = batch.column(1).slice(at, 2048)
+                sizes, sigs, keys, owners, known = [], [], [np.empty(0, np.int64)], [np.empty((0, 2), np.int64)], set()
                 for text in texts:
                     hashes = shingle_set(text.as_py())
                     sig = signature(hashes)
@@ -92,19 +115,19 @@ def meet(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     if sig not in known:
                         known.add(sig)
                         keys.append(prefix(hashes, last))
-                        owners.append(np.full((len(keys[-1]), 2), (sig, len(hashes))))
+                        owners.append(np.full((len(keys[-1]), 2), (sig, size_class(len(hashes)))))
                 rows = len(sizes)
-                key = np.concatenate(keys) if keys else np.empty(0, np.int64)
-                owner = np.concatenate(owners) if owners else np.empty((0, 2), np.int64)
-                part = (key.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+                key, owner = np.concatenate(keys).view(np.uint64), np.concatenate(owners)
+                part = ((key >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
-                part, key, owner = part[order], key[order], owner[order]
+                part, owner = part[order], owner[order]
+                cut = np.ascontiguousarray(key[order].view(np.uint8).reshape(-1, 8)[:, :5])
                 edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-                made = [(int(part[a]), key[a:b].tobytes(), owner[a:b, 0].tobytes(), owner[a:b, 1].astype(np.int32).tobytes()) for a, b in zip(edges[:-1], edges[1:])]
+                made = [(int(part[a]), cut[a:b].tobytes(), owner[a:b, 0].tobytes(), owner[a:b, 1].astype(np.uint8).tobytes()) for a, b in zip(edges[:-1], edges[1:])]
                 m = len(made)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([x[0] for x in made] + [(s & 0x7FFFFFFF) % parts if i is None else (i * 2654435761 + s) % parts for i, s in zip(ids.to_pylist(), sigs)], pa.int32()),
+                        pa.array([x[0] for x in made] + [(s ^ 2654435761 * (i or 0)) % parts for i, s in zip(ids.to_pylist(), sigs)], pa.int32()),
                         pa.array([x[1] for x in made] + [None] * rows, pa.binary()),
                         pa.array([x[2] for x in made] + [None] * rows, pa.binary()),
                         pa.array([x[3] for x in made] + [None] * rows, pa.binary()),
@@ -117,21 +140,31 @@ def meet(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     arrow = to_arrow_schema(schema_of(MET))
 
-    def rows_of(kind, doc_id, size, sig, pivot, n_pivot):
+    def rows_of(kind, doc_id, size, sig, pivot, shared_keys):
         count = len(sig)
-        columns = [pa.array(np.full(count, kind, np.int8)), doc_id, size, sig, pivot, n_pivot]
+        columns = [pa.array(np.full(count, kind, np.int8)), doc_id, size, sig, pivot, shared_keys]
         return pa.RecordBatch.from_arrays([(pa.nulls(count, f.type) if c is None else pa.array(c, f.type)) for c, f in zip(columns, arrow)], schema=arrow)
 
     def met(held):
         key, owner, size = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((owner, key))
+        order = np.lexsort((owner, size, key))
         key, owner, size = key[order], owner[order], size[order]
-        first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-        count = np.diff(np.append(first, len(key)))
-        pivot, n_pivot = np.repeat(owner[first], count), np.repeat(size[first], count)
-        apart = owner != pivot
-        pairs = np.unique(np.stack([owner[apart], size[apart], pivot[apart], n_pivot[apart]], axis=1), axis=0)
-        return rows_of(1, None, pairs[:, 1], pairs[:, 0], pairs[:, 2], pairs[:, 3])
+        same = (key[1:] == key[:-1]) & (owner[1:] == owner[:-1])  # a set that several batches have sent
+        once = np.concatenate([np.ones(min(1, len(key)), bool), ~same])
+        key, owner, size = key[once], owner[once], size[once]
+        near = (key[1:] == key[:-1]) & (size[1:] - size[:-1] <= CLASSES_APART)
+        fits = np.zeros(len(key), bool)
+        fits[1:] |= near
+        fits[:-1] |= near
+        key, owner, size = key[fits], owner[fits], size[fits]
+        if not len(key):
+            return rows_of(1, None, key, key, key, key)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        pivot = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(key))))
+        order = np.lexsort((pivot, owner))
+        owner, pivot, size = owner[order], pivot[order], size[order]
+        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (pivot[1:] != pivot[:-1])]))
+        return rows_of(1, None, size[first], owner[first], pivot[first], np.diff(np.append(first, len(owner))))
 
     def gathered(batches):
         part, held = None, []
@@ -148,7 +181,9 @@ def meet(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                         yield met(held)
                         held = []
                     part = p
-                    held.append((np.frombuffer(k, np.int64), np.frombuffer(o, np.int64), np.frombuffer(s, np.int32)))
+                    key = np.zeros((len(s), 8), np.uint8)
+                    key[:, :5] = np.frombuffer(k, np.uint8).reshape(-1, 5)
+                    held.append((key.view(np.int64)[:, 0], np.frombuffer(o, np.int64), np.frombuffer(s, np.uint8).astype(np.int16)))
         if held:
             yield met(held)
 
@@ -156,6 +191,22 @@ def meet(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return sent.repartition(n, "part").sortWithinPartitions("part").mapInArrow(gathered, MET)
 
 
+def regions(met: DataFrame) -> DataFrame:
+    """(sig, region, about_n): the regions in which each set must be joined.
+
+    A set that shares too few shingles with all others together is linked with
+    none. Of the rest, linked sets share least_shared shingles, each in some region
+    of both; so each set may leave its thinnest regions, as long as those hold less
+    than half of that many, and every linked pair still meets.
+    """
+    per = met.groupBy("sig", "pivot").agg(F.sum("shared").alias("shared"), F.first("n").alias("n"))
+    own = Window.partitionBy("sig")
+    smallest = F.floor(F.ceil(F.pow(F.lit(STEP), F.col("n")) * 0.8 - 1e-6) / EXTRA) + 1
+    told = per.withColumn("total", F.sum("shared").over(own)).withColumn("so_far", F.sum("shared").over(own.orderBy("shared", "pivot").rowsBetween(Window.unboundedPreceding, 0)))
+    kept = told.where((F.col("total") >= smallest) & (2 * F.col("so_far") > smallest - 1))
+    return kept.select("sig", F.col("pivot").alias("region"), F.ceil(F.pow(F.lit(STEP), F.col("n") + 1)).cast("long").alias("about_n"))
+
+
 FOUND = "kind byte, a long, b long, region long, d double"
 
 
@@ -217,14 +268,14 @@ def links(docs: DataFrame, task_sets: int = TASK_SETS, task_shingles: int = TASK
     docs = docs.select("doc_id", "text")
     found = checkpoint(meet(docs, frequent_shingles(docs, sample_docs)))
     plain = found.where("kind = 0").select("doc_id", "n", "sig")
-    pairs = found.where("kind = 1").select("sig", "n", "pivot", "n_pivot").distinct()
+    met = checkpoint(regions(found.where("kind = 1").select("sig", "n", "pivot", "shared")))
     classes = plain.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    sizes = pairs.groupBy("pivot").agg((F.count("*") + 1).alias("sets"), (F.sum("n") + F.max("n_pivot")).alias("shingles"))
     chunks = F.greatest(F.ceil(F.col("sets") / task_sets), F.ceil(F.col("shingles") / task_shingles)).cast("int")
-    sizes = sizes.withColumn("chunks", chunks)
-    members = pairs.join(sizes.select("pivot", "chunks"), "pivot").select("sig", F.col("pivot").alias("region"), F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int").alias("task"), (F.col("chunks") > 1).alias("dealt"))
-    pivots = sizes.select(F.col("pivot").alias("sig"), F.col("pivot").alias("region"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("task"), (F.col("chunks") > 1).alias("dealt"))
-    first = checkpoint(join_tasks(with_texts(members.unionByName(pivots), classes, docs)))
+    sizes = met.groupBy("region").agg(F.count("*").alias("sets"), F.sum("about_n").alias("shingles")).where("sets > 1").withColumn("chunks", chunks)
+    members = met.join(sizes.select("region", "chunks"), "region").select("sig", "region", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int").alias("task"), (F.col("chunks") > 1).alias("dealt"))
+    pivots = sizes.where("chunks > 1").select(F.col("region").alias("sig"), "region", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("task"), F.lit(True).alias("dealt"))
+    members = members.where("not dealt or sig != region").unionByName(pivots)
+    first = checkpoint(join_tasks(with_texts(members, classes, docs)))
     edges = first.where("kind = 0").select("a", "b")
     loose = first.where("kind = 2").select(F.col("a").alias("sig"), "region", "d")
     if loose.isEmpty():
