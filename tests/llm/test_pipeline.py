@@ -1,0 +1,51 @@
+"""The pipeline against its parts worked out one by one in plain Python."""
+
+from __future__ import annotations
+
+import public_tokenizers as P
+from tokenizers import Tokenizer
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from quillon.llm import common, langid, queries, secretscan
+from tests.llm import test_decontaminate, test_jaccard
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "BPE encoding and decoding"]
+    docs = common.table(spark, DATA, "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    model = langid.fit(docs)
+    kept = [(d, t) for d, t in rows if (p := model.predict(t))[0] != "und" and p[1] >= corpus_pipeline.LEAST_LANGUAGE_SCORE]
+    first = {c[0] for c in test_jaccard.brute(kept) if c[0] == c[2] or not test_jaccard.set_of(dict(kept)[c[0]])}
+    kept = [(d, t) for d, t in kept if d in first]
+    items = [(r.item_id, r.text) for r in common.table(spark, DATA, "benchmark").collect()]
+    leaked = {x[0] for x in test_decontaminate.brute(kept, items)}
+    network = secretscan.fit()
+    kept = {d: secretscan.redact_text(t, network) for d, t in kept if d not in leaked}
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = sorted((d, library.encode(t, add_special_tokens=False).ids) for d, t in kept.items())
+    got = sorted((r.doc_id, r.ids) for r in corpus_pipeline.run(spark, DATA).collect())
+    assert got == want and 0 < len(got) < len(rows)
+
+
+def test_stages_keep_columns(spark):
+    docs = common.table(spark, DATA, "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, DATA).columns == docs.columns
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, "the and of with that is", "en", "s", 22), (3, "the and of with that is", "en", "s", 22), (None, "the and of", None, None, 1), (4, "123", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA)
+    assert sorted((r.doc_id for r in docs.collect()), key=str) == [3, 3, None]
+
+
+def test_registered():
+    names = entry.queries()
+    assert all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)) and "pipeline" in names
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
