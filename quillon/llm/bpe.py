@@ -16,12 +16,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import sys
 import unicodedata
 from dataclasses import dataclass
 
 import ahocorasick
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from .common import map_columns
 
@@ -30,6 +33,22 @@ WORDS_CACHED, PAIRS_CACHED = 400_000, 2_000_000
 FOREVER = 1 << 60
 
 
+def unassigned() -> str:
+    """A character class of the code points without a category in this Python's tables."""
+    runs: list[list[int]] = []
+    for i in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(i)) == "Cn":
+            if runs and runs[-1][1] == i - 1:
+                runs[-1][1] = i
+            else:
+                runs.append([i, i])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+
+
+#: Libraries follow different versions of Unicode for these only.
+UNSURE = re.compile(unassigned())
+
+
 @dataclass(frozen=True)
 class Rules:
     """What the vocabulary file says, in a form that is cheap to send to workers."""
@@ -40,6 +59,7 @@ class Rules:
     unreachable: frozenset[int]
     specials: tuple[tuple[str, int], ...]
     end: str
+    cutting: str  # the file without its vocabulary: how text is normalised and cut
 
 
 def byte_chars() -> list[str]:
@@ -87,7 +107,8 @@ def load_rules(path: str) -> Rules:
             ids = [base[closed and k == len(body) - 1][plain[c]] for k, c in enumerate(body)]
             if merge_plainly(ids, ranks) != [i]:
                 unreachable.add(i)
-    return Rules(hashlib.sha256(raw).hexdigest(), tuple(tokens), tuple(merges), frozenset(unreachable), added, end)
+    cutting = json.dumps(told | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}})
+    return Rules(hashlib.sha256(raw).hexdigest(), tuple(tokens), tuple(merges), frozenset(unreachable), added, end, cutting)
 
 
 class Encoder:
@@ -113,6 +134,7 @@ class Encoder:
         self.left_spine: dict[int, list] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words = _Words(self.encode_word)
+        self.library = None
         self.ids_as_text = [str(i) for i in range(len(rules.tokens))]
         self.special = regex.compile("|".join(regex.escape(x) for x, _ in sorted(rules.specials, key=lambda x: -len(x[0])))) if rules.specials else None
         self.special_ids = dict(rules.specials)
@@ -153,7 +175,10 @@ class Encoder:
         return known
 
     def encode_word(self, word: str) -> tuple[int, ...]:
-        text = word.encode("utf-8", "surrogatepass").decode("latin-1")
+        return self.encode_bytes(word.encode("utf-8", "surrogatepass"))
+
+    def encode_bytes(self, word: bytes) -> tuple[int, ...]:
+        text = word.decode("latin-1")
         if self.rules.end:
             text = text[:-1] + chr(ord(text[-1]) + 256)
         last = [-1] * (len(text) + 1)
@@ -180,19 +205,34 @@ class Encoder:
                 text = text.replace("Σ", "σ")
         return text.lower()
 
-    def encode(self, text: str) -> list[int]:
+    def encode_unsure(self, text: str) -> list[int]:
+        """For characters that this Python doesn't know yet the library itself normalises and cuts."""
+        if self.library is None:
+            self.library = Tokenizer.from_str(self.rules.cutting)
+            self.byte_of = {c: i for i, c in enumerate(byte_chars())}
+        normal = self.library.normalizer.normalize_str(text)
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(normal)
+        return [i for piece, _ in pieces for i in self.encode_bytes(bytes(map(self.byte_of.__getitem__, piece)))]
+
+    def encode_plain(self, text: str) -> list[int]:
+        """A text without special tokens."""
+        if not text.isascii() and UNSURE.search(text):
+            return self.encode_unsure(text)
         ids: list[int] = []
-        extend, words, at = ids.extend, self.words, 0
-        if self.special is not None and "<|" in text:
-            for found in self.special.finditer(text):
-                for entry in map(words.__getitem__, self.split(self.normalize(text[at : found.start()]))):
-                    extend(entry)
-                ids.append(self.special_ids[found.group()])
-                at = found.end()
-        for entry in map(words.__getitem__, self.split(self.normalize(text[at:] if at else text))):
-            extend(entry)
+        for entry in map(self.words.__getitem__, self.split(self.normalize(text))):
+            ids.extend(entry)
         return ids
 
+    def encode(self, text: str) -> list[int]:
+        if self.special is None or "<|" not in text:
+            return self.encode_plain(text)
+        ids, at = [], 0
+        for found in self.special.finditer(text):
+            ids += self.encode_plain(text[at : found.start()])
+            ids.append(self.special_ids[found.group()])
+            at = found.end()
+        return ids + self.encode_plain(text[at:])
+
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder, so the tokens are joined by a space, as the library does."""
         return " ".join(map(self.tokens.__getitem__, ids))
