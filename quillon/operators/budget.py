@@ -7,25 +7,30 @@ from pyspark.sql import functions as F
 
 
 def running(df: DataFrame, order: list[Column], cost: Column, by: list[str] | None = None) -> DataFrame:
-    """Adds ``used``: the cost of a row and of all ahead of it."""
+    """Adds ``used``: the cost of a row and of all ahead of it in its group."""
     window = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("used", F.sum(cost).over(window))
 
 
 def fit(df: DataFrame, order: list[Column], cost: Column, budget: int, per_unit: int = 4, by: list[str] | None = None) -> DataFrame:
-    """The rows whose running cost stays within the budget (in units of ``per_unit``)."""
+    """The rows whose running cost stays within the budget (in units of ``per_unit``).
+
+    A row costs 1 at least, so without groups only the first (budget + 1) * per_unit
+    rows can matter: they are picked by a distributed top-k, and the running sum
+    is over that many rows, whatever the table.
+    """
+    if not by:
+        df = df.orderBy(*order).limit((budget + 1) * per_unit)
     return running(df, order, cost, by).where(F.floor(F.col("used") / per_unit) <= budget)
 
 
 def residual(df: DataFrame, order: list[Column], cost: Column, budget: int, sums: list[str] = (), per_unit: int = 4) -> DataFrame:
     """One row: rows shown and omitted, and the sums of the omitted ones. shown + omitted is the total."""
-    placed = running(df, order, cost)
-    out = F.floor(F.col("used") / per_unit) > budget
-    return placed.agg(
-        F.count_if(~out).alias("shown"),
-        F.count_if(out).alias("omitted"),
-        *(F.coalesce(F.sum(F.when(out, F.col(c))), F.lit(0)).alias(f"omitted_{c}") for c in sums),
-    )
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    whole = df.agg(F.count("*").alias("__n"), *(total(c, f"__{c}") for c in sums))
+    shown = fit(df, order, cost, budget, per_unit).agg(F.count("*").alias("shown"), *(total(c, f"__shown_{c}") for c in sums))
+    both = whole.crossJoin(shown)  # a row each
+    return both.select("shown", (F.col("__n") - F.col("shown")).alias("omitted"), *((F.col(f"__{c}") - F.col(f"__shown_{c}")).alias(f"omitted_{c}") for c in sums))
 
 
 def pick_level(levels: DataFrame, budget: int, level: str = "level", cost: str = "cost") -> DataFrame:
@@ -52,6 +57,7 @@ def protect_tail(df: DataFrame, order: list[Column], cost: Column, tail: Column,
     """Rows within what the budget leaves beside the protected ones, which always stay."""
     held = df.withColumn("__tail", tail)
     kept = held.agg(F.coalesce(F.sum(F.when(F.col("__tail"), cost)), F.lit(0)).alias("__kept"))
-    rows = running(held.where("not __tail"), order, cost).crossJoin(kept)  # one row
+    most = held.where("not __tail").orderBy(*order).limit((budget + 1) * per_unit)
+    rows = running(most, order, cost).crossJoin(kept)  # one row
     shown = rows.where(F.floor((F.col("used") + F.col("__kept")) / per_unit) <= budget).drop("used", "__kept")
     return shown.unionByName(held.where("__tail")).drop("__tail")

@@ -114,7 +114,8 @@ def examples(paths: DataFrame, order: list[str], most: int = EXAMPLES) -> DataFr
 def template_counts(lines: DataFrame, order: list[str], cap: int = TEMPLATE_CAP, line: str = "line", format_name: Column | None = None) -> DataFrame:
     """(template, n, first, over_cap): templates in order of first appearance; beyond the cap they only count."""
     per = lines.where(F.trim(F.col(line)) != "").groupBy(t.template(line, format_name).alias("template")).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first"))
-    return per.withColumn("over_cap", F.row_number().over(Window.orderBy("first")) > cap)
+    last = per.orderBy("first").limit(cap).agg(F.max("first").alias("__last"))  # a top-k, then one row
+    return per.crossJoin(last).withColumn("over_cap", F.col("first") > F.col("__last")).drop("__last")
 
 
 def first_and_last(lines: DataFrame, by: list[str], order: str, line: str = "line") -> DataFrame:

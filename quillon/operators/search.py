@@ -38,10 +38,11 @@ def representatives(grouped: DataFrame, by: str, most: int = REPRESENTATIVES) ->
     return grouped.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def rank_groups(per_group: DataFrame, by: str, weight: Column) -> DataFrame:
-    """Position of each group by count times weight, ties by name."""
+def rank_groups(per_group: DataFrame, by: str, weight: Column, most: int = 10_000) -> DataFrame:
+    """Position of the first groups by count times weight, ties by name: a top-k, then numbers."""
     scored = per_group.withColumn("score", F.col("n_hits") * weight)
-    return scored.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), by)))
+    order = [F.desc("score"), F.col(by)]
+    return scored.orderBy(*order).limit(most).withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
 def first_hits(found: DataFrame, by: str, order: list[str], most: int = STORED) -> DataFrame:

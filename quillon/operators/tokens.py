@@ -25,10 +25,12 @@ def share(df: DataFrame, value: str, digits: int = 1) -> DataFrame:
     return df.crossJoin(whole).withColumn("share_pct", F.round(100.0 * F.col(value) / F.col("__whole"), digits)).drop("__whole")  # one row
 
 
-def top_and_rest(df: DataFrame, order: list[Column], most: int, value: str) -> DataFrame:
-    """The first rows, and one row that counts and sums the rest."""
-    ranked = df.withColumn("__rank", F.row_number().over(Window.orderBy(*order)))
-    return ranked
+def top_and_rest(df: DataFrame, order: list[Column], most: int, value: str) -> tuple[DataFrame, DataFrame]:
+    """The first rows with their rank, and one row with the sum of the rest."""
+    top = df.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    held = top.agg(F.coalesce(F.sum(value), F.lit(0)).alias("__held"))
+    rest = df.agg(F.sum(value).alias("__whole")).crossJoin(held).select((F.col("__whole") - F.col("__held")).alias(value))  # a row each
+    return top, rest
 
 
 def byte_entropy(df: DataFrame, key: str, text: str) -> DataFrame:

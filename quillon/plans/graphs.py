@@ -14,9 +14,12 @@ EDGES = "e AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_i
 
 def edges(spark, d):
     """Users whose large errors follow each other."""
-    e = table(spark, d, "events").where("event_type = 'error' and value > 200")
-    w = Window.orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst")).where("dst is not null and src != dst").distinct()
+    e = table(spark, d, "events").where("event_type = 'error' and value > 200").withColumn("day", F.to_date("ts"))
+    w = Window.partitionBy("day").orderBy("ts", "event_id")
+    # The last of a day is followed by the first of the next day that has any.
+    firsts = e.groupBy("day").agg(F.min(F.struct("ts", "event_id", "user_id")).alias("f")).withColumn("next", F.lead("f.user_id").over(Window.orderBy("day")))
+    followed = e.withColumn("to", F.lead("user_id").over(w)).join(firsts.select("day", "next"), "day")
+    return followed.select(F.col("user_id").alias("src"), F.coalesce("to", "next").alias("dst")).where("dst is not null and src != dst").distinct()
 
 
 def seed(spark, d):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -154,10 +153,9 @@ UNION ALL SELECT NULL, NULL, sum(tokens)::BIGINT, round(100.0 * sum(tokens) / ma
 def token_share_topn(spark, d):
     """The forty largest with their share, and one row for the rest."""
     docs = table(spark, d, "documents").select("doc_id", t.tokens_of_bytes(t.octets("text")).alias("tokens"))
-    top = docs.orderBy(F.desc("tokens"), "doc_id").limit(40).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("tokens"), "doc_id")).cast("long"))
-    whole = docs.agg(F.sum("tokens").alias("whole"))
-    rest = whole.crossJoin(top.agg(F.sum("tokens").alias("held"))).select(F.lit(None).cast("long").alias("doc_id"), (F.col("whole") - F.col("held")).alias("tokens"), F.lit(None).cast("long").alias("rank"))
-    return top.unionByName(rest).crossJoin(whole).select("doc_id", "rank", "tokens", F.round(100.0 * F.col("tokens") / F.col("whole"), 1).alias("share_pct"))
+    top, rest = tokens.top_and_rest(docs, [F.desc("tokens"), F.col("doc_id")], 40, "tokens")
+    both = top.unionByName(rest, allowMissingColumns=True)
+    return both.crossJoin(docs.agg(F.sum("tokens").alias("whole"))).select("doc_id", "rank", "tokens", F.round(100.0 * F.col("tokens") / F.col("whole"), 1).alias("share_pct"))
 
 
 LINT = """WITH s AS (SELECT doc_id, PATH AS path, strlen(text) AS size, round_even(strlen(text) / 3.7, 0)::BIGINT AS tokens, list_max([length(x) for x in l]) AS max_line, length(text) / len(l) AS mean_line FROM (SELECT doc_id, lang, source, text, CASE WHEN ends_with(text, chr(10)) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS l FROM documents))
@@ -280,9 +278,6 @@ def costed(spark, d):
     return table(spark, d, "documents").select("doc_id", (t.octets("text") + 1).alias("cost"))
 
 
-ORDER = [F.desc, "cost"]
-
-
 def by_cost():
     return [F.desc("cost"), F.col("doc_id")]
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators.tokens import binary_probe
 
 # Formats by extension.
 EXTENSIONS = {".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".yaml": "yaml", ".yml": "yaml", ".csv": "csv", ".tsv": "tsv", ".xml": "xml", ".log": "log", ".toml": "toml"}
@@ -72,7 +73,7 @@ def read_files(spark: SparkSession, path: str, most: int = 1 << 20) -> DataFrame
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     parts = F.split(raw.path, "/")
     kept = raw.where(~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED)))).where(F.col("length") <= most)
-    text = kept.where(F.instr(F.hex(F.substring("content", 1, HEAD)), "0000") == 0)
+    text = kept.where(~binary_probe(F.col("content")))
     return text.select("path", F.regexp_replace(F.decode("content", "utf-8"), "^﻿", "").alias("text"), F.col("length").alias("size"))
 
 
@@ -216,8 +217,9 @@ def status_rows(lines: DataFrame, value: str = "value") -> DataFrame:
     """(section, code, path) of a version tool's porcelain v2 status, and branch rows."""
     v = F.col(value)
     part = lambda rx, i: F.regexp_extract(v, rx, i)
-    entry = r"^([12u]) (..) (?:\S+ ){6}(?:\S+ )?([^\t]+)(?:\t.*)?$"
-    tracked = lines.where(v.rlike("^[12u] ")).select(part(entry, 1).alias("kind"), part(entry, 2).alias("xy"), part(entry, 3).alias("path"))
+    entry = r"^(?:(1) (..) (?:\S+ ){6}|(2) (..) (?:\S+ ){7}|(u) (..) (?:\S+ ){8})([^\t]+)(?:\t.*)?$"
+    either = lambda *i: F.concat(*(part(entry, k) for k in i))
+    tracked = lines.where(v.rlike("^[12u] ")).select(either(1, 3, 5).alias("kind"), either(2, 4, 6).alias("xy"), part(entry, 7).alias("path"))
     staged = tracked.where("kind != 'u' and substring(xy, 1, 1) != '.'").select(F.lit("staged").alias("section"), F.substring("xy", 1, 1).alias("code"), "path")
     unstaged = tracked.where("kind != 'u' and substring(xy, 2, 1) != '.'").select(F.lit("unstaged").alias("section"), F.substring("xy", 2, 1).alias("code"), "path")
     unmerged = tracked.where("kind = 'u'").select(F.lit("unmerged").alias("section"), F.col("xy").alias("code"), "path")
