@@ -81,7 +81,12 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     """Root ignore patterns against a path's name, its whole and any of its folders."""
     clean = [p.strip().rstrip("/") for p in patterns if p.strip() and not p.startswith("#")]
     parts = F.split(path, "/")
-    tests = [F.exists(parts, lambda x, p=p: x.rlike(t.glob_regex(p))) | path.rlike(t.glob_regex(p)) | path.rlike(t.glob_regex("*/" + p)) for p in clean]
+
+    def named(p: str) -> Column:
+        rx = t.glob_regex(p)
+        return F.exists(parts, lambda x: x.rlike(rx))
+
+    tests = [named(p) | path.rlike(t.glob_regex(p)) | path.rlike(t.glob_regex("*/" + p)) for p in clean]
     out = F.lit(False)
     for x in tests:
         out = out | x
