@@ -7,7 +7,6 @@ rewrite documents and keep their columns; the last one returns the encoded corpu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillon.llm import bpe, common, decontaminate, jaccard, langid, secretscan
 from quillon.llm.queries import vocabulary
@@ -17,14 +16,8 @@ LEAST_LANGUAGE_SCORE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no letter, or no model is near) go.
-
-    A null doc_id can't be matched with its prediction and is judged by whether it has a letter.
-    """
-    found = langid.identify(docs, langid.fit(docs)).where(f"lang_pred = '{langid.UNDETERMINED}' or score < {LEAST_LANGUAGE_SCORE}")
-    drop = found.where("doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where(F.col("doc_id").isNotNull() | F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    """Documents whose language can't be told (no letter, or no model is near) go."""
+    return langid.keep_known(docs, langid.fit(docs), LEAST_LANGUAGE_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

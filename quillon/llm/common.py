@@ -53,6 +53,20 @@ def map_columns(
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, column: str, make: Callable[[], Callable[[Sequence], Sequence[bool]]], rows: int = SLICE_ROWS) -> DataFrame:
+    """The rows for whose value in a column a function of lists says true; all columns pass as they are."""
+
+    def run(batches):
+        keep = make()
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(column: str, folds: int, fold: int) -> Column:
     """True where crc32 of the id as text has the remainder; false for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -22,7 +22,7 @@ from itertools import repeat
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_columns
+from .common import filter_rows, map_columns
 
 #: The shortest tile, the share of an item's tokens that tiles must cover, and the shortest item that is judged.
 MATCH, COVERAGE, SHORTEST_ITEM = 4, 0.6, 8
@@ -212,7 +212,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, cove
     return spark.createDataFrame([], RESULT) if out is None else out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a covered item. Rows without an id are judged by a text they share with no id, so they stay."""
-    found = contaminated(docs, benchmark, **options).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: float = COVERAGE, shortest: int = SHORTEST_ITEM, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The documents without a covered item, judged where they are: a filter without a shuffle.
+
+    Ids play no part, so rows without one, or that share one, are judged by their own text.
+    """
+    for items in blocks(benchmark, block_tokens):
+        shared = docs.sparkSession.sparkContext.broadcast((items, match, coverage, shortest))  # bounded by block_tokens
+
+        def make(shared=shared):
+            block = Block(*shared.value)
+            return lambda texts: [not block.judge(t) for t in texts]
+
+        docs = filter_rows(docs, "text", make)
+    return docs

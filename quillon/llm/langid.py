@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_columns
+from .common import filter_rows, held_out, map_columns
 
 #: Bounded sample of labelled rows: about so many documents of each language, of the most frequent languages.
 SAMPLE_PER_LANGUAGE, LANGUAGES = 700, 120
@@ -199,3 +199,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         return work
 
     return map_columns(docs, ["doc_id", held_out("doc_id", FOLDS, FOLD).alias("held_out"), "text"], make, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The documents whose language is told with a score of ``least`` or more; a filter without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        use = shared.value
+
+        def known(text) -> bool:
+            lang, score = use.predict(text)
+            return lang != UNDETERMINED and score >= least
+
+        return lambda texts: [known(t) for t in texts]
+
+    return filter_rows(docs, "text", make)
