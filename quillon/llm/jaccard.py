@@ -38,6 +38,8 @@ from .shingles import shingle_set, signature
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4000, 4, 200_000
 #: Postings of one part, and sets and shingles that one task holds at once.
 PART_POSTINGS, TASK_SETS, TASK_SHINGLES = 1_000_000, 3_000, 4_000_000
+#: Stands for the id of a class of rows without one; behind all others.
+NOBODY = (1 << 63) - 1
 SHORTEST = 4  # a smaller set is linked with equal sets only
 #: A prefix is longer by a shingle in so many, and sizes are told apart by this factor.
 EXTRA, STEP = 25, 1.06
@@ -308,11 +310,16 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     than doc_id and text are not read.
     """
     plain, edges = links(docs, **options)
-    roots = components(edges)
-    placed = plain.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    least = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    joined = placed.join(least, "root", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    classes = plain.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    # Nodes in the order of their documents, so that a root is the component's first document.
+    node = F.struct(F.coalesce("rep", F.lit(NOBODY)).alias("rep"), F.col("sig"))
+    ends = classes.select("sig", node.alias("node"))
+    named = edges.join(ends.select(F.col("sig").alias("a"), F.col("node").alias("na")), "a").join(ends.select(F.col("sig").alias("b"), F.col("node").alias("nb")), "b")
+    roots = components(named.select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    first = classes.join(roots.select("node.sig", F.col("root.rep").alias("root")), "sig", "left").select("sig", F.coalesce("root", "rep").alias("least"))
+    joined = plain.join(first, "sig", "left")
+    found = F.when(F.col("least") != NOBODY, F.col("least"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, found).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
