@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import held_out, map_columns
 
 #: Bounded sample of labelled rows: about so many of each label.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 5_000, 8_000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 6_000
 #: Features kept, the fewest documents of one, and the least association with the label.
 FEATURES, LEAST_DOCS, LEAST_CHI2 = 20_000, 6, 14.0
 #: Toxic documents are rare; each counts so many times its share.
@@ -102,18 +102,18 @@ class Scorer:
         return score, len(spans), float(p.max()), found
 
 
-def train(bags: list[tuple[int, float, int, list[tuple[int, ...]]]], n_features: int, rounds: int = 500, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias from (label, weight, number of sentences, features of those that have any)."""
-    owner, rows, cols, empty = [], [], [], np.zeros(len(bags))
-    n = 0
-    for i, (_, _, count, held) in enumerate(bags):
-        empty[i] = count - len(held)
-        for ids in held:
-            owner.append(i)
-            rows.extend([n] * len(ids))
-            cols.extend(ids)
-            n += 1
-    owner, rows, cols = np.array(owner, np.int64), np.array(rows, np.int64), np.array(cols, np.int64)
+def train(bags: list[tuple[int, float, int, np.ndarray, np.ndarray]], n_features: int, rounds: int = 500, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias from documents: (label, weight, number of sentences, lengths, features).
+
+    Only sentences with features are told apart: ``lengths`` says how many of
+    ``features`` each of them has; the others are alike.
+    """
+    lengths = np.concatenate([np.empty(0, np.int32), *(b[3] for b in bags)])
+    cols = np.concatenate([np.empty(0, np.int32), *(b[4] for b in bags)])
+    n = len(lengths)
+    rows = np.repeat(np.arange(n, dtype=np.int32), lengths)
+    owner = np.repeat(np.arange(len(bags), dtype=np.int32), [len(b[3]) for b in bags])
+    empty = np.array([b[2] - len(b[3]) for b in bags], float)
     y = np.array([b[0] for b in bags], float)
     weight = np.array([b[1] for b in bags], float)
     weight /= weight.sum()
@@ -188,10 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
     bags = []
     told = map_columns(rows, ["doc_id", "toxic", "text"], bag, "doc_id long, toxic int, n int, lengths binary, features binary")
     for r in sorted(told.toLocalIterator(), key=lambda r: (r.doc_id, r.toxic, r.features)):
-        ends = np.cumsum(np.frombuffer(r.lengths, np.int32))
-        ids = np.frombuffer(r.features, np.int32)
         weight = TOXIC_WEIGHT * n[1] / total_t if r.toxic else n.get(0, 0) / total_c
-        bags.append((r.toxic, weight, r.n, [tuple(x.tolist()) for x in np.split(ids, ends[:-1])] if len(ends) else []))
+        bags.append((r.toxic, weight, r.n, np.frombuffer(r.lengths, np.int32), np.frombuffer(r.features, np.int32)))
     if not bags:
         return Model({}, -20.0)
     w, bias = train(bags, len(names))

@@ -69,6 +69,10 @@ def test_toxicity_held_out(spark, docs):
     assert all(bool(r.spans) for r in got if r.top_sentence >= 0.5)
 
 
+def packed(bags):
+    return [(y, w, n, np.array([len(x) for x in held], np.int32), np.array([i for x in held for i in x], np.int32)) for y, w, n, held in bags]
+
+
 def test_sentences_are_learned_from_documents():
     """One bad sentence among clean ones; only the documents are labelled."""
     r = random.Random(1)
@@ -78,13 +82,13 @@ def test_sentences_are_learned_from_documents():
         if i % 4 == 0:
             held[r.randrange(5)] = (0, r.randrange(1, 30))
         bags.append((int(i % 4 == 0), 1.0, 8, held))
-    w, bias = toxicity.train(bags, 30)
+    w, bias = toxicity.train(packed(bags), 30)
     assert w[0] + bias > 0 and all(w[k] + bias < 0 for k in range(1, 30))
 
 
 def test_gradient_of_noisy_or():
     bags = [(1, 1.0, 3, [(0,), (1,)]), (0, 2.0, 2, [(1,)])]
-    w, bias = toxicity.train(bags, 2, rounds=400, decay=0)
+    w, bias = toxicity.train(packed(bags), 2, rounds=400, decay=0)
     p = lambda z: 1 / (1 + np.exp(-z))
     assert 1 - (1 - p(w[0] + bias)) * (1 - p(w[1] + bias)) * (1 - p(bias)) > 0.9 and p(w[1] + bias) < 0.1
 
