@@ -282,3 +282,15 @@ def line_range(spec: Column | str) -> Column:
     b = F.coalesce(F.regexp_extract(s, r"-\s*(\d+)\s*$", 1).try_cast("int"), a)
     ok = s.rlike(r"^\s*\d+\s*(-\s*\d+\s*)?$")
     return F.when(ok, F.struct(F.greatest(F.least(a, b), F.lit(1)).alias("start"), F.greatest(F.greatest(a, b), F.lit(1)).alias("end")))
+
+
+def outline_class(p: Column | str) -> Column:
+    """fixtures, tests or src: the classes that weigh in an outline's ranking."""
+    dirs = F.split(F.lower(dirname(p)), "/")
+    fixed = F.arrays_overlap(dirs, F.array(*map(F.lit, ("fixtures", "__fixtures__", "testdata", "golden", "snapshots"))))
+    return F.when(fixed, "fixtures").when(path_class(p) == "tests", "tests").otherwise("src")
+
+
+def flatten_response(doc: Column) -> Column:
+    """The text of a tool's answer, whichever field holds it."""
+    return F.coalesce(*(F.try_variant_get(doc, f"$.{k}", "string") for k in ("stdout", "output", "result", "text", "content")), F.lit(""))

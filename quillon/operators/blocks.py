@@ -50,3 +50,10 @@ def score(text: Column, words: list[str], n_lines: Column) -> Column:
     hits = sum((t.occurrences(low, w.lower()) for w in words), F.lit(0))
     matched = sum((F.when(low.rlike(rf"\b{w.lower()}\b"), 1).otherwise(0) for w in words), F.lit(0))
     return hits * F.greatest(matched, F.lit(1)) / F.lit(len(words)) / F.sqrt(n_lines)
+
+
+def earlier_sibling(heads: DataFrame, by: str, levels: int = 6) -> DataFrame:
+    """Adds ``sibling``: the nearest earlier heading of the same or a higher level."""
+    behind = Window.partitionBy(by).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    above = {k: F.last(F.when(F.col("level") <= k, F.col("line_no")), ignorenulls=True).over(behind) for k in range(1, levels + 1)}
+    return heads.withColumn("sibling", F.coalesce(*(F.when(F.col("level") == k, w) for k, w in above.items())))

@@ -61,3 +61,15 @@ def protect_tail(df: DataFrame, order: list[Column], cost: Column, tail: Column,
     rows = running(most, order, cost).crossJoin(kept)  # one row
     shown = rows.where(F.floor((F.col("used") + F.col("__kept")) / per_unit) <= budget).drop("used", "__kept")
     return shown.unionByName(held.where("__tail")).drop("__tail")
+
+
+def ladder(levels: list[DataFrame], cost: str, budget: int, per_unit: int = 4) -> DataFrame:
+    """The first of several renderings, from full to brief, that fits; the last one if none does.
+
+    Each is measured by one aggregate, and only until one fits. The last one must be bounded by itself.
+    """
+    for level in levels[:-1]:
+        used = level.agg(F.coalesce(F.sum(cost), F.lit(0))).first()[0]
+        if used // per_unit <= budget:
+            return level
+    return levels[-1]

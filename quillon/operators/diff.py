@@ -221,3 +221,23 @@ def in_section_order(df: DataFrame) -> DataFrame:
 
 def normalised_body(x: Column | str) -> Column:
     return t.body_lines(x)
+
+
+def changed_symbols(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Symbols that a changed range (file, from_line, to_line) touches, each once."""
+    from . import intervals
+
+    return intervals.overlapping(symbols, hunks, "line_start", "line_end", "from_line", "to_line", ["file"], 200)
+
+
+def test_summary(changes: DataFrame) -> DataFrame:
+    """Added, removed and modified tests and helpers: (op, tests, helpers)."""
+    is_test = F.col("name").rlike(r"^test|^Test|^it\b|^describe\b")
+    return changes.groupBy("op").agg(F.count_if(is_test).alias("tests"), F.count_if(~is_test).alias("helpers"))
+
+
+def line_signs(diff: Column) -> tuple[Column, Column]:
+    """(plus, minus): lines added and removed in a unified diff without its file headers."""
+    rows = F.split(diff, "\n")
+    plus = F.size(F.filter(rows, lambda x: x.startswith("+") & ~x.startswith("+++")))
+    return plus, F.size(F.filter(rows, lambda x: x.startswith("-") & ~x.startswith("---")))

@@ -168,3 +168,39 @@ def reference_rank(files: DataFrame, names: DataFrame, file: str = "file", text:
     df = tokens.join(wanted, "name", "left_semi").groupBy("name").agg(F.count("*").alias("df"))
     own = names.join(tokens.withColumn("own", F.lit(1)), [file, "name"], "left").join(df, "name", "left")
     return own.groupBy(file).agg(F.sum(F.col("weight") * (F.coalesce("df", F.lit(0)) - F.coalesce("own", F.lit(0)))).alias("score"))
+
+
+def impact(target: str, refs: DataFrame, symbols: DataFrame, parents: DataFrame, tests: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(symbols reached, tests that cover their files): uses, and then the uses of what encloses them.
+
+    A use outside every symbol reaches its module, which goes no further. ``parents``
+    has (child, parent) names of bases and interfaces. The first level that reaches
+    a symbol counts.
+    """
+    from ..functions import text as t
+    from . import index, intervals
+
+    spans = symbols.select(F.col("file").alias("from_file"), F.col("qualname").alias("user"), "line_start", "line_end")
+    placed = intervals.innermost(refs.withColumn("__id", F.monotonically_increasing_id()), ["__id"], "from_line", spans, "line_start", "line_end", ["from_file"], 200)
+    inside = placed.select(F.coalesce("to_symbol", "to_name").alias("used"), "user")
+    loose = refs.join(placed.select("from_file", "from_line", "to_name").distinct(), ["from_file", "from_line", "to_name"], "left_anti")
+    modules = loose.select(F.coalesce("to_symbol", "to_name").alias("used"), F.concat("from_file", F.lit("::<module>")).alias("user"))
+    uses = inside.union(modules).select(t.last_segment("used").alias("src"), F.col("user").alias("dst"))
+    kin = parents.select(t.last_segment("parent").alias("src"), t.last_segment("child").alias("__last")).join(symbols.select(t.last_segment("qualname").alias("__last"), F.col("qualname").alias("dst")), "__last").select("src", "dst")
+    named = uses.union(kin).join(symbols.select(t.last_segment("qualname").alias("src"), F.col("qualname").alias("from")), "src").select(F.col("from").alias("src"), "dst").distinct()
+    seed = index.symbol_match(symbols, target).select("qualname")
+    reached = bfs(named, seed, depth)
+    files = reached.select(F.split_part("node", F.lit("::"), F.lit(1)).alias("target_file")).distinct()
+    return reached, tests.join(files, "target_file", "left_semi").select("test_file").distinct()
+
+
+def tests_for(changed: DataFrame, tests: DataFrame, imports: DataFrame, depth: int = 2) -> DataFrame:
+    """(test_file, layer) for changed files: recorded coverage, changed tests, names, then imports that lead to a test."""
+    from . import index
+
+    c = changed.select(F.col(changed.columns[0]).alias("target_file")).distinct()
+    linked = lambda source: tests.where(F.col("source") == source).join(c, "target_file", "left_semi").select("test_file")
+    known = tests.select("test_file").distinct()
+    own = c.select(F.col("target_file").alias("test_file")).join(known, "test_file", "left_semi")
+    reached = bfs(imports, c, depth, "dst", "src").where("depth > 0").select(F.col("node").alias("test_file")).join(known, "test_file", "left_semi")
+    return index.layered_union([("coverage", linked("coverage")), ("changed", own), ("convention", linked("convention")), ("import", reached)], ["test_file"])

@@ -180,3 +180,74 @@ def coverage_class(files: DataFrame, tests: DataFrame, changed: DataFrame) -> Da
     per = tests.join(c, "test_file", "left").groupBy(F.col("target_file").alias("file")).agg(F.count("*").alias("n_tests"), F.coalesce(F.max("__c"), F.lit(0)).alias("touched"))
     out = files.join(per, "file", "left")
     return out.select("file", F.when(F.col("n_tests").isNull(), "uncovered").when(F.col("touched") == 0, "stale").otherwise("fresh").alias("state"), F.coalesce("n_tests", F.lit(0)).alias("n_tests"))
+
+
+def family_join(names: DataFrame, name: str, symbols: DataFrame, family: str = "family") -> DataFrame:
+    """Names with the symbols of the same language family whose last part is the same."""
+    a = names.withColumn("__last", t.last_segment(name))
+    return a.join(symbols.withColumn("__last", t.last_segment("qualname")), [family, "__last"]).drop("__last")
+
+
+def longest_prefix(contexts: DataFrame, context: str, files: DataFrame, path: str) -> DataFrame:
+    """The one file whose dotted name is the longest beginning of a context; two of one length are none.
+
+    Every beginning of a context is looked up by equality, so there is no prefix scan.
+    """
+    parts = F.split(F.col(context), r"\.")
+    tried = contexts.select(context, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, F.lit(1), n), ".").alias("dotted")))).alias("x")).select(context, "x.n", "x.dotted")
+    named = files.select(F.col(path), F.replace(F.regexp_replace(F.col(path), r"\.[^./]*$", ""), F.lit("/"), F.lit(".")).alias("dotted"))
+    held = tried.join(named, "dotted")
+    best = held.withColumn("__most", F.max("n").over(Window.partitionBy(context))).where("n = __most")
+    return unique(best, context, path)
+
+
+def package_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """Files that an import of a package names: beside the importer, from the root, or the only one with that end.
+
+    ``pkg`` is ``pkg/__init__.py``, and with a symbol also ``pkg/symbol.py`` where that exists.
+    """
+    base = F.replace(F.col("module"), F.lit("."), F.lit("/"))
+    folder = t.dirname("file")
+    near = F.when(folder != "", F.concat(folder, F.lit("/"), base)).otherwise(base)
+    init, own = F.lit("/__init__.py"), F.concat(F.lit("/"), F.col("symbol"), F.lit(".py"))
+    asked = imports.withColumn("__key", F.concat_ws("|", "file", "line", "module", F.coalesce("symbol", F.lit(""))))
+    known = files.select(F.col("path").alias("target_file"))
+    package = first_candidate(asked, "__key", F.array(F.concat(near, init), F.concat(base, init)), known, "target_file")
+    member = first_candidate(asked.where("symbol is not null"), "__key", F.array(F.concat(near, own), F.concat(base, own)), known, "target_file")
+    left = asked.join(package, "__key", "left_anti").select("__key", F.concat(base, init).alias("name"))
+    only = unique(suffix_join(left, "name", files.select("path"), "path"), "__key", "path").withColumnRenamed("path", "target_file")
+    found = package.unionByName(only).unionByName(member).distinct()
+    return asked.join(found, "__key").drop("__key")
+
+
+def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(src, dst, line): module stems to files of one language, those of the importer's folder first; the first line of each pair."""
+    stems = files.select(F.col("path").alias("dst"), t.stem("path").alias("stem"), t.dirname("path").alias("dir"))
+    asked = imports.select(F.col("file").alias("src"), "line", F.regexp_extract("module", r"([^./]+)$", 1).alias("stem"), t.dirname("file").alias("own"))
+    joined = prefer_same(asked.join(stems, "stem"), ["src", "line", "stem"], F.col("own") == F.col("dir"))
+    return joined.where("src != dst").groupBy("src", "dst").agg(F.min("line").alias("line"))
+
+
+def public_api(symbols: DataFrame, prefix: str | None = None) -> DataFrame:
+    held = symbols.where("exported = 1")
+    return (held.where(t.under("file", prefix)) if prefix else held).orderBy("file", "line_start")
+
+
+def freshness(changes: DataFrame) -> DataFrame:
+    """Counts of stale, new and missing files of a change set."""
+    n = lambda *states: F.count_if(F.col("state").isin(*states))
+    return changes.agg(n("changed").alias("stale"), n("new").alias("new"), n("removed").alias("missing"))
+
+
+def run_commands(test_files: DataFrame, path: str = "path") -> DataFrame:
+    """One command a language family over its test files; packages instead of files where the tool wants them."""
+    family = t.family_of(t.language_of(path))
+    what = F.when(family == "go", F.concat(F.lit("./"), t.dirname(path))).otherwise(F.col(path))
+    tool = F.when(family == "python", "pytest").when(family == "go", "go test").otherwise("npx vitest run")
+    return test_files.where(family.isNotNull()).groupBy(family.alias("family"), tool.alias("tool")).agg(F.array_join(F.array_sort(F.collect_set(what)), " ").alias("args")).select("family", F.concat_ws(" ", "tool", "args").alias("command"))
+
+
+def test_runner(names: Column, manifest: Column) -> Column:
+    """The runner that config files or a manifest name; vitest before jest."""
+    has = lambda rx: F.exists(names, lambda x: x.rlike(rx)) | F.coalesce(manifest.rlike(rx), F.lit(False))
+    return F.when(has("vitest"), "vitest").when(has("jest"), "jest").when(has("pytest|conftest"), "pytest").when(has(r"go\.mod"), "go test")

@@ -68,3 +68,18 @@ def lint(name: Column, size: Column, tokens: Column, max_line: Column, mean_line
         rules.append(F.when((size >= ENTROPY_LEAST) & (bits > ENTROPY_BITS), "HIGH-ENTROPY"))
     rules += [F.when(data & (tokens > threshold), "BIG-DATA"), F.when(tokens > threshold, "BIG-FILE")]
     return F.coalesce(*rules)
+
+
+def tree(files: DataFrame, path: str, depth: int, entries: int) -> DataFrame:
+    """Entries of each folder down to a depth with the files below them; what is over the cap is one row.
+
+    (parent, name, n_files, n_more): ``name`` is null in the row that stands for ``n_more`` entries.
+    """
+    parts = F.split(F.concat(F.lit("./"), F.col(path)), "/")
+    level = F.explode(F.sequence(F.lit(2), F.least(F.size(parts), F.lit(depth + 1))))
+    below = files.select(parts.alias("p"), level.alias("k")).select(F.array_join(F.slice("p", F.lit(1), F.col("k") - 1), "/").alias("parent"), F.element_at("p", F.col("k")).alias("name"))
+    held = below.groupBy("parent", "name").agg(F.count("*").alias("n_files"))
+    ranked = held.withColumn("r", F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("n_files"), "name")))
+    shown = ranked.where(F.col("r") <= entries).select("parent", "name", "n_files", F.lit(0).cast("long").alias("n_more"))
+    rest = ranked.where(F.col("r") > entries).groupBy("parent").agg(F.sum("n_files").alias("n_files"), F.count("*").alias("n_more"))
+    return shown.unionByName(rest.select("parent", F.lit(None).cast("string").alias("name"), "n_files", "n_more"))

@@ -25,7 +25,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from . import extracting, graphs, joining, profiling, searching, sql_surface, windowing  # noqa: F401
+    from . import covering, extracting, graphs, joining, profiling, searching, sql_surface, windowing  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
