@@ -213,7 +213,7 @@ def matches_glob(p: Column | str, glob: str) -> Column:
 
 
 # Path classes and their weights in ranked search.
-GENERATED_PARTS = "node_modules dist build vendor __pycache__ coverage target .repoindex generated .next .nuxt .cache .git".split()
+GENERATED_PARTS = "node_modules dist build vendor __pycache__ coverage target generated .next .nuxt .cache .git".split()
 GENERATED_NAME = r"\.min\.|\.bundle\.|\.lock$|^package-lock\.json$|^go\.sum$|\.map$|_pb2\.py$|\.generated\."
 TEST_PARTS = "test tests __tests__ spec testdata".split()
 TEST_NAME = r"^test_|_test\.\w+$|\.test\.\w+$|\.spec\.\w+$|^conftest\.py$"

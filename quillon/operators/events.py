@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "ts string, v int, tool string, model string, session string, cwd string, argv string, actual_bytes long, baseline_bytes long"
-TOOLS = "structo sgrep tokq repomap xread gitbrief codediff runlite repoindex".split()
+#: The tool whose early calls with context lines had no fair baseline.
+SEARCH_TOOL = "search"
 
 
-def credited() -> Column:
+def credited(search_tool: str = SEARCH_TOOL) -> Column:
     """A baseline to hold against; early searches with context had none that was fair."""
-    unfair = (F.coalesce("v", F.lit(1)) < 2) & (F.col("tool") == "sgrep") & F.col("argv").rlike(r"(^|\s)-C")
+    unfair = (F.coalesce("v", F.lit(1)) < 2) & (F.col("tool") == search_tool) & F.col("argv").rlike(r"(^|\s)-C")
     return F.coalesce(F.col("baseline_bytes").isNotNull() & (F.col("baseline_bytes") != 0) & ~unfair, F.lit(False))
 
 

@@ -15,7 +15,7 @@ from ..operators.tokens import binary_probe
 # Formats by extension.
 EXTENSIONS = {".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".yaml": "yaml", ".yml": "yaml", ".csv": "csv", ".tsv": "tsv", ".xml": "xml", ".log": "log", ".toml": "toml"}
 HEAD = 8192
-SKIPPED = ".git .hg .svn node_modules dist build __pycache__ .venv venv .tox .repoindex target .next .nuxt .cache coverage .pytest_cache .mypy_cache .ruff_cache vendor .idea .factbook".split()
+SKIPPED = ".git .hg .svn node_modules dist build __pycache__ .venv venv .tox target .next .nuxt .cache coverage .pytest_cache .mypy_cache .ruff_cache vendor .idea".split()
 TOML_TABLE = r"^\[\[?[A-Za-z0-9_.\"'-]+\]\]?\s*(#.*)?$"
 TOML_VALUE = r"^[A-Za-z0-9_.\"'-]+\s*=\s*([\"'\[{+-]|\d|true\b|false\b)"
 

@@ -224,23 +224,24 @@ def test_only_queries_run(spark):
     assert shell.query_only(spark, "WITH a AS (SELECT 1 AS n) SELECT n FROM a").first().n == 1
 
 
+TOOLS = ["profile", "search", "excerpt", "sizes"]
 EVENTS = [
-    ("2024-01-01", 3, "structo", "m", "s1", "/", "f", 100, 1000),
-    ("2024-01-02", 3, "structo", "", "s1", "/", "f", 50, None),
-    ("2024-01-03", 3, "xread", "m2", "s2", "/", "f", 10, 0),
-    ("2024-01-04", 1, "sgrep", "m", "s2", "/", "x -C 2", 10, 500),
-    ("2024-01-05", 2, "sgrep", "m", "s2", "/", "x -C 2", 10, 500),
+    ("2024-01-01", 3, "profile", "m", "s1", "/", "f", 100, 1000),
+    ("2024-01-02", 3, "profile", "", "s1", "/", "f", 50, None),
+    ("2024-01-03", 3, "excerpt", "m2", "s2", "/", "f", 10, 0),
+    ("2024-01-04", 1, "search", "m", "s2", "/", "x -C 2", 10, 500),
+    ("2024-01-05", 2, "search", "m", "s2", "/", "x -C 2", 10, 500),
     ("2024-01-06", 3, "unknown", "m", "s3", "/", "f", 1, 1),
 ]
 
 
 def test_call_log(spark):
     e = spark.createDataFrame(EVENTS, events.SCHEMA)
-    domain = spark.createDataFrame([(x,) for x in events.TOOLS], "tool string")
+    domain = spark.createDataFrame([(x,) for x in TOOLS], "tool string")
     rows = {r.tool: r for r in events.saved(events.zero_fill(events.fold(e), domain)).collect()}
-    assert len(rows) == len(events.TOOLS) and "unknown" not in rows
-    assert (rows["structo"].calls, rows["structo"].credited, rows["structo"].saved, rows["structo"].avg_saved) == (2, 1, 900, 900.0)
-    assert (rows["sgrep"].credited, rows["sgrep"].saved, rows["xread"].credited, rows["xread"].avg_saved, rows["tokq"].calls) == (1, 490, 0, None, 0)
+    assert len(rows) == len(TOOLS) and "unknown" not in rows
+    assert (rows["profile"].calls, rows["profile"].credited, rows["profile"].saved, rows["profile"].avg_saved) == (2, 1, 900, 900.0)
+    assert (rows["search"].credited, rows["search"].saved, rows["excerpt"].credited, rows["excerpt"].avg_saved, rows["sizes"].calls) == (1, 490, 0, None, 0)
     assert {r.session: r.model for r in events.last_model(e).collect()}["s1"] == "m"
 
 
