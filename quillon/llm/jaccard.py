@@ -317,7 +317,8 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     named = edges.join(ends.select(F.col("sig").alias("a"), F.col("node").alias("na")), "a").join(ends.select(F.col("sig").alias("b"), F.col("node").alias("nb")), "b")
     roots = components(named.select(F.col("na").alias("a"), F.col("nb").alias("b")))
     first = classes.join(roots.select("node.sig", F.col("root.rep").alias("root")), "sig", "left").select("sig", F.coalesce("root", "rep").alias("least"))
-    joined = plain.join(first, "sig", "left")
+    # Written first, so that the join has exchanges alone below it and a hot set's rows can be split.
+    joined = plain.join(checkpoint(first), "sig", "left")
     found = F.when(F.col("least") != NOBODY, F.col("least"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, found).otherwise(F.col("doc_id")).alias("component_id"))
 
