@@ -33,16 +33,16 @@ class Band:
 
 #: Whole documents: ratio limits by length in bytes.
 DOCUMENT_BANDS = (
-    Band(400, 1.12, 2.5),
-    Band(1_000, 1.20, 2.8),
-    Band(4_000, 1.38, 3.2),
-    Band(16_000, 1.50, 3.6),
-    Band(64_000, 1.60, 4.0),
-    Band(None, 1.60, 4.5),
+    Band(400, 1.12, 2.8),
+    Band(1_000, 1.20, 3.2),
+    Band(4_000, 1.38, 3.8),
+    Band(16_000, 1.50, 4.4),
+    Band(64_000, 1.60, 5.0),
+    Band(None, 1.60, 5.5),
 )
 #: Fixed chunks; a last chunk under MIN_CHUNK bytes isn't judged.
 CHUNK_BYTES, MIN_CHUNK = 4096, 1024
-CHUNK_BANDS = (Band(2_048, 1.30, 3.4), Band(None, 1.40, 3.8))
+CHUNK_BANDS = (Band(2_048, 1.30, 3.8), Band(None, 1.40, 4.4))
 #: The share of a document's chunks that may lie outside their band.
 BAD_CHUNKS = 0.25
 LEVEL = 3
