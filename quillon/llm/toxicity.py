@@ -79,11 +79,9 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.words, self.weights, self.bias = _Known(model.weights), model.weights, model.bias
 
-    def sentence(self, text: str) -> float:
-        """Log-odds of a sentence (lower-cased). Each feature counts once, however often it is said."""
-        held: set[str] = set()
-        for found in filter(None, map(self.words.__getitem__, WORD(text))):
-            held.update(found)
+    def sentence(self, words: set[str]) -> float:
+        """Log-odds of a sentence from its words with weights. Each feature counts once, however often it is said."""
+        held = {f for w in words for f in self.words[w]}
         return self.bias + sum(map(self.weights.__getitem__, sorted(held)))
 
     def score(self, text: str | None) -> tuple[float, int, float, list[tuple[int, int, float]]]:
@@ -95,7 +93,12 @@ class Scorer:
         spans = sentences_of(low)
         if not spans:
             return 0.0, 0, 0.0, []
-        z = np.array([self.sentence(low[a:b]) for a, b in spans])
+        told = {w for w in set(WORD(low)) if self.words[w]}  # most words say nothing
+        z = np.full(len(spans), self.bias)
+        if told:
+            for i, (a, b) in enumerate(spans):
+                if found := told.intersection(WORD(low, a, b)):
+                    z[i] = self.sentence(found)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         score = 1 - float(np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
         found = [(*spans[i], float(p[i])) for i in np.flatnonzero(p >= 0.5)] if len(low) == len(text) else [(0, len(text), float(p.max()))] * bool((p >= 0.5).any())
