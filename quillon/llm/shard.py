@@ -43,11 +43,11 @@ def buckets(first: np.ndarray, second: np.ndarray, bounds: tuple[np.ndarray, np.
     """How many of the sorted bounds are at or below each key."""
     low, high = np.searchsorted(bounds[0], first, "left"), np.searchsorted(bounds[0], first, "right")
     tied = np.flatnonzero(low < high)
-    for at in np.unique(low[tied]):
-        rows = tied[low[tied] == at]
-        to = high[rows[0]]
-        low[rows] = at + np.searchsorted(bounds[1][at:to], second[rows], "right")
-    return low
+    out, begin = low.copy(), low[tied]
+    for at in np.unique(begin):
+        rows = tied[begin == at]
+        out[rows] = at + np.searchsorted(bounds[1][at : high[rows[0]]], second[rows], "right")
+    return out
 
 
 def count_between(keys: DataFrame, points: list[int]) -> list[tuple[int, int]]:
