@@ -37,7 +37,7 @@ from .shingles import shingle_set, signature
 #: Documents sampled for the order of shingles, copies there that make one frequent, and how many are kept.
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 4000, 4, 200_000
 #: Postings of one part, and sets and shingles that one task holds at once.
-PART_POSTINGS, TASK_SETS, TASK_SHINGLES = 1_000_000, 3_000, 4_000_000
+PART_POSTINGS, TASK_SETS, TASK_SHINGLES = 1_000_000, 500, 1_000_000
 #: Stands for the id of a class of rows without one; behind all others.
 NOBODY = (1 << 63) - 1
 SHORTEST = 4  # a smaller set is linked with equal sets only
@@ -209,30 +209,31 @@ def regions(met: DataFrame) -> DataFrame:
     return kept.select("sig", F.col("pivot").alias("region"), F.ceil(F.pow(F.lit(STEP), F.col("n") + 1)).cast("long").alias("about_n"))
 
 
-FOUND = "kind byte, a long, b long, region long, d double"
+FOUND = "kind byte, a long, b long, region long, d double, text string"
 
 
 def join_tasks(members: DataFrame) -> DataFrame:
-    """Joins each task's sets: links (kind 0), and distances of sets in dealt regions (kind 1: tied, 2: loose)."""
+    """Joins each task's sets: links (kind 0), and distances and texts of sets in dealt regions (kind 1: tied, 2: loose)."""
     arrow = to_arrow_schema(schema_of(FOUND))
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         out: list[list] = [[] for _ in arrow]
-        task, region, dealt, held = None, None, False, {}
+        task, region, dealt, held, texts = None, None, False, {}, {}
 
         def close():
             names = list(held)
             pivot = names.index(region) if region in held else None
             links, to, roots = join_region([held[x] for x in names], pivot)
             for a, b in links:
-                for column, value in zip(out, (0, names[a], names[b], region, None)):
+                for column, value in zip(out, (0, names[a], names[b], region, None, None)):
                     column.append(value)
             if dealt and pivot is not None:
                 for i, name in enumerate(names):
-                    for column, value in zip(out, (1 if roots[i] == roots[pivot] else 2, name, None, region, float(to[i]))):
+                    for column, value in zip(out, (1 if roots[i] == roots[pivot] else 2, name, None, region, float(to[i]), texts[name])):
                         column.append(value)
             held.clear()
+            texts.clear()
 
         def flush():
             made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
@@ -249,7 +250,9 @@ def join_tasks(members: DataFrame) -> DataFrame:
                     hashes = shingle_set(row["text"])
                     if signature(hashes) == row["sig"]:  # an id may stand for several texts
                         held[row["sig"]] = hashes
-                if len(out[0]) > 10_000:
+                        if dealt:
+                            texts[row["sig"]] = row["text"]
+                if len(out[0]) > 1_000:
                     yield flush()
         if held:
             close()
@@ -297,7 +300,8 @@ def links(docs: DataFrame, task_sets: int = TASK_SETS, task_shingles: int = TASK
     of_right = all_.select("sig", "region", F.col("band").alias("near")).join(grid, ["region", "near"])
     other_rows = of_right.select("sig", "region", "of", "near", j_of.alias("j"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"))
     blocks = loose_rows.unionByName(other_rows).select("sig", "region", F.xxhash64(task).alias("task"), F.lit(False).alias("dealt")).distinct()
-    second = checkpoint(join_tasks(with_texts(blocks, classes, docs)))
+    texts = first.where("kind > 0").select(F.col("a").alias("sig"), "region", "text").dropDuplicates(["sig", "region"])
+    second = checkpoint(join_tasks(blocks.join(texts, ["sig", "region"]).select("region", "task", "dealt", "sig", "text")))
     return plain, edges.union(second.where("kind = 0").select("a", "b"))
 
 
