@@ -12,6 +12,27 @@ def running(df: DataFrame, order: list[Column], cost: Column, by: list[str] | No
     return df.withColumn("used", F.sum(cost).over(window))
 
 
+def suffix_sum(df: DataFrame, order: str, value: Column, name: str, parts: int | None = None) -> DataFrame:
+    """Adds the sum of ``value`` from each row to the last one by ``order``, over the whole table.
+
+    Two levels: the table is cut at quantiles of the numeric ``order`` into ranges
+    (as many as shuffle partitions), a window sums within a range, and the total of
+    all later ranges, one row a range, is added. The cuts move work, never results.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    at = F.col(order)
+    # Nulls are last, as in the SQL.
+    part = F.when(at.isNull(), len(cuts)).otherwise(F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, c: n + (at > c).cast("int"))) if cuts else F.lit(0)
+    held = df.withColumns({"__part": part, "__value": value})
+    later = Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ahead = held.groupBy("__part").agg(F.sum("__value").alias("__sum")).select("__part", F.sum("__sum").over(later).alias("__ahead"))
+    within = Window.partitionBy("__part").orderBy(at.asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
+    own = held.withColumn("__own", F.sum("__value").over(within)).join(F.broadcast(ahead), "__part")
+    total = F.coalesce(F.col("__own") + F.coalesce("__ahead", F.lit(0)), "__ahead")
+    return own.withColumn(name, total).drop("__part", "__value", "__own", "__ahead")
+
+
 def fit(df: DataFrame, order: list[Column], cost: Column, budget: int, per_unit: int = 4, by: list[str] | None = None) -> DataFrame:
     """The rows whose running cost stays within the budget (in units of ``per_unit``).
 

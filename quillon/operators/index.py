@@ -117,6 +117,18 @@ def prefer_same(joined: DataFrame, key: list[str], same: Column) -> DataFrame:
     return joined.withColumn("__same", same.cast("int")).withColumn("__best", best).where("__same = __best").drop("__same", "__best")
 
 
+def prefer_same_join(left: DataFrame, right: DataFrame, key: str, on: list[str], group: str) -> DataFrame:
+    """The pairs that agree on ``on`` as prefer_same would leave them, without making the pairs it drops.
+
+    Pairs of one group are an equi-join; only keys without any are joined with all
+    candidates. Rows without a group are no candidates and get none.
+    """
+    a, b = left.where(F.col(group).isNotNull()), right.where(F.col(group).isNotNull())
+    own = a.join(b, [*on, group])
+    rest = a.join(own.select(key).distinct(), key, "left_anti").drop(group).join(b.drop(group), on)
+    return own.drop(group).unionByName(rest)
+
+
 def layered_union(layers: list[tuple[str, DataFrame]], key: list[str]) -> DataFrame:
     """Union of layers, each pair kept once with the most trusted layer's name."""
     tagged = [df.select(*key, F.lit(rank).alias("rank"), F.lit(name).alias("layer")) for rank, (name, df) in enumerate(layers)]

@@ -48,6 +48,14 @@ def suffix_join(spark, d):
     return index.suffix_join(names, "name", pages.select("page_id", F.regexp_replace("url", "^https?://", "").alias("path")), "path").select("name", "page_id")
 
 
+@query("WITH n AS (SELECT DISTINCT regexp_extract(url, '[^/]*$') AS name FROM pages), p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages) SELECT name, page_id FROM n JOIN p ON path = name OR ends_with(path, concat('/', name))")
+def suffix_join_all(spark, d):
+    """suffix_join with the names of all pages."""
+    pages = table(spark, d, "pages")
+    names = pages.select(F.regexp_extract("url", "[^/]*$", 0).alias("name")).distinct()
+    return index.suffix_join(names, "name", pages.select("page_id", F.regexp_replace("url", "^https?://", "").alias("path")), "path").select("name", "page_id")
+
+
 @query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_suppkey = c_custkey OR (s_nationkey = c_nationkey AND s_suppkey = c_custkey % 100 + 0 AND c_mktsegment = 'BUILDING')")
 def or_join_union(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", F.concat_ws(":", "s_nationkey", "s_suppkey").alias("s_both"))
@@ -63,6 +71,13 @@ def first_candidate(spark, d):
     return index.first_candidate(o, "o_orderkey", F.array(k * 7, k * 3, k), table(spark, d, "part"), "p_partkey")
 
 
+@query("WITH c AS (SELECT o_orderkey, unnest([o_custkey * 7, o_custkey * 3, o_custkey]) AS p, unnest([0, 1, 2]) AS pos FROM orders) SELECT o_orderkey, arg_min(p, pos) AS p_partkey FROM c JOIN part ON p = p_partkey GROUP BY 1")
+def first_candidate_all(spark, d):
+    """first_candidate for all orders."""
+    k = F.col("o_custkey")
+    return index.first_candidate(table(spark, d, "orders"), "o_orderkey", F.array(k * 7, k * 3, k), table(spark, d, "part"), "p_partkey")
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def semi_join(spark, d):
     c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 400000")
@@ -110,6 +125,14 @@ def same_group_preference(spark, d):
     return index.prefer_same(joined, ["c_custkey"], F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey")
 
 
+@query("WITH j AS (SELECT c_custkey, s_suppkey, (c_nationkey = s_nationkey)::INT AS same FROM customer JOIN supplier ON c_custkey % 5 = s_suppkey % 5) SELECT c_custkey, s_suppkey FROM (SELECT *, max(same) OVER (PARTITION BY c_custkey) AS best FROM j) WHERE same = best")
+def same_group_preference_all(spark, d):
+    """same_group_preference for all customers; candidates of other nations are joined only where there is no other."""
+    c = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 5).alias("k"), F.col("c_nationkey").alias("nation"))
+    s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 5).alias("k"), F.col("s_nationkey").alias("nation"))
+    return index.prefer_same_join(c, s, "c_custkey", ["k"], "nation").select("c_custkey", "s_suppkey")
+
+
 @query("WITH u AS (SELECT user_id, event_type, 0 AS rank, 'big' AS layer FROM events WHERE value > 300 UNION ALL SELECT user_id, event_type, 1, 'even' FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_type, 2, 'any' FROM events) SELECT user_id, event_type, min(rank)::BIGINT AS rank, arg_min(layer, rank) AS layer FROM u GROUP BY 1, 2")
 def precedence_union(spark, d):
     e = table(spark, d, "events")
@@ -221,6 +244,14 @@ def innermost_interval(spark, d):
     return held.withColumn("r", F.row_number().over(order)).where("r = 1").select("k", "id", "name")
 
 
+@query(f"WITH {SPAN_SQL}, j AS (SELECT o.k, o.id, spans.name, row_number() OVER (PARTITION BY o.id ORDER BY s DESC, e - s, name) AS r FROM o JOIN spans ON o.k = spans.k AND day BETWEEN s AND e) SELECT k, id, name FROM j WHERE r = 1")
+def innermost_interval_all(spark, d):
+    """innermost_interval for all orders; the least of (latest start, shortest, name) is an aggregate, so no window sorts."""
+    held = intervals.point_join(order_days(spark, d), "day", spans(spark, d), "s", "e", ["k"], 400)
+    best = F.min_by(F.struct("k", "name"), F.struct(-F.col("s"), F.col("e") - F.col("s"), "name"))
+    return held.groupBy("id").agg(best.alias("b")).select("b.k", "id", "b.name")
+
+
 @query(f"WITH {SPAN_SQL} SELECT o.id, min(e - s)::BIGINT AS size FROM o JOIN spans ON o.k = spans.k AND day BETWEEN s AND e GROUP BY 1")
 def smallest_interval(spark, d):
     best = intervals.innermost(order_days(spark, d), ["id"], "day", spans(spark, d), "s", "e", ["k"], 400, smallest=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import intervals
+from ..operators import budget, intervals
 from ..session import table
 from .catalog import query
 
@@ -54,6 +54,14 @@ def suffix_sums(spark, d):
     return table(spark, d, "customer").where("c_custkey < 200").select("c_custkey", F.sum(F.col("c_acctbal").cast("decimal(15,2)")).over(w).cast("decimal(18,2)").alias("left_sum"))
 
 
+@query("SELECT c_custkey, sum(c_acctbal::DECIMAL(15,2)) OVER (ORDER BY c_custkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DECIMAL(18,2) AS left_sum FROM customer")
+def suffix_sums_all(spark, d):
+    """suffix_sums over all customers, in two levels."""
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    left = budget.suffix_sum(c, "c_custkey", F.col("c_acctbal").cast("decimal(15,2)"), "left_sum")
+    return left.select("c_custkey", F.col("left_sum").cast("decimal(18,2)").alias("left_sum"))
+
+
 @query("SELECT event_id, last_value(CASE WHEN value > 100 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_big FROM events")
 def last_non_empty(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
