@@ -22,6 +22,8 @@ SAMPLE_PER_LANGUAGE, LANGUAGES = 700, 120
 FEATURES = 4096
 FOLDS, FOLD = 4, 2
 UNDETERMINED = "und"
+#: Fewest learned documents from which a distance limit is set, spread of a document's mean and of one n-gram's, share of the limit beyond the farthest learned document.
+LEAST_KNOWN, SPREAD, SPREAD_OF_ONE, ROOM = 50, 0.1, 1.0, 1.7
 
 # Families of ISO 639-1 codes. A code that isn't listed is a family of its own.
 FAMILIES = {
@@ -94,12 +96,60 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int = 1
     return w, float(b)
 
 
+@dataclass
+class Nearness:
+    """How near a text is to any of the learned languages, by its n-grams.
+
+    Each n-gram counts as in the language where it is most frequent, so texts of
+    several learned languages are near. The distance is the mean log frequency
+    below that of the learned documents, in spreads for the text's size.
+    """
+
+    log_p: np.ndarray
+    middle: float
+    limit: float
+
+    def distance(self, x: np.ndarray) -> float:
+        mean, size = mean_log(x, self.log_p)
+        return (self.middle - mean) / float(np.sqrt(SPREAD**2 + SPREAD_OF_ONE / size))
+
+    def factor(self, x: np.ndarray) -> float:
+        """1 well within the limit, 1/2 at the limit, 0 far from all languages."""
+        return float(1 / (1 + np.exp(np.clip(4.0 * (self.distance(x) - self.limit), -40, 40))))
+
+
+def mean_log(x: np.ndarray, log_p: np.ndarray) -> tuple[float, float]:
+    """Mean of log_p over the features, and how many n-grams they are worth."""
+    total = float(x.sum())
+    return float(x @ log_p) / total, total * total
+
+
+def profile(x: np.ndarray, named: np.ndarray) -> np.ndarray:
+    sums = [x[named == lang].sum(axis=0, dtype=np.float64) for lang in np.unique(named)]
+    return np.max([np.log(p / p.sum() + 1e-5) for p in sums], axis=0)
+
+
+def nearness(x: np.ndarray, named: np.ndarray) -> Nearness | None:
+    """Profiles of the languages; the limit from documents that a profile of the other half hasn't seen."""
+    half = np.zeros(len(named), bool)
+    for lang in np.unique(named):
+        half[np.flatnonzero(named == lang)[::2]] = True
+    if len(named) < LEAST_KNOWN or len(np.unique(named[half])) != len(np.unique(named[~half])):
+        return None
+    known = np.array([mean_log(row, log_p) for part in (half, ~half) for log_p in [profile(x[part], named[part])] for row in x[~part]])
+    found = Nearness(profile(x, named), float(np.median(known[:, 0])), 0.0)
+    away = (found.middle - known[:, 0]) / np.sqrt(SPREAD**2 + SPREAD_OF_ONE / known[:, 1])
+    found.limit = ROOM * float(away.max())
+    return found
+
+
 @dataclass
 class Model:
     families: list[str]
     members: list[list[str]]  # languages of each family
     family_models: tuple[np.ndarray, np.ndarray]
     pairs: list[tuple[list[tuple[int, int]], np.ndarray, np.ndarray]]  # of each family
+    near: Nearness | None = None  # None: too few documents to tell what is far
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = counts_of(text)
@@ -125,6 +175,8 @@ class Model:
             at = int(np.lexsort((-total, -votes))[0])
             least = min(m if i == at else -m for (i, j), m in zip(which, margins, strict=True) if at in (i, j))
             score *= 1 / (1 + np.exp(-4.0 * float(least)))
+        if self.near is not None:
+            score *= self.near.factor(x)
         return langs[at], float(min(1.0, max(0.0, score)))
 
 
@@ -148,7 +200,7 @@ def train(samples: list[tuple[str, np.ndarray]]) -> Model:
             rows = (named == own[i]) | (named == own[j])
             made.append(linear_svm(x[rows], np.where(named[rows] == own[i], 1, -1).astype(np.float32)))
         pairs.append((which, np.stack([w for w, _ in made]), np.array([b for _, b in made])) if made else ([], np.zeros((0, FEATURES)), np.zeros(0)))
-    return Model(families, members, family_models, pairs)
+    return Model(families, members, family_models, pairs, nearness(x, named))
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, languages: int = LANGUAGES) -> Model:

@@ -104,3 +104,20 @@ def test_toxicity_odd_rows(spark):
     some = spark.createDataFrame([(4, 1), (5, None), (4, 0), (None, 1), (77, 1)], "doc_id long, toxic int")
     assert np.isfinite(toxicity.fit(df, some).bias)  # document 4 is labelled both ways
     assert toxicity.score_documents(df.limit(0), model).collect() == []
+
+
+def test_unlearned_languages_are_far(spark):
+    import corpus_pipeline
+
+    docs = common.table(spark, "/root/testdata/sf0.1", "documents")
+    model = langid.fit(docs)
+    least = corpus_pipeline.LEAST_LANGUAGE_SCORE
+    r = random.Random(5)
+    junk = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=n)) for n in (200, 1000)]
+    far = ["Это русский текст о погоде и природе в городе. Сегодня хорошая погода и мы идём гулять", "日本語の文章です。これは学習していない言語です。" * 3, *junk]
+    assert all(model.predict(t)[1] < least for t in far)
+    assert all(model.predict(t)[1] >= least for t in ("the and of", "Avec.", "Das ist", "plain", "the and of with that is"))
+    rows = spark.createDataFrame([(1, far[0]), (2, "the and of")], "doc_id long, text string")
+    assert [x.doc_id for x in langid.keep_known(rows, model, least).collect()] == [2]
+    got = langid.identify(docs, model).where("held_out and lang_pred != 'und'").select("score").collect()
+    assert np.mean([x.score < least for x in got]) < 0.001
