@@ -32,11 +32,12 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 ANNOUNCED = ("passw", "secret", "token", "api")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
 
 #: Characters seen of the context on each side and of each end of a candidate.
 CONTEXT, HEAD, TAIL = 20, 28, 12
 WIDTH = CONTEXT + HEAD + TAIL + CONTEXT
+#: A longer run is also seen in windows of HEAD + TAIL characters, so many apart.
+STRIDE = 20
 CLASSES = 24
 FILTERS, KERNEL, HIDDEN = 32, 5, 16
 FINDINGS, RECALL, SEED = 6_000, 0.98, 7
@@ -55,8 +56,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Every run of 16 or more key-like characters with a digit in it."""
-    return [m.span() for m in CANDIDATE.finditer(text) if DIGIT.search(text, *m.span())]
+    """Every run of 16 or more key-like characters."""
+    return [m.span() for m in CANDIDATE.finditer(text)]
+
+
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """The run, and if the network doesn't see all of it, windows that cover it."""
+    wide = HEAD + TAIL
+    if end - start <= wide:
+        return [(start, end)]
+    return [(start, end), *((a, a + wide) for a in range(start, end - wide, STRIDE)), (end - wide, end)]
 
 
 def class_of(c: str) -> int:
@@ -206,13 +215,15 @@ def calibrate(net: Network, codes: np.ndarray, stats: np.ndarray, y: np.ndarray,
 def synthetic_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, bool]]:
     """Labelled findings written from a seed: keys of many forms, and what looks like them."""
     r = random.Random(seed)
-    low, letters, alnum = string.ascii_lowercase, string.ascii_letters, string.ascii_letters + string.digits
+    letters, alnum = string.ascii_letters, string.ascii_letters + string.digits
     some = lambda chars, a, b: "".join(r.choices(chars, k=r.randint(a, b)))
     syllables = [some("bcdfghklmnprstvw", 1, 2) + some("aeiou", 1, 2) for _ in range(60)]
     word = lambda: "".join(r.choices(syllables, k=r.randint(1, 4)))
 
     def secret() -> str:
-        kind = r.randrange(9)
+        kind = r.randrange(11)
+        if kind == 9:
+            return some(letters, 16, 40)
         if kind == 0:
             return some(alnum + "+/", 20, 64) + r.choice(["", "=", "=="])
         if kind == 1:
@@ -232,7 +243,23 @@ def synthetic_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, i
         return some(alnum, 16, 48)
 
     def harmless() -> str:
-        kind = r.randrange(12)
+        kind = r.randrange(20)
+        if kind == 12:
+            return "".join(word() for _ in range(r.randint(5, 7)))
+        if kind == 13:
+            return "".join(word().capitalize() for _ in range(r.randint(5, 8)))
+        if kind == 14:
+            return r.choice("/.-_").join(word() for _ in range(r.randint(5, 20)))
+        if kind == 15:
+            return r.choice("/.-_+=").join(word().upper() for _ in range(r.randint(4, 8)))
+        if kind == 16:
+            return r.choice("=-._/+") * r.randint(16, 80)
+        if kind == 17:
+            return (word() * 16)[: r.randint(16, 60)]
+        if kind == 18:
+            return "//" + r.choice(["www.", "m.", ""]) + word() + "-" + word() + ".example.com/" + "/".join(word() for _ in range(r.randint(1, 4)))
+        if kind == 19:
+            return word() + r.choice(["...", "--", "/", "=", "."]) + "".join(word() for _ in range(r.randint(5, 7))) + r.choice(["", "."])
         if kind == 0:
             return word() + word() + word() + word() + str(r.randint(0, 99))
         if kind == 1:
@@ -264,10 +291,8 @@ def synthetic_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, i
     for i in range(n):
         yes = i % 2 == 0
         part = secret() if yes else harmless()
-        if not DIGIT.search(part):
-            part += str(r.randint(0, 9))
-        if len(part) < 16:
-            part += some(low if not yes else letters, 16, 16)
+        while len(part) < 16:
+            part += some(letters, 16, 16) if yes else word()
         if r.random() < (0.5 if yes else 0.1):
             lead = r.choice(["key", "auth", "bearer", "credential", "access_key", "client_id", "pass", "signature", "id"]) + r.choice(["=", ": ", ' = "', "='", " "])
         else:
@@ -276,17 +301,46 @@ def synthetic_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, i
         if before and before[-1].isalnum():
             before += " "
         after = r.choice(["", '"', "'", ")", ",", ";", "###", "$$$"]) + r.choice([" ", "\n"]) + prose(r.randint(0, 6))
-        out.append((before + part + after, len(before), len(before) + len(part), yes))
+        start, end = len(before), len(before) + len(part)
+        if yes and r.random() < 0.15:
+            # Inside a longer run: the finding is a window that holds most of the key.
+            sign = r.choice("/.")
+            lead = before + sign + sign.join(word() for _ in range(r.randint(4, 10))) + sign
+            after = sign + sign.join(word() for _ in range(r.randint(4, 10))) + after
+            start = len(lead) + r.randint(-10, max(0, len(part) - 30))
+            before, end = lead, start + HEAD + TAIL
+        out.append((before + part + after, start, end, yes))
     return out
 
 
 def fit(findings: list[tuple[str, int, int, bool]] | None = None, recall: float = RECALL) -> Network:
     rows = synthetic_findings() if findings is None else findings
+    # All windows of what is no secret are none; those of a secret needn't hold its key.
+    rows = [(t, *w, y) for t, a, b, y in rows for w in (windows(a, b) if not y else [(a, b)])]
     codes = np.stack([encode(t, a, b) for t, a, b, _ in rows])
     stats = np.array([statistics(t, a, b) for t, a, b, _ in rows], np.float32)
     return train(codes, stats, np.array([float(y) for *_, y in rows], np.float32), recall=recall)
 
 
+def scored(texts, network: Network) -> list[list[tuple[int, int, float]]]:
+    """(start, end, score) of every candidate of each text; the score of a run is that of its best window."""
+    asked, codes, stats = [], [], []
+    for i, text in enumerate(texts):
+        for a, b in candidates(text) if text else ():
+            for w in windows(a, b):
+                asked.append((i, a, b))
+                codes.append(encode(text, *w))
+                stats.append(statistics(text, *w))
+    found: list[list] = [[] for _ in texts]
+    if asked:
+        best: dict[tuple[int, int, int], float] = {}
+        for run, p in zip(asked, network.probability(np.stack(codes), np.array(stats, np.float32)).tolist(), strict=True):
+            best[run] = max(p, best.get(run, 0.0))
+        for (i, a, b), p in best.items():
+            found[i].append((a, b, p))
+    return found
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -306,16 +360,9 @@ def scan(docs: DataFrame, network: Network, columns=("doc_id", "text")) -> DataF
 
         def work(doc_ids, texts):
             base = [base_spans(t) if t else [] for t in texts]
-            asked, codes, stats = [], [], []
-            for i, text in enumerate(texts):
-                for a, b in candidates(text) if text else ():
-                    asked.append((i, a, b))
-                    codes.append(encode(text, a, b))
-                    stats.append(statistics(text, a, b))
             found: list[list] = [[(a, k, b, 1.0) for a, k, b in x] for x in base]
-            if asked:
-                p = net.probability(np.stack(codes), np.array(stats, np.float32))
-                for (i, a, b), score in zip(asked, p.tolist(), strict=True):
+            for i, runs in enumerate(scored(texts, net)):
+                for a, b, score in runs:
                     if score >= net.threshold and not any(x < b and a < y for x, _, y in base[i]):
                         found[i].append((a, 3, b, score))
             spans = [[{"kind": KINDS[k], "start": a, "end": b, "score": s} for a, k, b, s in sorted(x)] for x in found]
@@ -331,10 +378,7 @@ def redact_text(text: str | None, network: Network) -> str | None:
     if not text:
         return text
     spans = [(a, b, KINDS[k]) for a, k, b in base_spans(text)]
-    asked = candidates(text)
-    if asked:
-        p = network.probability(np.stack([encode(text, a, b) for a, b in asked]), np.array([statistics(text, a, b) for a, b in asked], np.float32))
-        spans += [(a, b, "cnn") for (a, b), s in zip(asked, p.tolist(), strict=True) if s >= network.threshold]
+    spans += [(a, b, "cnn") for a, b, s in scored([text], network)[0] if s >= network.threshold]
     out, at = [], 0
     for a, b, kind in sorted(spans):
         if b <= at:

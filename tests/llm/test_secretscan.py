@@ -75,3 +75,23 @@ def test_redact(spark, network):
     df = spark.createDataFrame([(1, "password=abcdef1 stays", 22, "a"), (2, None, None, "b"), (3, "plain", 5, "c")], "doc_id long, text string, n_chars long, extra string")
     got = [tuple(r) for r in S.redact(df, network).collect()]
     assert got == [(1, "[assign] stays", 14, "a"), (2, None, None, "b"), (3, "plain", 5, "c")]
+
+
+def test_letters_only_and_long_runs(network):
+    """Runs without a digit and the middle of long runs are scored."""
+    r = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    found = lambda text: any(p >= network.threshold for *_, p in S.scored([text], network)[0])
+    keys = ["".join(r.choices(letters, k=32)) for _ in range(100)]
+    assert np.mean([found(f"Bearer {k} now") for k in keys]) > 0.9
+    path = lambda n: "/".join("".join(r.choices(["ba", "to", "re", "li", "mon", "ser", "ka"], k=3)) for _ in range(n))
+    mixed = ["".join(r.choices(letters + "0123456789", k=32)) for _ in range(100)]
+    assert np.mean([found(f"see {path(8)}/{k}/{path(6)} now") for k in mixed]) > 0.9
+    assert np.mean([found(f"see {path(15)} now") for _ in keys]) < 0.05
+    assert any(not re.search("[0-9]", t[a:b]) for t, a, b, y in S.synthetic_findings(500) if y)
+
+
+def test_windows_cover():
+    for n in (16, 40, 41, 60, 61, 99, 500):
+        held = S.windows(7, 7 + n)
+        assert held[0] == (7, 7 + n) and {i for a, b in held if b - a <= S.HEAD + S.TAIL for i in range(a, b)} == set(range(7, 7 + n))
