@@ -322,6 +322,14 @@ def fit(findings: list[tuple[str, int, int, bool]] | None = None, recall: float
     return train(codes, stats, np.array([float(y) for *_, y in rows], np.float32), recall=recall)
 
 
+def covered(start: int, end: int, base: list[tuple[int, int, int]]) -> bool:
+    """Whether the base spans, sorted, together hold every character."""
+    for a, _, b in base:
+        if a <= start < b:
+            start = b
+    return start >= end
+
+
 def scored(texts, network: Network) -> list[list[tuple[int, int, float]]]:
     """(start, end, score) of every candidate of each text; the score of a run is that of its best window."""
     asked, codes, stats = [], [], []
@@ -348,8 +356,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, network: Network, columns=("doc_id", "text")) -> DataFrame:
     """doc_id and the spans (kind, start, end, score) of every whole text, in code points.
 
-    Base spans have score 1. Every candidate is scored; those that lie in a base span
-    add nothing, as the finding is there already. Null and empty texts have no span;
+    Base spans have score 1. Every candidate is scored; those that lie in base spans
+    add nothing, as the finding is there already; others may overlap them. Null and empty texts have no span;
     repeated rows give repeated results; other columns are not read. A map without
     a shuffle.
     """
@@ -363,7 +371,7 @@ def scan(docs: DataFrame, network: Network, columns=("doc_id", "text")) -> DataF
             found: list[list] = [[(a, k, b, 1.0) for a, k, b in x] for x in base]
             for i, runs in enumerate(scored(texts, net)):
                 for a, b, score in runs:
-                    if score >= net.threshold and not any(x < b and a < y for x, _, y in base[i]):
+                    if score >= net.threshold and not covered(a, b, base[i]):
                         found[i].append((a, 3, b, score))
             spans = [[{"kind": KINDS[k], "start": a, "end": b, "score": s} for a, k, b, s in sorted(x)] for x in found]
             return [doc_ids, spans]

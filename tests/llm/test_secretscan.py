@@ -95,3 +95,11 @@ def test_windows_cover():
     for n in (16, 40, 41, 60, 61, 99, 500):
         held = S.windows(7, 7 + n)
         assert held[0] == (7, 7 + n) and {i for a, b in held if b - a <= S.HEAD + S.TAIL for i in range(a, b)} == set(range(7, 7 + n))
+
+
+def test_rest_of_a_base_span_is_kept(spark, network):
+    key = "a1B2c3D4e5f6G7h8J9k0" * 2
+    text = f"see AKIA{'QWERTZUIOPASDFGH'}={key} now"
+    got = S.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), network).collect()[0].spans
+    assert [(x.kind, x.start, x.end) for x in got] == [("access", 4, 24), ("cnn", 4, len(text) - 4)]
+    assert S.covered(2, 8, [(0, 0, 5), (5, 2, 8)]) and not S.covered(2, 9, [(0, 0, 5), (5, 2, 8)]) and not S.covered(2, 8, [(3, 0, 9)])
