@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import filter_rows, held_out, map_columns
 
-#: Bounded sample of labelled rows: about so many documents of each language, of the most frequent languages.
+#: Bounded sample of labelled rows: about so many documents of each language; of more languages than these, fewer of each.
 SAMPLE_PER_LANGUAGE, LANGUAGES = 700, 120
 FEATURES = 4096
 FOLDS, FOLD = 4, 2
@@ -206,13 +206,15 @@ def train(samples: list[tuple[str, np.ndarray]]) -> Model:
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
     """Learns from text and lang of the rows outside the held-out fold.
 
-    The share taken of each language is set so that about ``per_language`` rows
-    come from it; rows are chosen by a hash, whatever their order.
+    Every language is learned. The share taken of each is set so that about
+    ``per_language`` rows come from it, or its part of ``languages`` times as many
+    where there are more; rows are chosen by a hash, whatever their order.
     """
     learn = docs.where("lang is not null and text is not null").where(~held_out("doc_id", FOLDS, FOLD) & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = learn.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return train([])
+    per_language = min(per_language, max(1, per_language * languages // len(counts)))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, per_language / r["count"]))])
     chosen = learn.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")) * 1_000_000)
 

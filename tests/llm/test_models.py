@@ -121,3 +121,10 @@ def test_unlearned_languages_are_far(spark):
     assert [x.doc_id for x in langid.keep_known(rows, model, least).collect()] == [2]
     got = langid.identify(docs, model).where("held_out and lang_pred != 'und'").select("score").collect()
     assert np.mean([x.score < least for x in got]) < 0.001
+
+
+def test_every_language_is_learned(spark):
+    words = {"en": "the and of with that", "de": "der und von mit dass", "fr": "le et des avec que"}
+    rows = [(i, words[lang], lang) for i, lang in enumerate(k for k, n in (("en", 30), ("de", 20), ("fr", 10)) for _ in range(n))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=2)
+    assert sorted(x for m in model.members for x in m) == ["de", "en", "fr"] and model.predict("le et des")[0] == "fr"
