@@ -73,10 +73,12 @@ def held_out(column: str, folds: int, fold: int) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Reads the folder the cluster names; sets one only where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """Reads the folder the cluster names; a folder of this machine only where the whole of Spark is on it, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or "/tmp/checkpoints")
 
 
@@ -92,3 +94,12 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the folder of rows from ``written``, once nothing reads them any more."""
+    spark = df.sparkSession
+    for file in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        if path.getName().startswith("stage-"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

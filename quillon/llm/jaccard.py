@@ -4,13 +4,16 @@ d = 1 - Jaccard is a metric. Texts of unrelated documents share no shingle, so
 nearly all distances are exactly 1 and a few fixed pivots would tell nothing. The
 pivots are therefore documents found where sets meet: any two linked sets share
 some of the first floor(0.2 n) + 1 + n / 25 shingles of a common order, so each such
-shingle names the smallest set that holds it as pivot, and its holders join the
-region of that pivot. Each linked pair meets in at least one region.
+shingle names the set with the smallest signature that holds it as pivot, and its
+holders join the region of that pivot. Each linked pair meets in at least one region.
 
 A region is joined exactly and recursively (see region.py). A region that is too
 large for a task is dealt into chunks, each with the pivot; what is tied to the
-pivot there is connected. Only the loose rest is held against the others: in bands
-of the distance to the pivot, which by the triangle inequality only meet their
+pivot there is connected. Where something is loose, the region is divided again:
+its sets get a common order of their own, in which shingles that many of its own
+sets hold come last, and so new pivots and smaller regions, up to DEPTH times. A
+region of which even then something is loose is held against itself in bands of
+the distance to its pivot, which by the triangle inequality only meet their
 neighbours, and in blocks of bounded size.
 
 Shingles that are frequent in a bounded sample come last in the common order, so a
@@ -43,7 +46,9 @@ NOBODY = (1 << 63) - 1
 SHORTEST = 4  # a smaller set is linked with equal sets only
 #: A prefix is longer by a shingle in so many, and sizes are told apart by this factor.
 EXTRA, STEP = 25, 1.06
-MET = "kind byte, doc_id long, n long, sig long, pivot long, shared long"
+MET = "kind byte, doc_id long, text_hash long, n long, sig long, pivot long, shared long"
+#: How often a region is divided again, sets of a region that its own order is taken from, and copies there that put a shingle last.
+DEPTH, REGION_SAMPLE, REGION_FREQUENT = 4, 128, 3
 
 
 def frequent_shingles(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
@@ -91,7 +96,7 @@ CLASSES_APART = math.ceil(math.log(1.25) / math.log(STEP)) + 1
 def meet(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """Rows of documents (kind 0) and of meetings of a set with a pivot (kind 1).
 
-    Postings travel packed, 14 bytes each, a row for each part and batch, through
+    Postings travel packed, 15 bytes each, a row for each part and batch, through
     one exchange; a part is sorted in one task and has about PART_POSTINGS postings.
     Keys are cut to 40 bits within a part; two that fall together only cause a
     needless meeting. A meeting counts the shingles for which another set of a
@@ -125,7 +130,7 @@ def meet(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 part, owner = part[order], owner[order]
                 cut = np.ascontiguousarray(key[order].view(np.uint8).reshape(-1, 8)[:, :5])
                 edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-                made = [(int(part[a]), cut[a:b].tobytes(), owner[a:b, 0].tobytes(), owner[a:b, 1].astype(np.uint8).tobytes()) for a, b in zip(edges[:-1], edges[1:])]
+                made = [(int(part[a]), cut[a:b].tobytes(), owner[a:b, 0].tobytes(), owner[a:b, 1].astype(np.uint16).tobytes()) for a, b in zip(edges[:-1], edges[1:])]
                 m = len(made)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -134,17 +139,18 @@ def meet(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                         pa.array([x[2] for x in made] + [None] * rows, pa.binary()),
                         pa.array([x[3] for x in made] + [None] * rows, pa.binary()),
                         pa.concat_arrays([pa.nulls(m, pa.int64()), ids]),
+                        pa.concat_arrays([pa.nulls(m, pa.int64()), batch.column(2).slice(at, 2048)]),
                         pa.array([None] * m + sizes, pa.int64()),
                         pa.array([None] * m + sigs, pa.int64()),
                     ],
-                    names=["part", "keys", "owners", "sizes", "doc_id", "n", "sig"],
+                    names=["part", "keys", "owners", "sizes", "doc_id", "text_hash", "n", "sig"],
                 )
 
     arrow = to_arrow_schema(schema_of(MET))
 
-    def rows_of(kind, doc_id, size, sig, pivot, shared_keys):
+    def rows_of(kind, doc_id, text_hash, size, sig, pivot, shared_keys):
         count = len(sig)
-        columns = [pa.array(np.full(count, kind, np.int8)), doc_id, size, sig, pivot, shared_keys]
+        columns = [pa.array(np.full(count, kind, np.int8)), doc_id, text_hash, size, sig, pivot, shared_keys]
         return pa.RecordBatch.from_arrays([(pa.nulls(count, f.type) if c is None else pa.array(c, f.type)) for c, f in zip(columns, arrow)], schema=arrow)
 
     def met(held):
@@ -160,13 +166,13 @@ def meet(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         fits[:-1] |= near
         key, owner, size = key[fits], owner[fits], size[fits]
         if not len(key):
-            return rows_of(1, None, key, key, key, key)
+            return rows_of(1, None, None, key, key, key, key)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         pivot = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(key))))
         order = np.lexsort((pivot, owner))
         owner, pivot, size = owner[order], pivot[order], size[order]
         first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (pivot[1:] != pivot[:-1])]))
-        return rows_of(1, None, size[first], owner[first], pivot[first], np.diff(np.append(first, len(owner))))
+        return rows_of(1, None, None, size[first], owner[first], pivot[first], np.diff(np.append(first, len(owner))))
 
     def gathered(batches):
         part, held = None, []
@@ -175,7 +181,7 @@ def meet(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 piece = batch.slice(at, 4096)
                 plain = piece.filter(pc.is_null(piece.column(1)))
                 if plain.num_rows:
-                    yield rows_of(0, plain.column(4), plain.column(5), plain.column(6), None, None)
+                    yield rows_of(0, *(plain.column(i) for i in range(4, 8)), None, None)
                 for p, k, o, s in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(2).to_pylist(), piece.column(3).to_pylist()):
                     if k is None:
                         continue
@@ -183,57 +189,77 @@ def meet(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                         yield met(held)
                         held = []
                     part = p
-                    key = np.zeros((len(s), 8), np.uint8)
+                    key = np.zeros((len(s) // 2, 8), np.uint8)
                     key[:, :5] = np.frombuffer(k, np.uint8).reshape(-1, 5)
-                    held.append((key.view(np.int64)[:, 0], np.frombuffer(o, np.int64), np.frombuffer(s, np.uint8).astype(np.int16)))
+                    held.append((key.view(np.int64)[:, 0], np.frombuffer(o, np.int64), np.frombuffer(s, np.uint16).astype(np.int16)))
         if held:
             yield met(held)
 
-    sent = docs.select("doc_id", "text").mapInArrow(packed, "part int, keys binary, owners binary, sizes binary, doc_id long, n long, sig long")
+    sent = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(packed, "part int, keys binary, owners binary, sizes binary, doc_id long, text_hash long, n long, sig long")
     return sent.repartition(n, "part").sortWithinPartitions("part").mapInArrow(gathered, MET)
 
 
 def regions(met: DataFrame) -> DataFrame:
-    """(sig, region, about_n): the regions in which each set must be joined.
+    """(parent, sig, pivot, about_n): the regions in which each set of a parent region must be joined.
 
     A set that shares too few shingles with all others together is linked with
     none. Of the rest, linked sets share least_shared shingles, each in some region
     of both; so each set may leave its thinnest regions, as long as those hold less
     than half of that many, and every linked pair still meets.
     """
-    per = met.groupBy("sig", "pivot").agg(F.sum("shared").alias("shared"), F.first("n").alias("n"))
-    own = Window.partitionBy("sig")
+    per = met.groupBy("parent", "sig", "pivot").agg(F.sum("shared").alias("shared"), F.first("n").alias("n"))
+    own = Window.partitionBy("parent", "sig")
     smallest = F.floor(F.ceil(F.pow(F.lit(STEP), F.col("n")) * 0.8 - 1e-6) / EXTRA) + 1
     told = per.withColumn("total", F.sum("shared").over(own)).withColumn("so_far", F.sum("shared").over(own.orderBy("shared", "pivot").rowsBetween(Window.unboundedPreceding, 0)))
     kept = told.where((F.col("total") >= smallest) & (2 * F.col("so_far") > smallest - 1))
-    return kept.select("sig", F.col("pivot").alias("region"), F.ceil(F.pow(F.lit(STEP), F.col("n") + 1)).cast("long").alias("about_n"))
+    return kept.select("parent", "sig", "pivot", F.ceil(F.pow(F.lit(STEP), F.col("n") + 1)).cast("long").alias("about_n"))
 
 
-FOUND = "kind byte, a long, b long, region long, d double, text string"
+def dealt(met: DataFrame, task_sets: int, task_shingles: int) -> DataFrame:
+    """(parent, region, pivot, task, dealt, sig): the sets of each task; a region too large for one has its pivot in every chunk."""
+    chunks = F.greatest(F.ceil(F.col("sets") / task_sets), F.ceil(F.col("shingles") / task_shingles)).cast("int")
+    sizes = met.groupBy("parent", "pivot").agg(F.count("*").alias("sets"), F.sum("about_n").alias("shingles")).where("sets > 1").withColumn("chunks", chunks)
+    task = F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int").alias("task")
+    members = met.join(sizes.select("parent", "pivot", "chunks"), ["parent", "pivot"]).where("chunks = 1 or sig != pivot").select("parent", "pivot", task, (F.col("chunks") > 1).alias("dealt"), "sig")
+    pivots = sizes.where("chunks > 1").select("parent", "pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("task"), F.lit(True).alias("dealt"), F.col("pivot").alias("sig"))
+    region = F.when(F.col("parent") == 0, F.col("pivot")).otherwise(F.xxhash64("parent", "pivot"))
+    return members.unionByName(pivots).withColumn("region", region)
+
+
+FOUND = "kind byte, a long, b long, region long, pivot long, n long, known long, d double, text string"
+TASK = ["region", "pivot", "task"]
 
 
 def join_tasks(members: DataFrame) -> DataFrame:
-    """Joins each task's sets: links (kind 0), and distances and texts of sets in dealt regions (kind 1: tied, 2: loose)."""
+    """Joins each task's sets: links (kind 0), and what is known of sets in dealt regions (kind 1: tied to the pivot, 2: loose).
+
+    Sets with the same ``known`` are connected already; a set tied to the pivot is
+    from then on known by the region.
+    """
     arrow = to_arrow_schema(schema_of(FOUND))
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         out: list[list] = [[] for _ in arrow]
-        task, region, dealt, held, texts = None, None, False, {}, {}
+        task, is_dealt, held, texts, known = None, False, {}, {}, {}
+
+        def add(*row):
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
 
         def close():
+            region, pivot, _ = task
             names = list(held)
-            pivot = names.index(region) if region in held else None
-            links, to, roots = join_region([held[x] for x in names], pivot)
+            at = names.index(pivot) if pivot in held else None
+            links, to, roots = join_region([held[x] for x in names], at, [known[x] for x in names])
             for a, b in links:
-                for column, value in zip(out, (0, names[a], names[b], region, None, None)):
-                    column.append(value)
-            if dealt and pivot is not None:
+                add(0, names[a], names[b], region, None, None, None, None, None)
+            if is_dealt and at is not None:
                 for i, name in enumerate(names):
-                    for column, value in zip(out, (1 if roots[i] == roots[pivot] else 2, name, None, region, float(to[i]), texts[name])):
-                        column.append(value)
-            held.clear()
-            texts.clear()
+                    tied = roots[i] == roots[at]
+                    add(1 if tied else 2, name, None, region, pivot, len(held[name]), region if tied else known[name], float(to[i]), texts[name])
+            for x in (held, texts, known):
+                x.clear()
 
         def flush():
             made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
@@ -244,13 +270,13 @@ def join_tasks(members: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 for row in batch.slice(at, 64).to_pylist():
-                    if (row["region"], row["task"]) != (region, task) and held:
+                    if (now := tuple(row[x] for x in TASK)) != task and held:
                         close()
-                    region, task, dealt = row["region"], row["task"], row["dealt"]
+                    task, is_dealt = now, row["dealt"]
                     hashes = shingle_set(row["text"])
-                    if signature(hashes) == row["sig"]:  # an id may stand for several texts
-                        held[row["sig"]] = hashes
-                        if dealt:
+                    if signature(hashes) == row["sig"]:
+                        held[row["sig"]], known[row["sig"]] = hashes, row["known"]
+                        if is_dealt:
                             texts[row["sig"]] = row["text"]
                 if len(out[0]) > 1_000:
                     yield flush()
@@ -258,51 +284,114 @@ def join_tasks(members: DataFrame) -> DataFrame:
             close()
         yield flush()
 
-    return members.repartition(n, "region", "task").sortWithinPartitions("region", "task").mapInArrow(run, FOUND)
+    return members.select(*TASK, "dealt", "known", "sig", "text").repartition(n, *TASK).sortWithinPartitions(*TASK).mapInArrow(run, FOUND)
 
 
-def with_texts(tasks: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds the text of one document of each class to (sig, region, task, dealt)."""
-    needed = tasks.join(classes, "sig")
-    texts = docs.select(F.col("doc_id").alias("__id"), "text")
-    return needed.join(texts, F.col("rep").eqNullSafe(F.col("__id"))).select("region", "task", "dealt", "sig", "text")
+def with_texts(tasks: DataFrame, plain: DataFrame, docs: DataFrame) -> DataFrame:
+    """Adds the text of one document of each set; rows are told apart by id and text, so ids may be null or repeated.
 
+    Where rows repeat an id, texts are first brought down to one of each (id, text),
+    so that a text repeated under one id doesn't multiply.
+    """
+    rep = F.coalesce("doc_id", F.lit(NOBODY))
+    classes = plain.where("n > 0").groupBy("sig").agg(F.min(rep).alias("rep"), F.min_by("text_hash", rep).alias("text_hash"))
+    texts = docs.select(rep.alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
+    if not plain.groupBy("doc_id").count().where("count > 1").isEmpty():
+        texts = texts.groupBy("rep", "text_hash").agg(F.first("text").alias("text"))
+    return tasks.join(classes, "sig").join(texts, ["rep", "text_hash"]).select(*TASK, "dealt", F.lit(None).cast("long").alias("known"), "sig", "text")
 
-def links(docs: DataFrame, task_sets: int = TASK_SETS, task_shingles: int = TASK_SHINGLES, sample_docs: int = SAMPLE_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(documents with n and sig, spanning links between different sets)."""
-    docs = docs.select("doc_id", "text")
-    found = checkpoint(meet(docs, frequent_shingles(docs, sample_docs)))
-    plain = found.where("kind = 0").select("doc_id", "n", "sig")
-    met = checkpoint(regions(found.where("kind = 1").select("sig", "n", "pivot", "shared")))
-    classes = plain.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    chunks = F.greatest(F.ceil(F.col("sets") / task_sets), F.ceil(F.col("shingles") / task_shingles)).cast("int")
-    sizes = met.groupBy("region").agg(F.count("*").alias("sets"), F.sum("about_n").alias("shingles")).where("sets > 1").withColumn("chunks", chunks)
-    members = met.join(sizes.select("region", "chunks"), "region").select("sig", "region", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int").alias("task"), (F.col("chunks") > 1).alias("dealt"))
-    pivots = sizes.where("chunks > 1").select(F.col("region").alias("sig"), "region", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("task"), F.lit(True).alias("dealt"))
-    members = members.where("not dealt or sig != region").unionByName(pivots)
-    first = checkpoint(join_tasks(with_texts(members, classes, docs)))
-    edges = first.where("kind = 0").select("a", "b")
-    loose = first.where("kind = 2").select(F.col("a").alias("sig"), "region", "d")
-    if loose.isEmpty():
-        return plain, edges
-    # The rest of dealt regions: loose sets against all, by bands of distance to the pivot and by blocks.
+
+POSTED = "region long, key long, sig long, n long, loose boolean"
+
+
+def own_order(opened: DataFrame, task_sets: int, task_shingles: int, sample: int = REGION_SAMPLE) -> DataFrame:
+    """The prefix of each set in the common order of its region: (region, key, sig, n, loose).
+
+    The order comes from up to ``sample`` of the region's own sets, as many as hold
+    half a task's shingles; every chunk of the region gets the same ones.
+    """
+    first = Window.partitionBy("region").orderBy(F.xxhash64("sig"), "sig")
+    chosen = opened.select("region", "sig", "n").withColumn("at", F.row_number().over(first)).where(F.col("at") <= sample)
+    chosen = chosen.withColumn("so_far", F.sum("n").over(first)).where((F.col("at") == 1) | (F.col("so_far") <= task_shingles // 2)).select("region", "sig")
+    chunks = F.greatest(F.ceil(F.count("*") / task_sets), F.ceil(F.sum("n") / task_shingles)).cast("int")
+    sizes = checkpoint(opened.groupBy("region").agg(chunks.alias("chunks")))
+    own = opened.join(sizes, "region").select("region", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int").alias("task"), F.lit(False).alias("sampled"), "sig", "loose", "text")
+    seen = opened.join(chosen, ["region", "sig"]).join(sizes, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("task"), F.lit(True).alias("sampled"), "sig", "loose", "text")
+    n = int(opened.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    arrow = to_arrow_schema(schema_of(POSTED))
+
+    def run(batches):
+        task, held, last = None, [], None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                out = []
+                for row in batch.slice(at, 64).to_pylist():
+                    if (row["region"], row["task"]) != task:
+                        task, held, last = (row["region"], row["task"]), [], None
+                    hashes = shingle_set(row["text"])
+                    if row["sampled"]:
+                        held.append(hashes)
+                        continue
+                    if last is None:
+                        values, counts = np.unique(np.concatenate(held), return_counts=True)
+                        last, held = values[counts >= REGION_FREQUENT], []
+                    key = prefix(hashes, last)
+                    out.append((np.full(len(key), row["region"]), key, np.full(len(key), row["sig"]), np.full(len(key), size_class(len(hashes))), np.full(len(key), row["loose"])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    sent = own.unionByName(seen).repartition(n, "region", "task").sortWithinPartitions("region", "task", F.desc("sampled"))
+    return sent.mapInArrow(run, POSTED)
+
+
+def divided(opened: DataFrame, task_sets: int, task_shingles: int) -> DataFrame:
+    """The tasks of new, smaller regions of regions that have loose sets."""
+    posted = checkpoint(own_order(opened, task_sets, task_shingles))
+    holders = checkpoint(posted.groupBy("region", "key").agg(F.min("sig").alias("pivot"), F.count("*").alias("sets"), F.count_if("loose").alias("n_loose")).where("sets > 1 and n_loose > 0"))
+    met = posted.join(holders.select("region", "key", "pivot"), ["region", "key"]).select(F.col("region").alias("parent"), "sig", "n", "pivot", F.lit(1).alias("shared"))
+    texts = opened.select(F.col("region").alias("parent"), "sig", "known", "text")
+    tasks = dealt(checkpoint(regions(met)), task_sets, task_shingles)
+    return tasks.join(texts, ["parent", "sig"]).select(*TASK, "dealt", "known", "sig", "text")
+
+
+def blocks(opened: DataFrame, task_sets: int) -> DataFrame:
+    """The tasks that hold loose sets against all of their region, by bands of the distance to its pivot and by blocks."""
     half = max(1, task_sets // 2)
-    band = F.floor(F.col("d") / EPS).cast("int")
-    all_ = first.where("kind > 0").select(F.col("a").alias("sig"), "region", band.alias("band"), (F.col("kind") == 2).alias("is_loose")).distinct()
-    counted = all_.groupBy("region", "band").agg(F.count("*").alias("n_all"), F.count_if("is_loose").alias("n_loose"))
+    all_ = opened.select("sig", "region", F.floor(F.col("d") / EPS).cast("int").alias("band"), "loose")
+    counted = all_.groupBy("region", "band").agg(F.count("*").alias("n_all"), F.count_if("loose").alias("n_loose"))
     left = counted.where("n_loose > 0").select("region", F.col("band").alias("of"), F.ceil(F.col("n_loose") / half).cast("int").alias("left_blocks"))
     right = counted.select("region", F.col("band").alias("near"), F.ceil(F.col("n_all") / half).cast("int").alias("right_blocks"))
     grid = left.join(right, "region").where("abs(of - near) <= 1")
     task = F.concat_ws(":", "of", "near", "i", "j")
     i_of, j_of = F.pmod(F.xxhash64("sig", F.lit(1)), F.col("left_blocks")).cast("int"), F.pmod(F.xxhash64("sig", F.lit(2)), F.col("right_blocks")).cast("int")
-    of_left = all_.where("is_loose").select("sig", "region", F.col("band").alias("of")).join(grid, ["region", "of"])
+    of_left = all_.where("loose").select("sig", "region", F.col("band").alias("of")).join(grid, ["region", "of"])
     loose_rows = of_left.select("sig", "region", "of", "near", i_of.alias("i"), F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1)).alias("j"))
     of_right = all_.select("sig", "region", F.col("band").alias("near")).join(grid, ["region", "near"])
     other_rows = of_right.select("sig", "region", "of", "near", j_of.alias("j"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"))
-    blocks = loose_rows.unionByName(other_rows).select("sig", "region", F.xxhash64(task).alias("task"), F.lit(False).alias("dealt")).distinct()
-    texts = first.where("kind > 0").select(F.col("a").alias("sig"), "region", "text").dropDuplicates(["sig", "region"])
-    second = checkpoint(join_tasks(blocks.join(texts, ["sig", "region"]).select("region", "task", "dealt", "sig", "text")))
-    return plain, edges.union(second.where("kind = 0").select("a", "b"))
+    dealt_rows = loose_rows.unionByName(other_rows).select("sig", "region", F.xxhash64(task).alias("task")).distinct()
+    texts = opened.select("sig", "region", "known", "text")
+    return dealt_rows.join(texts, ["sig", "region"]).select("region", F.lit(None).cast("long").alias("pivot"), "task", F.lit(False).alias("dealt"), "known", "sig", "text")
+
+
+def links(docs: DataFrame, task_sets: int = TASK_SETS, task_shingles: int = TASK_SHINGLES, sample_docs: int = SAMPLE_DOCS, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(documents with text_hash, n and sig, spanning links between different sets)."""
+    docs = docs.select("doc_id", "text")
+    found = checkpoint(meet(docs, frequent_shingles(docs, sample_docs)))
+    plain = found.where("kind = 0").select("doc_id", "text_hash", "n", "sig")
+    met = checkpoint(regions(found.where("kind = 1").select(F.lit(0).cast("long").alias("parent"), "sig", "n", "pivot", "shared")))
+    tasks, edges = with_texts(dealt(met, task_sets, task_shingles), plain, docs), None
+    for level in range(depth + 2):
+        done = checkpoint(join_tasks(tasks))
+        made = done.where("kind = 0").select("a", "b")
+        edges = made if edges is None else edges.union(made)
+        told = done.where("kind > 0").select(F.col("a").alias("sig"), "region", "n", "known", "d", "text", (F.col("kind") == 2).alias("loose"))
+        # The pivot is in every chunk of its region.
+        loose = told.where("loose").select("region").distinct()
+        if loose.isEmpty():
+            break
+        opened = checkpoint(told.dropDuplicates(["region", "sig"]).join(loose, "region", "left_semi"))
+        tasks = divided(opened, task_sets, task_shingles) if level < depth else blocks(opened, task_sets)
+    return plain, edges
 
 
 def jaccard_components(docs: DataFrame, **options) -> DataFrame:
@@ -313,6 +402,11 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     rows that repeat an id each keep their own text's component. Columns other
     than doc_id and text are not read.
     """
+    return classified(docs, **options).select("doc_id", "n_shingles", "component_id")
+
+
+def classified(docs: DataFrame, **options) -> DataFrame:
+    """jaccard_components with the hash of each row's text."""
     plain, edges = links(docs, **options)
     classes = plain.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     # Nodes in the order of their documents, so that a root is the component's first document.
@@ -324,13 +418,18 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     # Written first, so that the join has exchanges alone below it and a hot set's rows can be split.
     joined = plain.join(checkpoint(first), "sig", "left")
     found = F.when(F.col("least") != NOBODY, F.col("least"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, found).otherwise(F.col("doc_id")).alias("component_id"))
+    return joined.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, found).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The documents, one of each component: the one with the smallest id.
 
-    Rows without an id, or that repeat a kept id, stay.
+    Rows go by their own id and text: of an id that stands for several texts, only
+    those whose component has a smaller id go. Rows without an id, or that repeat a
+    kept id, stay.
     """
-    drop = jaccard_components(docs, **options).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    drop = classified(docs, **options).where("doc_id != component_id").select("doc_id", F.col("text_hash").alias("__hash")).distinct()
+    name = "__text_hash"
+    hashed = docs.withColumn(name, F.xxhash64("text"))
+    gone = (hashed["doc_id"] == drop["doc_id"]) & (hashed[name] == drop["__hash"])
+    return hashed.join(drop, gone, "left_anti").select(*docs.columns)

@@ -104,9 +104,16 @@ class Region:
                 self.compare(x, others)
 
 
-def join_region(sets: list[np.ndarray], pivot: int | None = None) -> tuple[list[tuple[int, int]], np.ndarray | None, list[int]]:
-    """Spanning links of the region, each set's distance to the pivot, and each set's component."""
+def join_region(sets: list[np.ndarray], pivot: int | None = None, known: list | None = None) -> tuple[list[tuple[int, int]], np.ndarray | None, list[int]]:
+    """Spanning links of the region, each set's distance to the pivot, and each set's component.
+
+    Sets with the same ``known``, unless it is None, are connected already.
+    """
     region = Region(sets)
+    first: dict = {}
+    for x, label in enumerate(known or ()):
+        if label is not None:
+            region.root[region.find(x)] = region.find(first.setdefault(label, x))
     everyone = np.arange(len(sets))
     to = None
     if pivot is not None:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 SHARDS, TOLERANCE = 16, 0.002
-#: Candidate keys of one round, whatever the number of splitters that are open.
+#: Candidate keys of one round, shared by the open splitters; at least two for each.
 PROBES = 4096
 #: Rows that one task numbers, and the fewest pieces of a shard.
 PIECE_ROWS, LEAST_PIECES = 100_000, 4
@@ -139,7 +139,7 @@ def histogram_sort(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOL
     return placed.withColumns(
         {
             "law": F.lit("bytes"),
-            "slot": (F.col("__base") + F.row_number().over(order) - 1).cast("int"),
+            "slot": (F.col("__base") + F.row_number().over(order) - 1).cast("long"),
             "grown_shard": F.lit(None).cast("int"),
         }
     ).drop("__k1", "__k2", "__at", "__piece", "__base")

@@ -107,3 +107,58 @@ def test_keep_first(spark):
     df = spark.createDataFrame([(3, text, "en"), (2, text.upper(), "de"), (4, "a b c", None), (None, "a b c", None)], "doc_id long, text string, lang string")
     got = jaccard.keep_first(df)
     assert got.columns == df.columns and sorted((r.doc_id for r in got.collect()), key=str) == [2, 4, None]
+
+
+def test_repeated_ids_keep_their_own_texts(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    df = spark.createDataFrame([(1, a), (2, a + " x"), (2, b), (3, b + " y"), (3, b)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.keep_first(df).collect())) == [(1, a), (2, b)]
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3])
+def test_large_regions_are_divided(spark, depth):
+    """A passage that all share and no sample has seen: one region, far larger than a task, in which little is tied."""
+    r = random.Random(depth)
+    shared = [f"s{i}" for i in range(30)]
+    rows = []
+    for i in range(120):
+        own = [f"d{i}x{k}" for k in range(60)]
+        rows.append((3 * i, " ".join(shared + own)))
+        for j in (1, 2):
+            near = list(own)
+            near[r.randrange(60)] = f"e{i}{j}"
+            rows.append((3 * i + j, " ".join(shared + near)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_components(df, task_sets=20, sample_docs=1, depth=depth).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+@pytest.mark.parametrize("ids", [[None] * 300, [7] * 300, list(range(300))])
+def test_a_set_is_sent_once_whatever_the_ids(spark, ids):
+    base = [f"w{k}" for k in range(200)]
+    rows = [(d, " ".join(base[:100] + [f"x{i}"] + base[100:])) for i, d in enumerate(ids)]
+    rows += rows[:50]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.meet(docs, np.empty(0, np.int64)).cache()
+    plain = found.where("kind = 0")
+    met = jaccard.regions(found.where("kind = 1").selectExpr("0L as parent", "sig", "n", "pivot", "shared"))
+    tasks = jaccard.dealt(met, 100, 1_000_000)
+    n = tasks.count()
+    assert n >= 300 and jaccard.with_texts(tasks, plain, docs).count() == n
+    found.unpersist()
+
+
+def test_very_large_sets(spark):
+    """Sizes on both sides of the 256th size class."""
+    assert jaccard.size_class(2_980_000) < 256 <= jaccard.size_class(3_100_000)
+    df = spark.createDataFrame([(i, None) for i in (1, 2)], "doc_id long, text string").selectExpr("doc_id", "array_join(transform(sequence(1, if(doc_id = 1, 2980004, 3100004)), x -> cast(x as string)), ' ') as text")
+    got = jaccard.jaccard_components(df).collect()
+    assert sorted(map(tuple, got)) == [(1, 2_980_000, 1), (2, 3_100_000, 1)]
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    edges = [(5, i) for i in range(100, 400)] + [(i, i + 1) for i in range(1000, 1040)] + [(3, 5), (7, 7)]
+    from quillon.llm.components import components
+
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: 3 for x in [3, 5, *range(100, 400)]} | {x: 1000 for x in range(1000, 1041)}
