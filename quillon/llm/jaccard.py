@@ -9,12 +9,12 @@ holders join the region of that pivot. Each linked pair meets in at least one re
 
 A region is joined exactly and recursively (see region.py). A region that is too
 large for a task is dealt into chunks, each with the pivot; what is tied to the
-pivot there is connected. Where something is loose, the region is divided again:
-its sets get a common order of their own, in which shingles that many of its own
-sets hold come last, and so new pivots and smaller regions, up to DEPTH times. A
-region of which even then something is loose is held against itself in bands of
-the distance to its pivot, which by the triangle inequality only meet their
-neighbours, and in blocks of bounded size.
+pivot there is connected. Where more is loose than half a task holds, the region is
+divided again: its sets get a common order of their own, in which shingles that many
+of its own sets hold come last, and so new pivots and smaller regions, up to DEPTH
+times. What is loose otherwise is held against its region in bands of the distance
+to the pivot, which by the triangle inequality only meet their neighbours, and in
+blocks of bounded size.
 
 Shingles that are frequent in a bounded sample come last in the common order, so a
 passage that many documents share brings nobody together. The order changes the
@@ -385,12 +385,17 @@ def links(docs: DataFrame, task_sets: int = TASK_SETS, task_shingles: int = TASK
         made = done.where("kind = 0").select("a", "b")
         edges = made if edges is None else edges.union(made)
         told = done.where("kind > 0").select(F.col("a").alias("sig"), "region", "n", "known", "d", "text", (F.col("kind") == 2).alias("loose"))
+        loose = told.where("loose").groupBy("region").agg(F.count("*").alias("n_loose"))
         # The pivot is in every chunk of its region.
-        loose = told.where("loose").select("region").distinct()
-        if loose.isEmpty():
+        opened = checkpoint(told.dropDuplicates(["region", "sig"]).join(loose, "region"))
+        if opened.isEmpty():
             break
-        opened = checkpoint(told.dropDuplicates(["region", "sig"]).join(loose, "region", "left_semi"))
-        tasks = divided(opened, task_sets, task_shingles) if level < depth else blocks(opened, task_sets)
+        many = opened.where(F.col("n_loose") > task_sets // 2)
+        if level >= depth or many.isEmpty():
+            tasks = blocks(opened, task_sets)
+        else:
+            few = blocks(opened.where(F.col("n_loose") <= task_sets // 2), task_sets)
+            tasks = divided(many, task_sets, task_shingles).unionByName(few)
     return plain, edges
 
 
