@@ -7,11 +7,13 @@ likelihood flows to the sentences in proportion to their own part in it, so the
 model learns sentence scores from document labels and names the offending ones.
 
 A sentence is scored by its words and by the beginnings of its words, so that
-inflected forms of one stem share a weight.
+inflected forms of one stem share a weight; in scripts that write no spaces, by
+pairs of neighbouring characters. Words of any length count.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -24,7 +26,7 @@ from .common import held_out, map_columns
 
 #: Bounded sample of labelled rows: about so many of each label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 6_000
-#: Features kept, the fewest documents of one, and the least association with the label.
+#: Features kept (they bound the model, not the rows), the fewest documents of one, and the least association with the label.
 FEATURES, LEAST_DOCS, LEAST_CHI2 = 20_000, 6, 14.0
 #: Toxic documents are rare; each counts so many times its share.
 TOXIC_WEIGHT = 2.0
@@ -32,10 +34,18 @@ FOLDS, FOLD = 5, 0
 SENTENCE = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+").findall
 STEMS = (4, 5, 6, 7, 8)
+#: A longer word is named by its beginning and a digest, so that names stay short.
+LONG = 64
+#: Scripts without spaces: Thai, Lao, Burmese, Khmer, kana and Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def features_of(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in STEMS if len(word) >= n)]
+    """The word and its beginnings, or the pairs of characters of a run that no spaces divide."""
+    if not word.isascii() and UNSPACED.search(word):
+        return sorted({word[i : i + 2] for i in range(max(1, len(word) - 1))})
+    name = word if len(word) <= LONG else f"{word[:LONG]}~{hashlib.sha256(word.encode('utf-8', 'surrogatepass')).hexdigest()[:16]}"
+    return [name, *(f"{word[:n]}*" for n in STEMS if len(word) >= n)]
 
 
 def sentences_of(text: str) -> list[tuple[int, int]]:
@@ -50,6 +60,19 @@ def sentences_of(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+def lowered(text: str) -> tuple[list[tuple[int, int]], str, list[tuple[int, int]]]:
+    """Spans of the sentences in the text, the sentences lower-cased, and their places in that.
+
+    Each sentence is lower-cased by itself where that may differ in length or form.
+    """
+    spans, low = sentences_of(text), text.lower()
+    if len(low) == len(text) and "\u03a3" not in text:
+        return spans, low, spans
+    parts = [text[a:b].lower() for a, b in spans]
+    ends = np.cumsum([0, *(len(x) + 1 for x in parts)]).tolist()
+    return spans, "\n".join(parts), [(a, b - 1) for a, b in zip(ends, ends[1:])]
+
+
 class _Known(dict):
     """Word to those of its features that have a weight, most often none."""
 
@@ -58,10 +81,10 @@ class _Known(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        found = tuple(f for f in features_of(word) if f in self.weights) if len(word) <= 64 else ()
+        found = tuple(f for f in features_of(word) if f in self.weights)
         if len(self) > 500_000:
             self.clear()
-        if len(word) <= 64:
+        if len(word) <= LONG:
             self[word] = found
         return found
 
@@ -88,21 +111,18 @@ class Scorer:
         """Noisy-or, number of sentences, the highest sentence score, and the spans scored 0.5 or more."""
         if not text:
             return 0.0, 0, 0.0, []
-        # Letters that change in number when lower-cased would move the spans.
-        low = text.lower()
-        spans = sentences_of(low)
+        spans, low, places = lowered(text)
         if not spans:
             return 0.0, 0, 0.0, []
         told = {w for w in set(WORD(low)) if self.words[w]}  # most words say nothing
         z = np.full(len(spans), self.bias)
         if told:
-            for i, (a, b) in enumerate(spans):
+            for i, (a, b) in enumerate(places):
                 if found := told.intersection(WORD(low, a, b)):
                     z[i] = self.sentence(found)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         score = 1 - float(np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
-        found = [(*spans[i], float(p[i])) for i in np.flatnonzero(p >= 0.5)] if len(low) == len(text) else [(0, len(text), float(p.max()))] * bool((p >= 0.5).any())
-        return score, len(spans), float(p.max()), found
+        return score, len(spans), float(p.max()), [(*spans[i], float(p[i])) for i in np.flatnonzero(p >= 0.5)]
 
 
 def train(bags: list[tuple[int, float, int, np.ndarray, np.ndarray]], n_features: int, rounds: int = 500, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -141,7 +161,12 @@ def train(bags: list[tuple[int, float, int, np.ndarray, np.ndarray]], n_features
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> Model:
-    """Learns from labelled rows outside the held-out fold; text is the only input."""
+    """Learns from labelled rows outside the held-out fold; text is the only input.
+
+    Rows are chosen by a hash of their id, so all rows of an id are taken or none; an
+    id with several texts gives a document of each, and one with several labels a
+    document of each label. Null texts, ids and labels teach nothing.
+    """
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(~held_out("doc_id", FOLDS, FOLD))
     n = {r.toxic: r["count"] for r in own.groupBy("toxic").count().collect()}
     if not n.get(1):
@@ -155,8 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
         def work(flags, texts):
             seen = (Counter(), Counter())
             for flag, text in zip(flags, texts, strict=True):
-                words = set(WORD(text.lower()))
-                seen[flag].update({f for w in words if len(w) <= 64 for f in features_of(w)})
+                words = set(WORD(lowered(text)[1]))
+                seen[flag].update({f for w in words for f in features_of(w)})
             names = list(seen[0] | seen[1])
             return [names, [seen[1][f] for f in names], [seen[0][f] for f in names]]
 
@@ -178,9 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
         def work(ids, flags, texts):
             sizes, packed, lengths = [], [], []
             for text in texts:
-                low = text.lower()
-                spans = sentences_of(low)
-                held = [x for a, b in spans if (x := sorted({known[f] for w in WORD(low[a:b]) if len(w) <= 64 for f in features_of(w) if f in known}))]
+                spans, low, places = lowered(text)
+                held = [x for a, b in places if (x := sorted({known[f] for w in WORD(low, a, b) for f in features_of(w) if f in known}))]
                 sizes.append(len(spans))
                 lengths.append(np.array([len(x) for x in held], np.int32).tobytes())
                 packed.append(np.array([i for x in held for i in x], np.int32).tobytes())

@@ -128,3 +128,107 @@ def test_every_language_is_learned(spark):
     rows = [(i, words[lang], lang) for i, lang in enumerate(k for k, n in (("en", 30), ("de", 20), ("fr", 10)) for _ in range(n))]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=2)
     assert sorted(x for m in model.members for x in m) == ["de", "en", "fr"] and model.predict("le et des")[0] == "fr"
+
+
+def plain_language(model, text):
+    """Counts in a dictionary, whole numbers modulo 2**32, and votes pair by pair."""
+    letters, border = [0], True
+    for c in text.lower():
+        if c.isalpha():
+            letters.append(ord(c))
+            border = False
+        elif not border:
+            letters.append(0)
+            border = True
+    if letters == [0]:
+        return "und", 0.0
+    letters.append(0)
+    counts = [0] * langid.FEATURES
+    half, m = langid.FEATURES // 2, 1 << 32
+    for i in range(len(letters) - 1):
+        two = (letters[i] * 0x9E3779B1 + letters[i + 1] * 0x85EBCA77) % m
+        counts[two * half // m] += 1
+        if i + 2 < len(letters):
+            three = (two * 0xC2B2AE3D + letters[i + 2] * 0x27D4EB2F) % m
+            counts[half + three * half // m] += 1
+    x = [float(np.log1p(c)) for c in counts]
+    norm = sum(v * v for v in x) ** 0.5
+    x = np.array([v / norm for v in x])
+    margins = [float(w @ x + b) for w, b in zip(*model.family_models)]
+    best = max(range(len(margins)), key=margins.__getitem__)
+    langs = model.members[best]
+    wins = dict.fromkeys(langs, 0)
+    which, w, b = model.pairs[best]
+    for (i, j), wi, bi in zip(which, w, b):
+        wins[langs[i] if float(wi @ x + bi) >= 0 else langs[j]] += 1
+    return max(langs, key=wins.__getitem__), margins
+
+
+def test_language_against_plain_python(spark, docs):
+    model = langid.fit(docs)
+    assert max(map(len, model.members)) <= 2  # so that votes have no ties
+    texts = [r.text for r in common.table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    texts += ["", "12 !", "a", " a", "a ", "é", "it's 1x", "日本語", "İstanbul", "x" * 10_000]
+    for text in texts:
+        assert model.predict(text)[0] == plain_language(model, text)[0], text[:80]
+
+
+def plain_toxicity(model, text):
+    sentences, begun = [], None
+    for i, c in enumerate(text + "."):
+        if c in ".!?\n":
+            if begun is not None:
+                sentences.append((begun, i))
+            begun = None
+        elif begun is None:
+            begun = i
+    clean, spans = 1.0, []
+    for a, b in sentences:
+        word, words = "", set()
+        for c in text[a:b].lower() + " ":
+            if c.isalnum() and not c.isdecimal():
+                word += c
+            elif word:
+                words.add(word)
+                word = ""
+        held = {f for w in words for f in toxicity.features_of(w)}
+        z = model.bias + sum(v for f, v in model.weights.items() if f in held)
+        p = 1 / (1 + np.exp(-z))
+        clean *= 1 - p
+        if p >= 0.5:
+            spans.append((a, b))
+    return 1 - clean, len(sentences), spans
+
+
+def test_toxicity_against_plain_python(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    model = toxicity.fit(docs, common.table(spark, "/root/testdata/sf0.01", "labels"))
+    assert model.weights
+    some = sorted(model.weights, key=model.weights.get)[-3:]
+    texts = [r.text for r in common.table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    texts += [f"İ good. You {some[-1].rstrip('*')}. ΑΣ.Β {some[-2].rstrip('*')}ΟΣ!", "ΑΣ.Β. x", "...", "a²b 1"]
+    use = model.scorer()
+    for text in texts:
+        score, n, _, spans = use.score(text)
+        want = plain_toxicity(model, text)
+        assert abs(score - want[0]) < 1e-9 and n == want[1] and [x[:2] for x in spans] == want[2], text[:80]
+
+
+def test_long_words_and_scripts_without_spaces():
+    long = "x" * 60 + "bad" * 10
+    other = long[:-1] + "e"
+    assert len(long) > toxicity.LONG and toxicity.features_of(long)[0] != toxicity.features_of(other)[0] and all(len(f) < 90 for f in toxicity.features_of(long * 1000))
+    model = toxicity.Model({toxicity.features_of(long)[0]: 9.0, "馬鹿": 9.0}, -4.0)
+    use = model.scorer()
+    assert use.score(f"fine. so {long} it is.")[3][0][:2] == (5, 5 + len(f" so {long} it is") - 0) and use.score(other)[3] == []
+    assert [x[:2] for x in use.score("今日は良い\nお前は馬鹿だ\n")[3]] == [(6, 12)]
+    assert [x[:2] for x in use.score("İ good. You " + long + ". fine.")[3]] == [(7, 12 + len(long))]
+
+
+def test_long_words_are_learned(spark):
+    long = "z" * 100
+    rows = [(i, f"some words here {i}. {long if i % 4 == 0 else 'more'} there." + ("お前は馬鹿だ" if i % 4 == 1 else "")) for i in range(400)]
+    labels = [(i, int(i % 4 < 2)) for i in range(400)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    use = model.scorer()
+    assert use.score(f"new. {long}.")[0] > 0.5 and use.score("new. お前は馬鹿だ。")[0] > 0.5 and use.score("new. more there.")[0] < 0.5
