@@ -8,6 +8,9 @@ of a search length that shrinks. Tiles may lie in any order, so a reordered
 passage is covered like a straight one; each token counts once, so a phrase that
 a document repeats doesn't.
 
+Items too short to be tiled are held against documents exactly: an item of a tile's
+length or more must occur as one piece, a shorter one must be the whole document.
+
 The benchmark is a query set: it is read in blocks of bounded size, and each block
 is held against all documents in one scan without a shuffle.
 """
@@ -24,16 +27,24 @@ from pyspark.sql import DataFrame
 
 from .common import filter_rows, map_columns
 
-#: The shortest tile, the share of an item's tokens that tiles must cover, and the shortest item that is judged.
+#: The shortest tile, the share of an item's tokens that tiles must cover, and the shortest item that is tiled.
 MATCH, COVERAGE, SHORTEST_ITEM = 4, 0.6, 8
 BLOCK_TOKENS = 400_000
 TOKEN = re.compile(r"[^\W_]+").findall
+#: Scripts without spaces (Thai, Lao, Burmese, Khmer, kana, Han): each character is a token.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+HAS_UNSPACED = re.compile(f"[{UNSPACED}]").search
+MIXED_TOKEN = re.compile(rf"(?![_\W])[{UNSPACED}]|[^\W_{UNSPACED}]+").findall
 MODULUS, RADIX = (1 << 61) - 1, 1_000_003
 RESULT = "doc_id long, item_id long, coverage double, n_tiles int, longest_tile int, n_item_tokens int, tiles array<struct<doc_token:int,item_token:int,length:int>>"
 
 
 def tokens(text: str | None) -> list[str]:
-    return TOKEN(text.lower()) if text else []
+    """Runs of letters and digits, lower-cased; characters of scripts without spaces one by one."""
+    if not text:
+        return []
+    low = text.lower()
+    return TOKEN(low) if low.isascii() or not HAS_UNSPACED(low) else MIXED_TOKEN(low)
 
 
 def running_hashes(ids: list[int], used: list[bool], length: int) -> Iterator[tuple[int, int]]:
@@ -101,13 +112,16 @@ class Block:
     """Items of bounded size, with the index of their seeds."""
 
     def __init__(self, items: list[tuple[int, str]], match: int, coverage: float, shortest: int) -> None:
-        self.match, self.coverage = match, coverage
+        self.match, self.coverage, self.shortest = match, coverage, shortest
         words = {}
         self.items: list[tuple[int, list[int]]] = []
+        self.tiny: dict[tuple[str, ...], list[int]] = defaultdict(list)
         for item_id, text in items:
             held = tokens(text)
-            if len(held) >= max(shortest, match):
+            if len(held) >= match:
                 self.items.append((item_id, [words.setdefault(w, len(words) + 1) for w in held]))
+            elif held:
+                self.tiny[tuple(held)].append(item_id)
         self.words = words
         places = defaultdict(list)
         for n, (_, ids) in enumerate(self.items):
@@ -127,7 +141,11 @@ class Block:
 
     def judge(self, text: str | None) -> list[tuple]:
         held = tokens(text)
-        if len(held) < self.match or not len(self.keys):
+        if len(held) < self.match:
+            n = len(held)
+            mark = [{"doc_token": 0, "item_token": 0, "length": n}]
+            return [(item_id, 1.0, 1, n, n, mark) for item_id in self.tiny.get(tuple(held), ())]
+        if not len(self.keys):
             return []
         ids = np.fromiter(map(self.words.get, held, repeat(0)), np.int64, len(held))
         at = np.flatnonzero(ids)
@@ -152,7 +170,8 @@ class Block:
         out = []
         for n, (in_doc, in_item) in by_item.items():
             item_id, pattern = self.items[n]
-            need = self.coverage * len(pattern)
+            whole = len(pattern) < self.shortest
+            need = len(pattern) if whole else self.coverage * len(pattern)
             if len({p + i for p in in_item for i in range(self.match)}) < need:
                 continue  # no tiling can reach it
             covered = sorted({d + i for d in in_doc for i in range(self.match)})
@@ -166,7 +185,7 @@ class Block:
                 before = d
             tiles = tile(pattern, doc, self.match)
             total = sum(k for k, _, _ in tiles)
-            if total >= need:
+            if total >= need and not (whole and len(tiles) > 1):
                 marks = [{"doc_token": where[t], "item_token": p, "length": k} for k, p, t in sorted(tiles, key=lambda x: x[1])]
                 out.append((item_id, total / len(pattern), len(tiles), tiles[0][0], len(pattern), marks))
         return out
@@ -189,8 +208,9 @@ def blocks(benchmark: DataFrame, block_tokens: int) -> Iterator[list[tuple[int,
 def contaminated(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: float = COVERAGE, shortest: int = SHORTEST_ITEM, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row for each document and item that its tiles cover: doc_id, item_id, coverage, tiles.
 
-    Null and empty texts on either side match nothing, and items under ``shortest``
-    tokens aren't judged. Repeated documents and items give repeated rows. Other
+    Null and empty texts on either side match nothing. Items under ``shortest`` tokens
+    must occur whole and unbroken, those under ``match`` tokens be all that a document
+    says. Repeated documents and items give repeated rows. Other
     columns are not read.
     """
     spark = docs.sparkSession

@@ -108,3 +108,17 @@ def test_odd_rows(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contaminated(d, none).collect() == [] and D.keep_clean(d, none).count() == 7
     assert D.contaminated(d.limit(0), b).collect() == []
+
+
+def test_short_items(spark):
+    """Under a tiling's length: whole and unbroken; under a tile's: nothing else in the document."""
+    items = [(1, "What is the capital of France?"), (2, "Yes, no."), (3, "今日は良い天気です"), (4, "...")]
+    docs = [(1, "so: WHAT is the capital of france, he said"), (2, "what is the capital of big France"), (3, "the capital of France what is"), (4, "yes no"), (5, "yes no maybe"), (6, "昔々今日は良い天気です。"), (7, "今日の天気です"), (8, "")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.coverage, r.n_tiles) for r in D.contaminated(d, b).collect())
+    assert got == [(1, 1, 1.0, 1), (4, 2, 1.0, 1), (6, 3, 1.0, 1)]
+    assert sorted(r.doc_id for r in D.keep_clean(d, b).collect()) == [2, 3, 5, 7, 8]
+
+
+def test_tokens_of_scripts():
+    assert D.tokens("Ab_c 1x, 日本go ไทย") == ["ab", "c", "1x", "日", "本", "go", "ไ", "ท", "ย"]
