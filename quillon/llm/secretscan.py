@@ -3,8 +3,12 @@
 The patterns find what announces itself. The network, in numpy, looks at every
 other run of key-like characters together with the text around it and tells keys
 from long words, numbers, paths and names. It is trained on labelled findings; its
-output is calibrated on findings it hasn't seen, and the threshold is the highest
-that still reaches the asked recall there.
+output is calibrated on findings it hasn't seen, and the thresholds, one for long and
+one for short runs, are the highest that still reach the asked recall there.
+
+A candidate is every run of 16 or more key-like characters, and every run of 8 to 15
+with a digit in it or a capital behind a small letter. Shorter runs, and runs of 8 to
+15 letters without such a change, are what prose is made of and are no candidates.
 
 Labelled findings are (text, start, end, is_secret) rows. Where a corpus has none,
 ``synthetic_findings`` writes them from a seed; real ones can be passed instead.
@@ -32,6 +36,10 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 ANNOUNCED = ("passw", "secret", "token", "api")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Where a shorter candidate shows itself, its characters, and its fewest.
+MIXED, RUN = re.compile(r"[0-9]|[a-z][A-Z]"), re.compile(r"[A-Za-z0-9+/_.=-]+")
+KEY_LIKE = frozenset(string.ascii_letters + string.digits + "+/_.=-")
+LONG, SHORT = 16, 8
 
 #: Characters seen of the context on each side and of each end of a candidate.
 CONTEXT, HEAD, TAIL = 20, 28, 12
@@ -41,6 +49,8 @@ STRIDE = 20
 CLASSES = 24
 FILTERS, KERNEL, HIDDEN = 32, 5, 16
 FINDINGS, RECALL, SEED = 6_000, 0.98, 7
+#: Short runs say less; asking more of them would take names and numbers along.
+SHORT_FINDINGS, SHORT_RECALL = 4_000, 0.9
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -56,8 +66,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Every run of 16 or more key-like characters."""
-    return [m.span() for m in CANDIDATE.finditer(text)]
+    """Every run of 16 or more key-like characters, and of 8 or more that mixes kinds of characters."""
+    found, at = [m.span() for m in CANDIDATE.finditer(text)], 0
+    for mark in MIXED.finditer(text):
+        a = mark.start()
+        if a < at:
+            continue
+        at = RUN.match(text, a).end()
+        while a and at - a < LONG and text[a - 1] in KEY_LIKE:
+            a -= 1
+        if SHORT <= at - a < LONG:
+            found.append((a, at))
+    return sorted(found)
 
 
 def windows(start: int, end: int) -> list[tuple[int, int]]:
@@ -119,6 +139,11 @@ class Network:
     scale: float = 1.0
     shift: float = 0.0
     threshold: float = 0.5
+    short_threshold: float = 0.5
+
+    def least(self, length: int) -> float:
+        """The threshold for a candidate of so many characters."""
+        return self.threshold if length >= LONG else self.short_threshold
 
     def convolve(self, codes: np.ndarray) -> np.ndarray:
         n = codes.shape[1] - KERNEL + 1
@@ -200,7 +225,7 @@ def _one_hot(codes: np.ndarray) -> np.ndarray:
 
 
 def calibrate(net: Network, codes: np.ndarray, stats: np.ndarray, y: np.ndarray, recall: float) -> None:
-    """A logistic fit of label on output, then the highest threshold with the recall."""
+    """A logistic fit of label on output, then the highest threshold with the recall, for long and for short runs."""
     z = np.concatenate([net.logits(codes[i : i + 512], stats[i : i + 512]) for i in range(0, len(y), 512)])
     scale, shift = 1.0, 0.0
     for _ in range(300):
@@ -208,8 +233,13 @@ def calibrate(net: Network, codes: np.ndarray, stats: np.ndarray, y: np.ndarray,
         scale -= 0.05 * float(((p - y) * z).mean() + 1e-3 * (scale - 1))
         shift -= 0.2 * float((p - y).mean())
     net.scale, net.shift = scale, shift
-    positive = np.sort(net.probability(codes, stats)[y > 0.5])
-    net.threshold = float(positive[int(np.floor((1 - recall) * len(positive)))]) if len(positive) else 1.0
+    said, short = net.probability(codes, stats), stats[:, 0] < LONG / 64
+
+    def least(rows: np.ndarray, recall: float) -> float:
+        positive = np.sort(said[rows & (y > 0.5)])
+        return float(positive[int(np.floor((1 - recall) * len(positive)))]) if len(positive) else 1.0
+
+    net.threshold, net.short_threshold = least(~short, recall), least(short, SHORT_RECALL)
 
 
 def synthetic_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, bool]]:
@@ -313,8 +343,61 @@ def synthetic_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, i
     return out
 
 
+def short_findings(n: int = SHORT_FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, bool]]:
+    """Labelled findings of 8 to 15 characters: generated passwords, and the names and numbers that look like them."""
+    r = random.Random(seed)
+    letters, digits = string.ascii_letters, string.digits
+    some = lambda chars, a, b: "".join(r.choices(chars, k=r.randint(a, b)))
+    syllables = [some("bcdfghklmnprstvw", 1, 2) + some("aeiou", 1, 2) for _ in range(80)]
+    word = lambda: "".join(r.choices(syllables, k=r.randint(1, 3)))
+
+    def secret() -> str:
+        chars = r.choice([letters + digits, letters + digits, letters + digits + "+/_-", string.ascii_uppercase + digits, string.ascii_lowercase + digits])
+        return some(chars, SHORT, LONG - 1)
+
+    def harmless() -> str:
+        forms = (
+            lambda: some(digits, 3, 4) + r.choice("-./") + some(digits, 3, 6) + r.choice(["", "-" + some(digits, 2, 4)]),
+            lambda: ".".join(some(digits, 1, 3) for _ in range(4)),
+            lambda: some(digits, 8, 15),
+            lambda: f"{r.randint(1900, 2100)}{(s := r.choice('-./'))}{r.randint(1, 12):02}{s}{r.randint(1, 31):02}",
+            lambda: f"{r.randint(1, 31)}{(s := r.choice('-./'))}{r.randint(1, 12):02}{s}{r.randint(1900, 2100)}",
+            lambda: f"{r.choice(['v', 'V', ''])}{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 99)}-{r.choice(['rc', 'beta', 'alpha', 'dev'])}{r.randint(0, 9)}",
+            lambda: r.choice([str, str.capitalize, str.upper])(word() + word()) + r.choice(["", "-", "_", ".", "/", "="]) + some(digits, 1, 4),
+            lambda: word() + word() + "." + some(digits, 1, 3),
+            lambda: some(digits, 1, 4) + r.choice(["", "-", "_", "."]) + r.choice([str, str.capitalize])(word() + word()),
+            lambda: word() + "".join(word().capitalize() for _ in range(r.randint(1, 3))) + r.choice(["", "", ".", str(r.randint(0, 9))]),
+            lambda: "".join(word().capitalize() for _ in range(r.randint(2, 4))),
+            lambda: word() + r.choice("._-/=") + word().capitalize() + r.choice(["", some(digits, 1, 2)]),
+            lambda: r.choice(["=", "-", "."]) * r.randint(1, 4) + some(digits, 1, 4) + r.choice(["=", "-", "."]) * r.randint(3, 8),
+            lambda: (word()[:2] + some(digits, 1, 1)) * r.randint(3, 5),
+            lambda: some(string.ascii_uppercase, 2, 4) + r.choice(["-", ""]) + some(digits, 4, 8),
+        )
+        return r.choice(forms)()
+
+    prose = lambda k: r.choice([" ", " ", "\n", ", "]).join(word() for _ in range(k))
+    out: list[tuple[str, int, int, bool]] = []
+    while len(out) < n:
+        yes = len(out) % 2 == 0
+        part = secret() if yes else harmless()
+        if not SHORT <= len(part) < LONG or not MIXED.search(part):
+            continue
+        named = r.random() < (0.6 if yes else 0.1)
+        lead = r.choice(["key", "auth", "bearer", "credential", "login", "client_id", "pass", "pwd", "id"]) + r.choice(["=", ": ", ' = "', "='", " "]) if named else r.choice(["", "", '"', "(", "see ", "at "])
+        before = prose(r.randint(0, 6)) + r.choice([" ", "\n"]) + lead
+        if before[-1] in KEY_LIKE and before[-1] != "=":
+            before += " "
+        after = r.choice(["", '"', "'", ")", ",", ";"]) + r.choice([" ", "\n"]) + prose(r.randint(0, 6))
+        out.append((before + part + after, len(before), len(before) + len(part), yes))
+    return out
+
+
 def fit(findings: list[tuple[str, int, int, bool]] | None = None, recall: float = RECALL) -> Network:
-    rows = synthetic_findings() if findings is None else findings
+    """The network, trained on (text, start, end, is_secret) rows; without any, on findings written from a seed.
+
+    Repeated rows count as often as they occur; at least one row of each label is needed.
+    """
+    rows = synthetic_findings() + short_findings() if findings is None else findings
     # All windows of what is no secret are none; those of a secret needn't hold its key.
     rows = [(t, *w, y) for t, a, b, y in rows for w in (windows(a, b) if not y else [(a, b)])]
     codes = np.stack([encode(t, a, b) for t, a, b, _ in rows])
@@ -371,7 +454,7 @@ def scan(docs: DataFrame, network: Network, columns=("doc_id", "text")) -> DataF
             found: list[list] = [[(a, k, b, 1.0) for a, k, b in x] for x in base]
             for i, runs in enumerate(scored(texts, net)):
                 for a, b, score in runs:
-                    if score >= net.threshold and not covered(a, b, base[i]):
+                    if score >= net.least(b - a) and not covered(a, b, base[i]):
                         found[i].append((a, 3, b, score))
             spans = [[{"kind": KINDS[k], "start": a, "end": b, "score": s} for a, k, b, s in sorted(x)] for x in found]
             return [doc_ids, spans]
@@ -386,7 +469,7 @@ def redact_text(text: str | None, network: Network) -> str | None:
     if not text:
         return text
     spans = [(a, b, KINDS[k]) for a, k, b in base_spans(text)]
-    spans += [(a, b, "cnn") for a, b, s in scored([text], network)[0] if s >= network.threshold]
+    spans += [(a, b, "cnn") for a, b, s in scored([text], network)[0] if s >= network.least(b - a)]
     out, at = [], 0
     for a, b, kind in sorted(spans):
         if b <= at:
@@ -399,7 +482,8 @@ def redact_text(text: str | None, network: Network) -> str | None:
 def redact(docs: DataFrame, network: Network) -> DataFrame:
     """The documents with secrets taken out of their texts; all columns and rows stay.
 
-    ``n_chars``, where there is one, follows the new text.
+    ``n_chars``, where there is one, follows the new text. Null and empty texts stay
+    as they are, repeated rows give repeated rows; a map without a shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)
     from pyspark.sql import functions as F

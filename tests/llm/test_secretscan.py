@@ -103,3 +103,59 @@ def test_rest_of_a_base_span_is_kept(spark, network):
     got = S.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), network).collect()[0].spans
     assert [(x.kind, x.start, x.end) for x in got] == [("access", 4, 24), ("cnn", 4, len(text) - 4)]
     assert S.covered(2, 8, [(0, 0, 5), (5, 2, 8)]) and not S.covered(2, 9, [(0, 0, 5), (5, 2, 8)]) and not S.covered(2, 8, [(3, 0, 9)])
+
+
+def plain_probability(net, text, start, end):
+    """The network written out: every window, place and filter in a loop."""
+    best = 0.0
+    for a, b in S.windows(start, end):
+        chars = [0] * S.WIDTH
+        for at, lo, hi in ((S.CONTEXT - min(a, S.CONTEXT), max(0, a - S.CONTEXT), a), (S.CONTEXT, a, min(b, a + S.HEAD)), (S.CONTEXT + S.HEAD, max(a + S.HEAD, b - S.TAIL), b), (S.CONTEXT + S.HEAD + S.TAIL, b, b + S.CONTEXT)):
+            for k, c in enumerate(text[lo:hi]):
+                chars[at + k] = S.class_of(c) if ord(c) < 0x250 else 23
+        n = S.WIDTH - S.KERNEL + 1
+        maps = [[max(0.0, float(net.bias[f]) + sum(float(net.embed[k][chars[i + k]][f]) for k in range(S.KERNEL))) for f in range(S.FILTERS)] for i in range(n)]
+        x = [max(row[f] for row in maps[part]) for part in S.PARTS for f in range(S.FILTERS)]
+        middle = maps[S.PARTS[1]]
+        x += [sum(row[f] for row in middle) / len(middle) for f in range(S.FILTERS)]
+        x += S.statistics(text, a, b)
+        h = [max(0.0, float(net.hidden_bias[j]) + sum(v * float(net.hidden[i][j]) for i, v in enumerate(x))) for j in range(S.HIDDEN)]
+        z = float(net.out_bias) + sum(v * float(net.out[j]) for j, v in enumerate(h))
+        best = max(best, 1 / (1 + np.exp(-(net.scale * z + net.shift))))
+    return best
+
+
+def plain_runs(text):
+    chars = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    out, begun = [], None
+    for i, c in enumerate(text + "\0"):
+        if c in chars:
+            begun = i if begun is None else begun
+        elif begun is not None:
+            run = text[begun:i]
+            mixed = any(x in "0123456789" for x in run) or any(x.islower() and y.isupper() for x, y in zip(run, run[1:]))
+            if len(run) >= 16 or (len(run) >= 8 and mixed):
+                out.append((begun, i))
+            begun = None
+    return out
+
+
+def test_candidates_and_scores_against_plain_python(network):
+    r = random.Random(8)
+    texts = [t for t, *_ in S.synthetic_findings(12, seed=77) + S.short_findings(12, seed=77)]
+    texts += ["é" * 30 + " ghp_a1B2c3D4e5f6G7h8" + "🎉" * 30, "A1" * 60, "", "short 1a"]
+    for text in texts:
+        assert S.candidates(text) == plain_runs(text)
+        for (a, b, p), (c, d) in zip(S.scored([text], network)[0], plain_runs(text), strict=True):
+            assert (a, b) == (c, d) and abs(p - plain_probability(network, text, a, b)) < 1e-4
+    parts = ["a", "B", "7", "word", "Word", "aB", "=", ".", " ", "\n", "é", "12345678", "abcdefgh", "ABCDEFGHIJKLMNOP"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        assert S.candidates(text) == plain_runs(text), text
+
+
+def test_short_candidates(network):
+    rows = S.short_findings(2000, seed=991)
+    said = np.array([max([p >= network.least(b - a) for x, y, p in S.scored([t], network)[0] if (x, y) == (a, b)], default=False) for t, a, b, _ in rows])
+    y = np.array([x for *_, x in rows])
+    assert said[y].mean() > 0.8 and said[~y].mean() < 0.05
