@@ -55,7 +55,7 @@ class Counter:
 class Node:
     """A stretch of pre-tokens; leaves hold (characters, tokens) of each."""
 
-    __slots__ = ("chars", "left", "pieces", "right", "tokens")
+    __slots__ = ("chars", "height", "leaves", "left", "pieces", "right", "tokens")
 
     def __init__(self, pieces: list[tuple[int, int]] | None = None, left=None, right=None) -> None:
         self.pieces, self.left, self.right = pieces, left, right
@@ -65,9 +65,12 @@ class Node:
         if self.pieces is not None:
             self.chars = sum(c for c, _ in self.pieces)
             self.tokens = sum(t for _, t in self.pieces)
+            self.height, self.leaves = 0, 1
         else:
             self.chars = self.left.chars + self.right.chars
             self.tokens = self.left.tokens + self.right.tokens
+            self.height = 1 + max(self.left.height, self.right.height)
+            self.leaves = self.left.leaves + self.right.leaves
 
 
 def build(pieces: list[tuple[int, int]]) -> Node:
@@ -77,6 +80,20 @@ def build(pieces: list[tuple[int, int]]) -> Node:
     return nodes[0]
 
 
+def balanced(node: Node) -> Node:
+    """The same tree, built anew where edits at one place have made it too high; each rebuilding is paid for by the edits before it."""
+    if node.height <= 2 * node.leaves.bit_length() + 16:
+        return node
+    pieces, open_ = [], [node]
+    while open_:
+        node = open_.pop()
+        if node.pieces is not None:
+            pieces += node.pieces
+        else:
+            open_ += [node.right, node.left]
+    return build(pieces)
+
+
 def replace(node: Node, start: int, end: int, pieces: list[tuple[int, int]]) -> Node:
     """The tree with the pre-tokens that cover characters start to end replaced; only touched nodes are new."""
     if node.pieces is not None:
@@ -175,7 +192,7 @@ class EditedText:
         else:
             i = len(edits) if at == len(self.text) else i
         self.recounted += at - start
-        self.tree = replace(self.tree, start, stop, made) if self.tree.chars else build(made)
+        self.tree = balanced(replace(self.tree, start, stop, made)) if self.tree.chars else build(made)
         return moved + grown, i
 
     def _ends(self, least: int) -> Iterable[int]:

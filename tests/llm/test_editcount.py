@@ -83,3 +83,14 @@ def test_documents(spark):
         assert (r.doc_id, r.n_tokens, r.n_tokens_after, r.n_chars_after) == (doc_id, len(t.encode_ordinary(text or "")), len(t.encode_ordinary(after)), len(after))
     assert got[2].n_edits == 3 and got[2].n_chars_after == len("id <num> x\nline\n\n")
     assert editcount.count_edits(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_many_edits_at_one_place(counter):
+    """The tree stays flat, whatever the place of the edits."""
+    r = random.Random(3)
+    for place in (lambda n: n // 2, lambda n: n, lambda n: 0, lambda n: min(n, 7)):
+        held = editcount.EditedText("some words. " * 30, counter)
+        for _ in range(3000):
+            at = place(len(held.text))
+            held.apply([(at, at, r.choice(["a b", " x", "12 ", "é", ", no"]))])
+        assert held.tokens == plain(counter, held.text) and held.tree.height <= 2 * held.tree.leaves.bit_length() + 16
