@@ -49,6 +49,21 @@ def unassigned() -> str:
 UNSURE = re.compile(unassigned())
 
 
+# How the file cuts for which Encoder has a way of its own; texts under other rules are cut by the library.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 @dataclass(frozen=True)
 class Rules:
     """What the vocabulary file says, in a form that is cheap to send to workers."""
@@ -60,6 +75,7 @@ class Rules:
     specials: tuple[tuple[str, int], ...]
     end: str
     cutting: str  # the file without its vocabulary: how text is normalised and cut
+    known: bool  # whether it is cut by NORMALIZER and PRE_TOKENIZER
 
 
 def byte_chars() -> list[str]:
@@ -82,10 +98,18 @@ def merge_plainly(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, in
 
 
 def load_rules(path: str) -> Rules:
-    """Reads a tokenizers JSON file of byte-level BPE with an end-of-word suffix."""
+    """Reads a tokenizers JSON file of byte-level BPE, with or without an end-of-word suffix.
+
+    Refuses a file that asks for more than is done here, so that no id is silently wrong.
+    """
     with open(path, "rb") as f:
         raw = f.read()
     told = json.loads(raw)
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if told["model"].get(k)]
+    odd += [k for k in ("decoder", "truncation", "padding") if told.get(k)]
+    odd += [k for x in told["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized") if x.get(k)]
+    if told["model"]["type"] != "BPE" or odd:
+        raise ValueError(f"{path} asks for {odd or told['model']['type']}, which is not supported")
     vocab: dict[str, int] = told["model"]["vocab"]
     end = told["model"].get("end_of_word_suffix") or ""
     added = tuple((x["content"], x["id"]) for x in told["added_tokens"])
@@ -108,7 +132,8 @@ def load_rules(path: str) -> Rules:
             if merge_plainly(ids, ranks) != [i]:
                 unreachable.add(i)
     cutting = json.dumps(told | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}})
-    return Rules(hashlib.sha256(raw).hexdigest(), tuple(tokens), tuple(merges), frozenset(unreachable), added, end, cutting)
+    known = told["normalizer"] == NORMALIZER and told["pre_tokenizer"] == PRE_TOKENIZER
+    return Rules(hashlib.sha256(raw).hexdigest(), tuple(tokens), tuple(merges), frozenset(unreachable), added, end, cutting, known)
 
 
 class Encoder:
@@ -206,17 +231,17 @@ class Encoder:
         return text.lower()
 
     def encode_unsure(self, text: str) -> list[int]:
-        """For characters that this Python doesn't know yet the library itself normalises and cuts."""
+        """For characters that this Python doesn't know yet, and for other rules, the library itself normalises and cuts."""
         if self.library is None:
             self.library = Tokenizer.from_str(self.rules.cutting)
             self.byte_of = {c: i for i, c in enumerate(byte_chars())}
-        normal = self.library.normalizer.normalize_str(text)
-        pieces = self.library.pre_tokenizer.pre_tokenize_str(normal)
+        normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(normal) if self.library.pre_tokenizer else [(normal, None)] * bool(normal)
         return [i for piece, _ in pieces for i in self.encode_bytes(bytes(map(self.byte_of.__getitem__, piece)))]
 
     def encode_plain(self, text: str) -> list[int]:
         """A text without special tokens."""
-        if not text.isascii() and UNSURE.search(text):
+        if not self.rules.known or (not text.isascii() and UNSURE.search(text)):
             return self.encode_unsure(text)
         ids: list[int] = []
         for entry in map(self.words.__getitem__, self.split(self.normalize(text))):
@@ -224,7 +249,7 @@ class Encoder:
         return ids
 
     def encode(self, text: str) -> list[int]:
-        if self.special is None or "<|" not in text:
+        if not any(x in text for x in self.special_ids):
             return self.encode_plain(text)
         ids, at = [], 0
         for found in self.special.finditer(text):

@@ -67,3 +67,26 @@ def test_documents(spark, library):
 def test_digest(own):
     n, ids, decoded = bpe.digest(own, [1, 22], "a b")
     assert (n, ids, decoded) == (2, hashlib.sha256(b"1 22").hexdigest(), hashlib.sha256(b"a b").hexdigest())
+
+
+def changed(tmp_path, **parts):
+    import json
+
+    with open(PATH) as f:
+        told = json.load(f)
+    told |= parts
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(told))
+    return str(path)
+
+
+def test_other_rules(tmp_path):
+    """A file that cuts in another way is cut by the library; what isn't supported is refused."""
+    path = changed(tmp_path, normalizer=None, pre_tokenizer={"type": "Sequence", "pretokenizers": [{"type": "Whitespace"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
+    library, own = Tokenizer.from_file(path), bpe.Encoder(bpe.load_rules(path))
+    r = random.Random(5)
+    for _ in range(500):
+        text = "".join(r.choice(PARTS) for _ in range(r.randint(0, 20)))
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, repr(text)
+    with pytest.raises(ValueError):
+        bpe.load_rules(changed(tmp_path, decoder={"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}))
