@@ -141,7 +141,9 @@ class Generation:
     body: object
 
 
-TAG = re.compile(r"\{\{-?(.*?)-?\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
+#: What a tag holds: strings whole, so that a mark inside one doesn't end it.
+INSIDE = r"""(?:'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|[^'"])*?"""
+TAG = re.compile(rf"\{{\{{-?(?P<out>{INSIDE})-?\}}\}}|\{{%-?(?P<tag>{INSIDE})-?%\}}|\{{\#.*?\#\}}", re.S)
 TOKEN = re.compile(r"\s*(?:(?P<str>'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+<>|.()\[\]]))")
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
@@ -256,18 +258,27 @@ class _Expression:
 
 
 def parse(source: str) -> Block:
+    """The syntax tree. A dash at the edge of a tag takes the white space on that side with it."""
     pieces: list[tuple[str, str]] = []
-    at = 0
+    at, strip = 0, False
+
+    def text(body: str) -> None:
+        if strip:
+            body = body.lstrip()
+        if found := re.search(r"\{[{%#]", body):
+            raise TemplateError(f"{found[0]!r} is not closed")
+        if body:
+            pieces.append(("text", body))
+
     for found in TAG.finditer(source):
-        if found.start() > at:
-            pieces.append(("text", source[at : found.start()]))
-        if found[1] is not None:
-            pieces.append(("out", found[1]))
-        elif found[2] is not None:
-            pieces.append(("tag", found[2].strip()))
-        at = found.end()
-    if at < len(source):
-        pieces.append(("text", source[at:]))
+        body = source[at : found.start()]
+        text(body.rstrip() if found[0][2:3] == "-" else body)
+        if found["out"] is not None:
+            pieces.append(("out", found["out"]))
+        elif found["tag"] is not None:
+            pieces.append(("tag", found["tag"].strip()))
+        at, strip = found.end(), found[0][-3:-2] == "-"
+    text(source[at:])
     place = 0
 
     def block(*ends: str) -> tuple[Block, str]:
@@ -528,15 +539,14 @@ def format_conversations(rows: DataFrame, source: str = TEMPLATE, project=None,
             rows_out.clear()
             return made
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                if begun and row["conv_id"] != current:
-                    close()
-                    messages = []
-                    if len(rows_out) >= 256:
-                        yield flush()
-                current, begun = row["conv_id"], True
-                messages.append({"role": row["role"] or "", "text": row["text"] or ""})
+        for row in (row for batch in batches for at in range(0, batch.num_rows, 64) for row in batch.slice(at, 64).to_pylist()):
+            if begun and row["conv_id"] != current:
+                close()
+                messages = []
+                if len(rows_out) >= 256:
+                    yield flush()
+            current, begun = row["conv_id"], True
+            messages.append({"role": row["role"] or "", "text": row["text"] or ""})
         if begun:
             close()
         yield flush()

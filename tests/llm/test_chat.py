@@ -77,3 +77,12 @@ def test_conversations(spark):
     plain = chat.format_conversations(df).where("conv_id = 1").first()
     assert plain.formatted == "<|im_start|>user\nhello<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n" and plain.formatted[plain.spans[0].start : plain.spans[0].end] == "hi"
     assert chat.format_conversations(df.where("conv_id = 99")).collect() == []
+
+
+def test_marks_in_strings_and_trimming():
+    assert render("{{ 'a}}b' }}{{ \"%}\" }}{% set x = '{{' %}{{ x }}") == "a}}b%}{{"
+    assert render("a \n {%- if true -%} \n b {{- 'c' -}}  d {# e #} f{% endif %}") == "abcd  f"
+    assert render("a {% if true %} b {% endif %} c") == "a  b  c"
+    for source in ("{{ 'a }}", "{% if true", "a {{ b"):
+        with pytest.raises(chat.TemplateError):
+            render(source)

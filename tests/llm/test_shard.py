@@ -66,3 +66,17 @@ def test_write(spark, tmp_path):
     shard.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "out"), shards=4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 100 and back.select("shard").distinct().count() == 4
+
+
+def test_order_against_a_full_sort(spark):
+    """Slots and shards against sorting all keys in one list."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    rows = [(i, "v" * r.randint(0, 300) + str(i % 700)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {x.doc_id: (x.a, x.b) for x in df.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "doc_id").alias("b")).collect()}
+    placed = shard.histogram_sort(df, shards=5, piece_rows=60)
+    assert dict(placed.dtypes)["slot"] == "bigint" and dict(placed.dtypes)["size"] == "bigint"
+    got = [x.doc_id for x in sorted(placed.collect(), key=lambda g: (g.shard, g.slot))]
+    assert got == sorted(keys, key=keys.get)
