@@ -16,27 +16,31 @@ LEAST_LANGUAGE_SCORE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no letter, or no model is near) go."""
+    """Documents whose language can't be told (no text, no letter, or no model is near) go; lang may be null."""
     return langid.keep_known(docs, langid.fit(docs), LEAST_LANGUAGE_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id."""
+    """One document of each group stays, the one with the smallest doc_id.
+
+    Documents without a word are in no group and stay, as do rows without an id and
+    rows that repeat a kept id.
+    """
     return jaccard.keep_first(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, straight or reordered, go."""
+    """Documents that hold a benchmark item, straight or reordered, go; null and empty texts hold none."""
     return decontaminate.keep_clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are taken out of the texts; every document stays."""
+    """Secrets are taken out of the texts; every document stays, a null text as null."""
     return secretscan.redact(docs, secretscan.fit())
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, checked by decoding; the corpus as a trainer reads it."""
+    """Token ids of each document and digests of them and of what they decode to; a null text has no ids."""
     return bpe.encode_documents(
         docs,
         vocabulary("word_bpe_49k.json"),
@@ -58,10 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each result is written to the shared folder and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages on documents; each result is written to the shared folder, and deleted when the next one is there."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = common.written(docs)
+            if before is not None:
+                common.forget(before)
+            before = docs
     return docs
