@@ -83,23 +83,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with files in the shared folder, which survive a lost executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts the lineage with a table in the shared folder, which survives a lost executor.
+
+    A table, because its size is known: a checkpoint keeps the size that was guessed
+    for its plan, a product over all joins, and over the rounds of an iteration that
+    number grows until planning takes longer than the work.
+    """
+    return written(df, "cut")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, kind: str = "stage") -> DataFrame:
     """The rows as Parquet in the shared folder, read again."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
     """Deletes the folder of rows from ``written``, once nothing reads them any more."""
     spark = df.sparkSession
-    for file in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        if path.getName().startswith("stage-"):
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName().startswith(("stage-", "cut-")):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

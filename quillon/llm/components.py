@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, forget
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = mark(edges)
     while before[0]:
-        edges = checkpoint(_star(_star(edges, True), False))
+        old, edges = edges, checkpoint(_star(_star(edges, True), False))
+        forget(old)
         now = mark(edges)
         if now == before:
             break
