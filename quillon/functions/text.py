@@ -97,6 +97,7 @@ def template(line: Column | str, format_name: Column | None = None) -> Column:
 
 # --------------------------------------------------------------- cells
 
+# What counts as a whole and as a decimal number.
 INT = r"^[+-]?\d+$"
 FLOAT = r"^[+-]?(\d+\.\d*|\.\d+|\d+)([eE][+-]?\d+)?$"
 
@@ -139,6 +140,7 @@ def tokens_of_lines(total: Column) -> Column:
     return F.floor(total / 4).cast("long")
 
 
+# Fixed value: an identifier of three characters or more.
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]{2,}"
 
 
@@ -213,9 +215,9 @@ def matches_glob(p: Column | str, glob: str) -> Column:
 
 
 # Path classes and their weights in ranked search.
-GENERATED_PARTS = "node_modules dist build vendor __pycache__ coverage target generated .next .nuxt .cache .git".split()
+GENERATED_PARTS = ("node_modules", "dist", "build", "vendor", "__pycache__", "coverage", "target", "generated", ".next", ".nuxt", ".cache", ".git")
 GENERATED_NAME = r"\.min\.|\.bundle\.|\.lock$|^package-lock\.json$|^go\.sum$|\.map$|_pb2\.py$|\.generated\."
-TEST_PARTS = "test tests __tests__ spec testdata".split()
+TEST_PARTS = ("test", "tests", "__tests__", "spec", "testdata")
 TEST_NAME = r"^test_|_test\.\w+$|\.test\.\w+$|\.spec\.\w+$|^conftest\.py$"
 WEIGHTS = {"src": 1.0, "tests": 0.5, "generated": 0.2}
 
@@ -252,20 +254,24 @@ def family_of(language: Column) -> Column:
 
 
 # Read limits in bytes by kind of file.
-DATA_EXTENSIONS = ".json .jsonl .ndjson .yaml .yml .csv .tsv .xml .log .toml".split()
-CODE_EXTENSIONS = ".py .js .jsx .ts .tsx .mjs .cjs .go .rs .java .c .h .cc .cpp .hpp .rb .php .kt .swift .scala .sh".split()
+DATA_EXTENSIONS = (".json", ".jsonl", ".ndjson", ".yaml", ".yml", ".csv", ".tsv", ".xml", ".log", ".toml")
+CODE_EXTENSIONS = (
+    *(".py", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".go", ".rs", ".java", ".c", ".h", ".cc", ".cpp", ".hpp"),
+    *(".rb", ".php", ".kt", ".swift", ".scala", ".sh"),
+)
 READ_LIMITS = {"data": 8_000, "code": 20_000, "other": 50_000}
 
 
 def read_limit(p: Column | str) -> Column:
     e = extension(p)
-    return F.when(e.isin(DATA_EXTENSIONS), READ_LIMITS["data"]).when(e.isin(CODE_EXTENSIONS), READ_LIMITS["code"]).otherwise(READ_LIMITS["other"])
+    return F.when(e.isin(*DATA_EXTENSIONS), READ_LIMITS["data"]).when(e.isin(*CODE_EXTENSIONS), READ_LIMITS["code"]).otherwise(READ_LIMITS["other"])
 
 
 def is_dunder(name: Column | str) -> Column:
     return last_segment(name).rlike("^__.*__$")
 
 
+# Lines that speak of trouble, and a place in a file.
 ERRORISH = "(?i)error|fail|fatal|exception|traceback|panic|assert|warning"
 FILE_LINE = r"([A-Za-z0-9_.\\/-]+\.[A-Za-z][A-Za-z0-9]*):(\d+)"
 

@@ -64,13 +64,18 @@ def uniform_cap(sizes: DataFrame, group: str, n: str, budget: int, floor: int =
     """The largest cap that lets all groups show so many rows each within a number of rows.
 
     Caps are judged at the group sizes and between them in closed form: with sizes in
-    order, a cap c costs the smaller groups' sizes plus c for each larger one.
+    order, a cap c costs the smaller groups' sizes plus c for each larger one. Sizes
+    are counted first, all that no budget can hold as one, so the running sums are
+    over budget + 2 rows at most.
     """
-    window = Window.orderBy(n, group)
-    placed = sizes.withColumn("below", F.coalesce(F.sum(n).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("left", F.count("*").over(Window.partitionBy()) - F.row_number().over(window) + 1)
+    size = F.least(F.col(n), F.lit(budget + 1)).cast("long")
+    held = sizes.groupBy(size.alias("n")).agg(F.count(group).alias("groups"))
+    smaller = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.orderBy("n").rowsBetween(0, Window.unboundedFollowing)
+    placed = held.select("n", F.coalesce(F.sum(F.col("n") * F.col("groups")).over(smaller), F.lit(0)).alias("below"), F.sum("groups").over(rest).alias("left"))
     cap = F.floor((F.lit(budget) - F.col("below")) / F.col("left"))
-    # The first group that is larger than the cap it would get decides; if none is, all fit.
-    decided = placed.agg(F.min(F.when(cap < F.col(n), F.struct(F.col(n), group, cap.alias("cap")))).alias("x"), F.max(n).alias("most"))
+    # The first size that is larger than the cap it would get decides; if none is, all fit.
+    decided = placed.agg(F.min(F.when(cap < F.col("n"), F.struct("n", cap.alias("cap")))).alias("x"), F.max("n").alias("most"))
     return decided.select(F.greatest(F.coalesce("x.cap", "most"), F.lit(floor)).cast("long").alias("cap"))
 
 

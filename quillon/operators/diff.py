@@ -102,29 +102,53 @@ NOT_CALLS = {"if", "elif", "while", "for", "return", "def", "class", "with", "an
 DETAILS = 3
 
 
-def skeleton(source: str) -> str:
-    """The source without comments and layout; text in quotes stays as it is."""
-    out, i, n = [], 0, len(source)
-    while i < n:
-        c = source[i]
-        if c in "'\"`":
-            end = i + 1
-            while end < n and source[end] != c:
-                end += 2 if source[end] == "\\" else 1
-            out.append(source[i : end + 1])
-            i = end + 1
-        elif c == "#" or source.startswith("//", i):
-            i = source.find("\n", i)
-            i = n if i < 0 else i
-        elif source.startswith("/*", i):
-            end = source.find("*/", i + 2)
-            i = n if end < 0 else end + 2
-        else:
-            if not c.isspace():
-                out.append(c)
-            elif out and out[-1][-1:].isalnum() and i + 1 < n and (source[i + 1].isalnum() or source[i + 1] == "_"):
-                out.append(" ")
-            i += 1
+# How comments begin, by extension; block comments are those of C. Of a name without one nothing is known.
+COMMENTS = (
+    ((".py", ".pyi", ".rb", ".sh", ".bash", ".yml", ".yaml", ".toml", ".pl", ".r", ".mk"), ("#",), False),
+    ((".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".go", ".java", ".kt", ".scala", ".swift", ".cs", ".rs", ".dart", ".prisma"), ("//",), True),
+    ((".c", ".h", ".cc", ".cpp", ".hpp", ".cxx", ".m", ".css", ".scss"), ("//",), True),
+    ((".php",), ("#", "//"), True),
+    ((".sql",), ("--",), True),
+    ((".lua", ".hs"), ("--",), False),
+    (("",), ("#", "//"), True),
+)
+SCRIPTS = (".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx")
+STRING = r"""'(?:\\.|[^'\\])*'?|"(?:\\.|[^"\\])*"?|`(?:\\.|[^`\\])*`?"""
+#: In a script a slash divides only behind a value; elsewhere it begins a regular expression.
+DIVIDES = re.compile(r"[\w$)\]}'\"`]$")
+NO_VALUE = re.compile(r"(?:^|[^\w$.])(?:return|typeof|case|do|else|in|of|new|delete|void|throw|yield|await)$")
+REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/\w*")
+
+
+def skeleton(source: str, path: str = "") -> str:
+    """The source without comments and layout; text in quotes and regular expressions stays as it is.
+
+    Comments are those of the path's language, so a preprocessor line or a private
+    field is none; a language that isn't known loses nothing but layout.
+    """
+    end = re.search(r"(?:[^./])(\.[^./]*)$|$", path)[1] or ""
+    marks, blocks = next(((m, b) for ends, m, b in COMMENTS if end.lower() in ends and (end or not path)), ((), False))
+    skip = [re.escape(m) + r"[^\n]*" for m in marks] + [r"/\*.*?(?:\*/|\Z)"] * blocks
+    piece = re.compile(rf"(?P<skip>{'|'.join(skip) or '(?!)'})|(?P<text>{STRING})|(?P<space>\s+)|(?P<word>[\w$]+)|(?P<one>.)", re.S)
+    out: list[str] = []
+    at, gap = 0, False
+    while at < len(source):
+        found = piece.match(source, at)
+        told = found.group()
+        if found.lastgroup == "one" and told == "/" and end.lower() in SCRIPTS:
+            before = "".join(out[-2:])
+            if (not DIVIDES.search(before) or NO_VALUE.search(before)) and (literal := REGEX.match(source, at)):
+                told = literal.group()
+        at += len(told)
+        if found.lastgroup == "skip":
+            continue
+        if found.lastgroup == "space":
+            gap = True
+            continue
+        if gap and found.lastgroup == "word" and out and re.match(r"[\w$]", out[-1][-1]):
+            out.append(" ")
+        gap = False
+        out.append(told)
     return "".join(out)
 
 
@@ -160,7 +184,7 @@ def is_mechanical(old: str, new: str, path: str = "") -> bool:
                 return True
         except (tokenize.TokenError, SyntaxError):
             pass
-    elif skeleton(old) == skeleton(new):
+    elif skeleton(old, path) == skeleton(new, path):
         return True
     imports = re.compile(r"^\s*(?:import|from|require|use|#include)\b")
     split = lambda s: ([x for x in s.splitlines() if x.strip() and not imports.match(x)], sorted(x.strip() for x in s.splitlines() if imports.match(x)))
@@ -187,7 +211,96 @@ def section_delta(old: DataFrame, new: DataFrame, key: list[str], body: str) ->
     return delta(old, new, key, body)
 
 
+# Fixed value: what marks a symbol as deprecated, in it or in the lines above it.
 DEPRECATED = r"(?i)\bdeprecat(?:ed|ion)\b|@deprecated"
+ABOVE = 2
+
+
+def deprecated_symbols(symbols: DataFrame, lines: DataFrame) -> DataFrame:
+    """(file, qualname) of symbols with a mark in their lines or the two above, where comments and decorators stand.
+
+    ``symbols`` has file, qualname, line_start, line_end; ``lines`` has file, line_no, line.
+    """
+    from . import intervals
+
+    marked = lines.where(F.col("line").rlike(DEPRECATED)).select("file", "line_no")
+    reach = symbols.select("file", "qualname", F.greatest(F.col("line_start") - ABOVE, F.lit(1)).alias("from_line"), F.col("line_end").alias("to_line"))
+    return intervals.point_join(marked, "line_no", reach, "from_line", "to_line", ["file"], 200).select("file", "qualname").distinct()
+
+
+# Lines that are no code outside symbols, by language.
+COMMENT_LINE = r"^\s*(?:#|//|/\*|\*)"
+IMPORT_LINE = r"^\s*(?:import|from|require|use|#include|package)\b|^\s*(?:const|let|var)\s.*\brequire\("
+
+
+def module_changes(old: DataFrame, new: DataFrame, old_symbols: DataFrame, new_symbols: DataFrame) -> DataFrame:
+    """(file, line): files whose code outside all symbols changed, with the first such line of the new side.
+
+    ``old`` and ``new`` have (file, line_no, line). Blank, comment and import lines
+    are no code. A line counts as kept as often as both sides have it outside symbols;
+    where lines are only gone, the line is null.
+    """
+    from . import intervals
+
+    def loose(lines: DataFrame, symbols: DataFrame) -> DataFrame:
+        code = lines.withColumn("code", F.trim("line")).where((F.col("code") != "") & ~F.col("line").rlike(COMMENT_LINE) & ~F.col("line").rlike(IMPORT_LINE))
+        points = code.select("file", "code", F.col("line_no").alias("no"), F.col("line_no").alias("to_no"))
+        free = intervals.overlapping(points, symbols.select("file", "line_start", "line_end"), "no", "to_no", "line_start", "line_end", ["file"], 200, anti=True)
+        return free.select("file", "code", "no", F.row_number().over(Window.partitionBy("file", "code").orderBy("no")).alias("k"))
+
+    a, b = loose(old, old_symbols), loose(new, new_symbols)
+    come = b.join(a.select("file", "code", "k"), ["file", "code", "k"], "left_anti").select("file", F.col("no").alias("line"))
+    gone = a.join(b.select("file", "code", "k"), ["file", "code", "k"], "left_anti").select("file", F.lit(None).cast("int").alias("line"))
+    return come.unionByName(gone).groupBy("file").agg(F.min("line").alias("line"))
+
+
+# Views of a version history: rows of commits (sha, subject, author, position) and of unified diffs.
+
+
+def log_view(commits: DataFrame, most: int, grep: str | None = None, author: str | None = None) -> DataFrame:
+    """(position, line): the newest matching commits as ``sha subject (author)``; position 1 is the newest."""
+    held = commits
+    if grep:
+        held = held.where(F.col("subject").rlike(grep))
+    if author:
+        held = held.where(F.col("author").rlike(author))
+    line = F.concat("sha", F.lit(" "), "subject", F.lit(" ("), "author", F.lit(")"))
+    return held.orderBy("position").limit(most).select("position", line.alias("line"))
+
+
+def status_view(entries: DataFrame, stats: DataFrame) -> DataFrame:
+    """(section, files, plus, minus) of (section, code, path) entries with (path, plus, minus) figures; files without any count as 0."""
+    held = entries.join(stats, "path", "left").na.fill(0, ["plus", "minus"])
+    return held.groupBy("section").agg(F.count("*").alias("files"), F.sum("plus").alias("plus"), F.sum("minus").alias("minus"))
+
+
+def branch_view(old: DataFrame, new: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """(key, state, plus, minus) for files of two versions that differ: lines come and gone as multisets, so a move within a file is none."""
+    states = delta(old, new, [key], text).where("state != 'same'")
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        lines = df.join(states.select(key), key, "left_semi").select(key, F.explode(t.line_array(text)).alias("line"))
+        return lines.groupBy(key, "line").agg(F.count("*").alias(name))
+
+    both = counted(old, "was").join(counted(new, "now"), [key, "line"], "full_outer").na.fill(0, ["was", "now"])
+    per = both.groupBy(key).agg(F.sum(F.greatest(F.col("now") - F.col("was"), F.lit(0))).alias("plus"), F.sum(F.greatest(F.col("was") - F.col("now"), F.lit(0))).alias("minus"))
+    return states.join(per, key, "left").na.fill(0, ["plus", "minus"])
+
+
+def hunk_view(diffs: DataFrame, key: str, diff: str, level: int) -> DataFrame:
+    """(key, pos, line): a unified diff at a level of detail.
+
+    0 keeps all lines, 1 drops lines of context, 2 keeps headers of hunks and files,
+    3 headers of files only. Headers that name the two sides or their blobs go.
+    """
+    rows = diffs.select(key, F.posexplode(t.line_array(diff)).alias("pos", "line"))
+    line = F.col("line")
+    file_line, hunk = line.startswith("diff --git "), line.rlike(f"^{HUNK}")
+    within = F.max(F.when(hunk, 2).when(file_line, 1)).over(Window.partitionBy(key, "file").orderBy("pos"))
+    numbered = rows.withColumn("file", F.sum(file_line.cast("int")).over(Window.partitionBy(key).orderBy("pos")))
+    body = numbered.withColumn("in_hunk", within == 2).where(file_line | F.col("in_hunk"))
+    shown = {0: F.lit(True), 1: file_line | hunk | line.rlike(r"^[-+\\]"), 2: file_line | hunk, 3: file_line}[level]
+    return body.where(shown).select(key, "pos", "line")
 
 
 def risk_flags(changes: DataFrame, keywords: list[str], large: int) -> DataFrame:

@@ -7,6 +7,7 @@ is gathered: what comes out are ordinary rows for the index operators.
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Callable, Iterator
 
@@ -162,13 +163,75 @@ JS_METHOD = re.compile(r"^\s+(?:public |private |protected |static |async |get |
 JS_IMPORT = re.compile(r"""^\s*import\s+(?:type\s+)?(?:([\w$]+)\s*,?\s*)?(?:\{([^}]*)\}|\*\s+as\s+([\w$]+))?\s*(?:from\s*)?['"]([^'"]+)['"]""")
 JS_REQUIRE = re.compile(r"""(?:const|let|var)\s+(?:([\w$]+)|\{([^}]*)\})\s*=\s*require\(\s*['"]([^'"]+)['"]""")
 JS_CALL = re.compile(r"(?<![\w$.])((?:[\w$]+\.)*[\w$]+)\s*\(")
-JS_WORDS = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "super", "constructor", "import", "require"}
+JS_WORDS = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "super", "constructor", "import", "require", "async"}
+
+
+JS_ARROW = re.compile(r"(?<![\w$.])([\w$]+)\s*=>")
+JS_BODY = re.compile(r"\s*(?:(?::[^={;]*)?=>\s*(\{)?|(?::[^={;()]*)?(\{))")
+JS_CONTROL = re.compile(r"(?<![\w$.])(?:if|for|while|switch|with|return|typeof|await)\s*$")
+JS_LOCAL = re.compile(r"(?<![\w$.])(?:const|let|var)\s+(?:([\w$]+)|[{\[]([^}\]=]*)[}\]])|(?<![\w$.])(?:function\*?|class)\s+([\w$]+)")
+JS_NAME = re.compile(r"[A-Za-z_$][\w$]*")
+
+
+def closing(text: str, at: int) -> int:
+    """Where the parenthesis that opens at a place closes; the end of the text if it doesn't."""
+    depth = 0
+    for i in range(at, len(text)):
+        depth += (text[i] in "([{") - (text[i] in ")]}")
+        if depth == 0:
+            return i
+    return len(text)
+
+
+def parameter_names(inside: str) -> set[str]:
+    """Names that a parameter list binds: defaults and annotations are left out at its own level."""
+    out, depth, skip, piece = set(), 0, False, ""
+    for c in inside + ",":
+        if c == "," and depth <= (1 if "{" in piece or "[" in piece else 0):
+            out.update(JS_NAME.findall(piece))
+            skip, piece = False, ""
+            continue
+        depth += (c in "([{<") - (c in ")]}>")
+        skip = skip or (depth == 0 and c in "=:?")
+        piece += "" if skip else c
+    return out
+
+
+def js_bound(rows: list[str]) -> list[tuple[int, int, set[str]]]:
+    """(first line, last line, names): what functions bind for their lines: parameters, locals, caught errors.
+
+    A function is a parameter list with a body or an arrow behind it, or a name with an arrow.
+    """
+    whole = "\n".join(rows)
+    starts = [0, *(m.end() for m in re.finditer("\n", whole))]
+    line_at = lambda at: bisect.bisect_right(starts, at) - 1
+    heads = [(m.start(), m.end(1), {m[1]}) for m in JS_ARROW.finditer(whole)]
+    for m in re.finditer(r"\(", whole):
+        if not JS_CONTROL.search(whole, max(0, m.start() - 12), m.start()):
+            stop = closing(whole, m.start())
+            heads.append((m.start(), stop + 1, parameter_names(whole[m.end() : stop])))
+    found: list[tuple[int, int, set[str]]] = []
+    for begin, end, names in heads:
+        if body := JS_BODY.match(whole, end):
+            stop = closing(whole, body.end() - 1) if body[1] or body[2] else whole.find("\n", body.end())
+            stop = len(whole) - 1 if stop < 0 else min(stop, len(whole) - 1)
+            for local in JS_LOCAL.finditer(whole, end, stop):
+                names |= set(JS_NAME.findall(local[1] or local[2] or local[3] or ""))
+            found.append((line_at(begin), line_at(stop), names))
+    return found
+
+
+def unbound(name: str, line: int, scopes: list[tuple[int, int, set[str]]]) -> str:
+    """The name, or that it is a local one's, of which nothing is known."""
+    first = name.split(".")[0]
+    return "<dynamic>" if first not in ("this", "super") and any(a <= line <= b and first in names for a, b, names in scopes) else name
 
 
 def js_source(text: str) -> tuple[list[Symbol], list[Relation]]:
     plain, rows = text.split("\n"), masked(text).split("\n")
     symbols: list[Symbol] = []
     relations: list[Relation] = []
+    scopes = js_bound(rows)
     for i, row in enumerate(rows):
         for pattern, kind in JS_DEFINES:
             if m := pattern.match(row):
@@ -192,7 +255,10 @@ def js_source(text: str) -> tuple[list[Symbol], list[Relation]]:
                 relations.append((i + 1, "import", m[4], None, None))
         elif m := JS_REQUIRE.search(plain[i]):
             relations += [(i + 1, "import", m[3], x.strip(), None) for x in (m[2] or m[1] or "").split(",") if x.strip()]
-        relations += [(i + 1, "call", x, None, None) for x in JS_CALL.findall(row) if x not in JS_WORDS and not re.match(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function", row)]
+        # A method's head is no call of it.
+        head = JS_METHOD.match(row)
+        calls = JS_CALL.findall(row[head.end(1) + 1 :] if head else row)
+        relations += [(i + 1, "call", unbound(x, i, scopes), None, None) for x in calls if x not in JS_WORDS and not re.match(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function", row)]
     return symbols, relations
 
 
@@ -203,11 +269,32 @@ GO_IMPORT = re.compile(r'^\s*(?:import\s+)?(?:(\w+|\.|_)\s+)?"([^"]+)"')
 GO_METHOD = re.compile(r"^\s+(\w+)\s*\(")
 
 
+GO_LOCAL = re.compile(r"\b([\w, ]+?)\s*:=|\bvar\s+([\w, ]+?)\s+[\w*\[\]]")
+GO_LITERAL = re.compile(r"\bfunc\s*\(")
+
+
+def go_bound(rows: list[str]) -> list[tuple[int, int, set[str]]]:
+    """(first line, last line, names): parameters and locals of each function; the receiver is its own."""
+    found = []
+    for i, row in enumerate(rows):
+        if m := GO_FUNC.match(row):
+            end = block_end(rows, i)
+            body = "\n".join(rows[i : end + 1])
+            heads = [m.end(), *(x.end() - 1 for x in GO_LITERAL.finditer(body, m.end()))]
+            lists = [body[a + 1 : closing(body, a)] for h in heads if (a := body.find("(", h)) >= 0]
+            names = {w[0] for x in lists for part in x.split(",") if (w := part.split()) and re.match(r"\w+$", w[0])}
+            for local in GO_LOCAL.finditer(body):
+                names |= set(re.findall(r"\w+", local[1] or local[2]))
+            found.append((i, end, names - {"for", "if", "switch", "range", "_"}))
+    return found
+
+
 def go_source(text: str) -> tuple[list[Symbol], list[Relation]]:
     plain, rows = text.split("\n"), masked(text).split("\n")
     symbols: list[Symbol] = []
     relations: list[Relation] = []
     importing = False
+    scopes = go_bound(rows)
     for i, row in enumerate(rows):
         public = lambda x: int(x[:1].isupper())
         if m := GO_FUNC.match(row):
@@ -230,7 +317,7 @@ def go_source(text: str) -> tuple[list[Symbol], list[Relation]]:
             elif m := GO_IMPORT.match(plain[i]):
                 relations.append((i + 1, "import", m[2], None, m[1]))
         if not GO_FUNC.match(row):
-            relations += [(i + 1, "call", x, None, None) for x in JS_CALL.findall(row) if x not in JS_WORDS | {"make", "len", "append", "func"}]
+            relations += [(i + 1, "call", unbound(x, i, scopes), None, None) for x in JS_CALL.findall(row) if x not in JS_WORDS | {"make", "len", "append", "func"}]
     return symbols, relations
 
 
@@ -265,6 +352,46 @@ def prisma_item(row: str) -> tuple[str, str, int] | None:
     return (m[2], m[1], 1) if m else None
 
 
+# Words that may stand before a definition, and what each word that defines makes; other languages are outlined by these.
+BEFORE = ("public", "private", "protected", "static", "export", "async", "final", "abstract", "pub", "open", "inline", "local", "override", "sealed", "partial", "internal")
+DEFINES = {
+    "def": "func",
+    "function": "func",
+    "fn": "func",
+    "func": "func",
+    "fun": "func",
+    "sub": "func",
+    "proc": "func",
+    "class": "class",
+    "module": "module",
+    "interface": "interface",
+    "struct": "struct",
+    "trait": "trait",
+    "object": "object",
+    "enum": "enum",
+}
+GENERIC_ITEM = re.compile(rf"(?:(?:{'|'.join(BEFORE)})\s+)*({'|'.join(DEFINES)})\s+([A-Za-z_][\w:.$!?]*)")
+SHELL_ITEM = re.compile(r"([A-Za-z_]\w*)\s*\(\)\s*\{")
+
+
+def generic_symbols(text: str) -> list[Symbol]:
+    """Definitions at the margin; each reaches to the line before the next one that is at the margin and no closing."""
+    rows = text.split("\n")
+    margin = [i for i, x in enumerate(rows) if x[:1].strip() and not re.match(r"(?:end|fi|done|[})\]])\b|[})\]]", x)] + [len(rows)]
+    out: list[Symbol] = []
+    for at, following in zip(margin, margin[1:]):
+        m, shell = GENERIC_ITEM.match(rows[at]), SHELL_ITEM.match(rows[at])
+        if m or shell:
+            end = max((i for i in range(at, following) if rows[i].strip()), default=at)
+            hidden = bool(re.match(r"(?:\w+\s+)*?(?:private|protected|local)\b", rows[at]))
+            out.append((m[2], DEFINES[m[1]], at + 1, end + 1, int(not hidden), 0) if m else (shell[1], "func", at + 1, end + 1, 1, 0))
+    return out
+
+
+# Fixed value: the kinds of files that are outlined by definitions at the margin.
+GENERIC_ENDS = ("rb", "php", "kt", "kts", "swift", "java", "scala", "sh", "bash", "zsh", "cs", "lua", "pl", "pm", "ex", "exs", "dart", "groovy", "jl", "nim", "tcl")
+
+
 def markdown_sections(text: str) -> list[tuple[int, str, int, int]]:
     """(level, title, first line, last line); headings in fences are none; lines before the first are level 0."""
     rows = re.split("\r\n|\r|\n", text)
@@ -300,7 +427,9 @@ def source(path: str, text: str) -> tuple[list[Symbol], list[Relation]]:
     if end in ("md", "markdown"):
         return markdown_source(text)
     items = {"rs": rust_item, "prisma": prisma_item} | dict.fromkeys("c h cc cpp hpp cxx".split(), c_item)
-    return (outline_source(text, items[end]), []) if end in items else ([], [])
+    if end in items:
+        return outline_source(text, items[end]), []
+    return (generic_symbols(text) if end in GENERIC_ENDS else []), []
 
 
 def _table(files: DataFrame, ddl: str, rows_of: Callable[[str, str], Iterator[tuple]]) -> DataFrame:
@@ -324,6 +453,22 @@ def relations(files: DataFrame) -> DataFrame:
     return _table(files, RELATIONS, lambda p, x: iter(source(p, x)[1]))
 
 
+SECTIONS = "path string, level int, title string, occurrence int, body string"
+
+
+def sections(files: DataFrame) -> DataFrame:
+    """(path, level, title, occurrence, body) of Markdown files; equal titles of a level are numbered from 1."""
+
+    def rows_of(_: str, text: str) -> Iterator[tuple]:
+        seen: dict[tuple[int, str], int] = {}
+        rows = re.split("\r\n|\r|\n", text)
+        for level, title, first, last in markdown_sections(text):
+            seen[level, title] = seen.get((level, title), 0) + 1
+            yield level, title, seen[level, title], "\n".join(rows[first - 1 : last])
+
+    return _table(files, SECTIONS, rows_of)
+
+
 def outline(files: DataFrame, depth: int) -> DataFrame:
     """Symbols no deeper than a level."""
     return symbols(files).where(F.col("depth") <= depth)

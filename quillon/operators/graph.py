@@ -1,38 +1,36 @@
 """Bounded traversal, reachability and cycles over edge tables.
 
 Each level is one join of the frontier with the edges and an anti-join with what
-has been visited. The lineage is cut with checkpoint(), whose files all executors
-share; nothing but counts comes to the driver.
+has been visited. Only the new frontier is written, with checkpoint(), whose files
+all executors share; what has been visited is the union of the frontiers. Nothing
+but counts comes to the driver.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint()
+from ..session import checkpoint as cut
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, depth): the first level at which a node is reached; seeds have 0."""
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, depth): the first level at which a node is reached; seeds have 0. Without a depth, all that can be reached."""
     e = edges.select(F.col(src).alias("node"), F.col(dst).alias("__to")).distinct()
     visited = frontier = cut(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0)))
-    for level in range(1, depth + 1):
+    for level in count(1) if depth is None else range(1, depth + 1):
         reached = frontier.join(e, "node").select(F.col("__to").alias("node")).distinct()
         frontier = cut(reached.join(visited, "node", "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
-        visited = cut(visited.unionByName(frontier))
+        visited = visited.unionByName(frontier)
     return visited
 
 
-def hierarchy(edges: DataFrame, root: str, depth: int = 50, child: str = "child", parent: str = "parent") -> DataFrame:
-    """Descendants of a name, cycle-safe; the root needs no row of its own."""
+def hierarchy(edges: DataFrame, root: str, depth: int | None = None, child: str = "child", parent: str = "parent") -> DataFrame:
+    """All descendants of a name, cycle-safe; the root needs no row of its own."""
     seed = edges.sparkSession.createDataFrame([(root,)], "node string")
     return bfs(edges, seed, depth, parent, child).where("depth > 0")
 
@@ -55,7 +53,7 @@ def _reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         frontier = cut(step.join(visited, ["part", "node"], "left_anti"))
         if frontier.isEmpty():
             return visited
-        visited = cut(visited.unionByName(frontier))
+        visited = visited.unionByName(frontier)
 
 
 #: Edge tables up to this size (it is checked) are worked out in one task.
@@ -181,11 +179,11 @@ def impact(target: str, refs: DataFrame, symbols: DataFrame, parents: DataFrame,
     from . import index, intervals
 
     spans = symbols.select(F.col("file").alias("from_file"), F.col("qualname").alias("user"), "line_start", "line_end")
-    placed = intervals.innermost(refs.withColumn("__id", F.monotonically_increasing_id()), ["__id"], "from_line", spans, "line_start", "line_end", ["from_file"], 200)
-    inside = placed.select(F.coalesce("to_symbol", "to_name").alias("used"), "user")
-    loose = refs.join(placed.select("from_file", "from_line", "to_name").distinct(), ["from_file", "from_line", "to_name"], "left_anti")
-    modules = loose.select(F.coalesce("to_symbol", "to_name").alias("used"), F.concat("from_file", F.lit("::<module>")).alias("user"))
-    uses = inside.union(modules).select(t.last_segment("used").alias("src"), F.col("user").alias("dst"))
+    # What encloses a use depends on its place alone.
+    places = refs.select("from_file", "from_line").distinct()
+    placed = intervals.innermost(places, ["from_file", "from_line"], "from_line", spans, "line_start", "line_end", ["from_file"], 200).select("from_file", "from_line", "user")
+    module = F.concat("from_file", F.lit("::<module>"))
+    uses = refs.join(placed, ["from_file", "from_line"], "left").select(F.coalesce("to_symbol", "to_name").alias("used"), F.coalesce("user", module).alias("user")).select(t.last_segment("used").alias("src"), F.col("user").alias("dst"))
     kin = parents.select(t.last_segment("parent").alias("src"), t.last_segment("child").alias("__last")).join(symbols.select(t.last_segment("qualname").alias("__last"), F.col("qualname").alias("dst")), "__last").select("src", "dst")
     named = uses.union(kin).join(symbols.select(t.last_segment("qualname").alias("src"), F.col("qualname").alias("from")), "src").select(F.col("from").alias("src"), "dst").distinct()
     seed = index.symbol_match(symbols, target).select("qualname")

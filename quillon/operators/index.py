@@ -54,23 +54,107 @@ def cascade(refs: DataFrame, key: str, stages: list[tuple[str, DataFrame, Column
     return out.drop("__stop")
 
 
-def resolve_refs(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+# Fixed value: what a module's relative name may stand for in scripts, in this order.
+SCRIPT_ENDS = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js")
+
+
+def plain_parts(path: Column) -> Column:
+    """The path without ``.`` and with ``..`` worked out."""
+    step = lambda held, p: F.when(p.isin("", "."), held).when(p == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(p)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def module_files(file: Column, module: Column) -> Column:
+    """The files that a module's name in a file may mean, the likeliest first; none for other languages.
+
+    Python: beside the file (leading dots go up), then from the root. Scripts: names
+    that begin with a dot, with the ends that a loader tries.
+    """
+    kind = t.family_of(t.language_of(file))
+    folder = t.dirname(file)
+    dots = F.length(F.regexp_extract(module, r"^\.*", 0))
+    rel = F.replace(F.regexp_replace(module, r"^\.+", ""), F.lit("."), F.lit("/"))
+    up = F.array_join(F.slice(F.split(folder, "/"), F.lit(1), F.greatest(F.size(F.split(folder, "/")) - F.greatest(dots - 1, F.lit(0)), F.lit(0))), "/")
+    near = plain_parts(F.concat(up, F.lit("/"), rel, F.lit(".py")))
+    python = F.when(rel != "", F.when(dots > 0, F.array(near)).otherwise(F.array(near, F.concat(rel, F.lit(".py")))))
+    base = plain_parts(F.concat(folder, F.lit("/"), module))
+    script = F.when(F.startswith(module, F.lit(".")), F.array(*(F.concat(base, F.lit(e)) for e in SCRIPT_ENDS)))
+    return F.coalesce(F.when(kind == "python", python).when(kind == "js", script), F.array().cast("array<string>"))
+
+
+def go_folders(imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """(file, module, folder): the folder of each Go import within the module that encloses the importing file.
+
+    ``modules`` has (dir, name) of each module file; the innermost one around a file counts.
+    """
+    above = F.transform(F.sequence(F.lit(0), F.size(F.split("file", "/")) - 1), lambda n: F.array_join(F.slice(F.split("file", "/"), F.lit(1), n), "/"))
+    go = imports.where(t.language_of("file") == "go").select("file", "module").distinct()
+    held = go.select("file", "module", F.explode(above).alias("dir")).join(modules.select("dir", "name"), "dir")
+    inner = held.groupBy("file", "module").agg(F.max_by(F.struct("dir", "name"), F.length("dir")).alias("m"))
+    sub = F.when(F.col("module") == F.col("m.name"), "").when(F.startswith("module", F.concat("m.name", F.lit("/"))), F.substring("module", F.length("m.name") + 2, F.length("module")))
+    folder = F.when(sub == "", F.col("m.dir")).when(F.col("m.dir") == "", sub).otherwise(F.concat("m.dir", F.lit("/"), sub))
+    return inner.select("file", "module", folder.alias("folder")).where("folder is not null")
+
+
+def resolve_refs(refs: DataFrame, symbols: DataFrame, imports: DataFrame, files: DataFrame | None = None, go_modules: DataFrame | None = None) -> DataFrame:
     """References with to_symbol and confidence: same file, then the first matching import, then a unique bare name.
 
-    A matching import whose target isn't found ends the search for its name.
+    A matching import whose target isn't found ends the search for its name. Where
+    refs have a ``qualifier`` (what stands before the name), one that an import binds
+    to a whole module decides before all else: its file, or for Go its folder, given
+    by ``go_modules`` (dir, name). ``files`` (path) are those that modules may mean;
+    without them the files that have symbols.
     """
+    if "qualifier" in refs.columns:
+        own_refs = refs.withColumn("__ref", F.struct("from_file", "qualifier", "to_name"))
+        whole = qualified(own_refs.select("from_file", "qualifier", "to_name").distinct(), symbols, imports, files, go_modules)
+        plain = resolve_refs(refs.drop("qualifier").select("from_file", "to_name").distinct().withColumns({"to_symbol": F.lit(None), "confidence": F.lit(None)}), symbols, imports, files).select("from_file", "to_name", F.col("to_symbol").alias("__plain"))
+        joined = refs.drop("to_symbol", "confidence").join(whole, ["from_file", "qualifier", "to_name"], "left").join(plain, ["from_file", "to_name"], "left")
+        found = F.when(F.col("__whole"), F.col("__target")).otherwise(F.col("__plain"))
+        return joined.withColumn("to_symbol", found).withColumn("confidence", F.when(found.isNotNull(), "resolved").otherwise("heuristic")).drop("__whole", "__target", "__plain")
     local = symbols.select(F.col("file").alias("from_file"), t.last_segment("qualname").alias("to_name"), "qualname", "line_start")
     own = local.groupBy("from_file", "to_name").agg(F.max_by("qualname", "line_start").alias("__own"))
-    bound = imports.select(F.col("file").alias("from_file"), F.coalesce("alias", "symbol").alias("to_name"), F.struct("line", "module", "symbol").alias("i")).where("to_name is not null").groupBy("from_file", "to_name").agg(F.min("i").alias("i"))
-    module_file = F.concat(F.replace(F.col("i.module"), F.lit("."), F.lit("/")), F.lit(".py"))
-    target = symbols.select(F.col("file").alias("__file"), t.last_segment("qualname").alias("__name"), F.col("qualname").alias("__import")).dropDuplicates(["__file", "__name"])
-    imported = bound.withColumns({"__file": module_file, "__name": F.col("i.symbol")}).join(target, ["__file", "__name"], "left").select("from_file", "to_name", "__import", F.lit(True).alias("__bound"))
+    bound = imports.where("symbol is null or symbol != '*'").select(F.col("file").alias("from_file"), F.coalesce("alias", "symbol").alias("to_name"), F.struct("line", "module", "symbol").alias("i")).where("to_name is not null").groupBy("from_file", "to_name").agg(F.min("i").alias("i"))
+    target = named_in_file(symbols)
+    placed = module_targets(imports, symbols, files)
+    imported = bound.withColumns({"module": F.col("i.module"), "__name": F.col("i.symbol")}).join(placed, ["from_file", "module"], "left").join(target, ["__file", "__name"], "left").select("from_file", "to_name", "__import", F.lit(True).alias("__bound"))
     bare = unique(symbols.select(t.last_segment("qualname").alias("to_name"), "qualname"), "to_name", "qualname").withColumnRenamed("qualname", "__bare")
     joined = refs.drop("to_symbol", "confidence").join(own, ["from_file", "to_name"], "left").join(imported, ["from_file", "to_name"], "left").join(bare, "to_name", "left")
     found = F.coalesce("__own", F.when(F.coalesce("__bound", F.lit(False)), F.col("__import")).otherwise(F.col("__bare")))
     return joined.withColumn("to_symbol", found).withColumn("confidence", F.when(found.isNotNull(), "resolved").otherwise("heuristic")).drop("__own", "__bound", "__import", "__bare")
 
 
+def named_in_file(symbols: DataFrame) -> DataFrame:
+    """(__file, __name, __import): one symbol for each last name of a file, the first by name."""
+    return symbols.groupBy(F.col("file").alias("__file"), t.last_segment("qualname").alias("__name")).agg(F.min("qualname").alias("__import"))
+
+
+def module_targets(imports: DataFrame, symbols: DataFrame, files: DataFrame | None) -> DataFrame:
+    """(from_file, module, __file): the first of its likely files that is there; in Python, else the only one with that end."""
+    known = (files.select(F.col("path").alias("__file")) if files is not None else symbols.select(F.col("file").alias("__file"))).distinct()
+    asked = imports.select(F.col("file").alias("from_file"), "module").distinct().withColumn("__key", F.concat_ws("|", "from_file", "module"))
+    found = first_candidate(asked, "__key", module_files(F.col("from_file"), F.col("module")), known, "__file")
+    left = asked.where(t.language_of("from_file") == "python").join(found, "__key", "left_anti")
+    end = F.concat(F.replace(F.regexp_replace("module", r"^\.+", ""), F.lit("."), F.lit("/")), F.lit(".py"))
+    only = unique(suffix_join(left.select("__key", end.alias("__end")), "__end", known, "__file"), "__key", "__file")
+    return asked.join(found.unionByName(only), "__key").select("from_file", "module", "__file")
+
+
+def qualified(asked: DataFrame, symbols: DataFrame, imports: DataFrame, files: DataFrame | None, go_modules: DataFrame | None) -> DataFrame:
+    """(from_file, qualifier, to_name, __target, __whole) for names behind a module that an import binds as a whole."""
+    held = imports.where("symbol is null or symbol = '*'").withColumn("from_file", F.col("file"))
+    own = F.when(t.language_of("file") == "go", F.coalesce("alias", F.substring_index("module", "/", -1))).otherwise(F.coalesce("alias", "module"))
+    bound = held.select("from_file", own.alias("qualifier"), F.struct("line", "module").alias("i")).groupBy("from_file", "qualifier").agg(F.min("i.module").alias("module"))
+    q = asked.where("qualifier is not null").join(bound, ["from_file", "qualifier"])
+    by_file = q.join(module_targets(imports, symbols, files), ["from_file", "module"]).withColumn("__name", F.col("to_name")).join(named_in_file(symbols), ["__file", "__name"]).select("from_file", "qualifier", "to_name", F.col("__import").alias("__target"))
+    if go_modules is not None:
+        top = symbols.where((t.language_of("file") == "go") & ~F.contains(F.substring_index("qualname", "::", -1), F.lit(".")))
+        at = top.groupBy(t.dirname("file").alias("folder"), t.last_segment("qualname").alias("to_name")).agg(F.min("qualname").alias("__target"))
+        folders = go_folders(imports, go_modules).withColumnRenamed("file", "from_file")
+        by_file = by_file.unionByName(q.join(folders, ["from_file", "module"]).join(at, ["folder", "to_name"]).select("from_file", "qualifier", "to_name", "__target"))
+    return q.select("from_file", "qualifier", "to_name").join(by_file, ["from_file", "qualifier", "to_name"], "left").withColumn("__whole", F.lit(True))
+
+
 def first_candidate(rows: DataFrame, key: str, candidates: Column, targets: DataFrame, target: str) -> DataFrame:
     """The first name of an ordered list that exists: (key, target)."""
     asked = rows.select(key, F.posexplode(candidates).alias("__pos", target))

@@ -33,14 +33,17 @@ def innermost(points: DataFrame, key: list[str], at: str, spans: DataFrame, star
 
 
 def overlapping(left: DataFrame, right: DataFrame, ls: str, le: str, rs: str, re_: str, on: list[str] = (), width: int = 1000, anti: bool = False) -> DataFrame:
-    """Rows of the left that overlap (or, anti, don't overlap) any closed range of the right."""
-    a, b = bucketed(left.withColumn("__id", F.monotonically_increasing_id()), ls, le, width), bucketed(right, rs, re_, width)
+    """Rows of the left that overlap (or, anti, don't overlap) any closed range of the right.
+
+    The answer depends on a row's range and keys alone, so it is found for the
+    distinct ones, and no row needs a number of its own. A range without an end
+    overlaps nothing.
+    """
+    key = [*on, ls, le]
+    a, b = bucketed(left.select(*key).distinct(), ls, le, width), bucketed(right, rs, re_, width)
     cond = [a["__b"] == b["__b"], *(a[k] == b[k] for k in on), F.col(ls) <= F.col(re_), F.col(le) >= F.col(rs)]
-    if not anti:
-        return a.join(b, cond, "left_semi").dropDuplicates(["__id"]).select(*left.columns)
-    # A row is outside if it is outside in each of its buckets.
-    bad = a.join(b, cond, "left_semi").select("__id").distinct()
-    return left.withColumn("__id", F.monotonically_increasing_id()).join(bad, "__id", "left_anti").select(*left.columns)
+    hit = a.join(b, cond, "left_semi").select(*key).distinct()
+    return left.join(hit, key, "left_anti" if anti else "left_semi").select(*left.columns)
 
 
 def merge(df: DataFrame, by: list[str], start: str, end: str, gap: int = 1, extra: dict[str, Column] | None = None) -> DataFrame:

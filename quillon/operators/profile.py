@@ -69,12 +69,22 @@ def kind_counts(df: DataFrame, names: list[str]) -> DataFrame:
     return unpivot(df, names).groupBy("column", t.cell_kind("cell").alias("kind")).agg(F.count("*").alias("n"))
 
 
-def json_paths(df: DataFrame, column: str, order: list[str], depth: int = 6) -> DataFrame:
+def nesting(json: Column | str) -> Column:
+    """How deep brackets are nested in a JSON text; those in strings don't count."""
+    bare = F.regexp_replace(F.regexp_replace(t.col(json), r'"(?:\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    step = lambda now, c: F.struct((now.at + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("at"), F.greatest(now.most, now.at + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("most"))
+    return F.aggregate(F.filter(F.split(bare, ""), lambda c: c != ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda now: now.most)
+
+
+def json_paths(df: DataFrame, column: str, order: list[str], depth: int | None = None) -> DataFrame:
     """Schema paths of a JSON column: kinds, counts, presence within the parent, array lengths, first examples.
 
-    Levels of the document are unfolded one at a time with VARIANT functions; null
-    counts as present, a missing key doesn't.
+    Levels of the document are unfolded one at a time with VARIANT functions, as many
+    as the deepest document has (one number, asked first) unless ``depth`` says to
+    stop above; null counts as present, a missing key doesn't.
     """
+    if depth is None:
+        depth = 1 + (df.agg(F.max(nesting(column))).first()[0] or 0)
     level = df.select(*order, F.lit("$").alias("path"), F.try_parse_json(F.col(column)).alias("v")).where("v is not null")
     found = None
     for _ in range(depth):

@@ -39,7 +39,11 @@ def representatives(grouped: DataFrame, by: str, most: int = REPRESENTATIVES) ->
 
 
 def rank_groups(per_group: DataFrame, by: str, weight: Column, most: int = 10_000) -> DataFrame:
-    """Position of the first groups by count times weight, ties by name: a top-k, then numbers."""
+    """Position of the first groups by count times weight, ties by name: a top-k, then numbers.
+
+    A budget of b tokens shows at most 4 (b + 1) rows, so a caller with a budget
+    loses nothing if ``most`` is that many; others must say how many they want.
+    """
     scored = per_group.withColumn("score", F.col("n_hits") * weight)
     order = [F.desc("score"), F.col(by)]
     return scored.orderBy(*order).limit(most).withColumn("position", F.row_number().over(Window.orderBy(*order)))
@@ -50,10 +54,17 @@ def first_hits(found: DataFrame, by: str, order: list[str], most: int = STORED)
     return found.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def context(lines: DataFrame, found: DataFrame, keys: list[str], radius: int, no: str = "line_no") -> DataFrame:
-    """Lines around hits that are no hits themselves: an equi-join on exploded offsets, no range join."""
-    near = found.select(*keys, F.explode(F.sequence(F.col(no) - radius, F.col(no) + radius)).alias(no)).distinct()
-    return lines.join(near, [*keys, no], "left_semi").join(found.select(*keys, no), [*keys, no], "left_anti")
+def context(texts: DataFrame, keys: list[str], rx: str, radius: int, text: str = "text") -> DataFrame:
+    """(keys, line_no, line): lines around hits that are no hits themselves, found within each text's row.
+
+    Texts without a hit go first; nothing is exchanged.
+    """
+    matching = F.transform("l", lambda x, i: F.when(x.rlike(rx), i + 1))
+    around = lambda at: F.sequence(F.greatest(at - radius, F.lit(1)), F.least(at + radius, F.size("l")))
+    held = texts.where(F.col(text).rlike(rx)).select(*keys, t.line_array(text).alias("l"))
+    placed = held.select(*keys, "l", F.filter(matching, lambda at: at.isNotNull()).alias("hits"))
+    near = F.array_except(F.flatten(F.transform("hits", around)), "hits")
+    return placed.select(*keys, "l", F.explode(near).alias("line_no")).select(*keys, "line_no", F.element_at("l", F.col("line_no")).alias("line"))
 
 
 def unshown(grouped: DataFrame, shown: DataFrame, by: str) -> DataFrame:

@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 
 # Names and limits of the lint rules.
-LOCKFILES = "package-lock.json yarn.lock pnpm-lock.yaml npm-shrinkwrap.json Cargo.lock poetry.lock Pipfile.lock uv.lock composer.lock Gemfile.lock go.sum flake.lock packages.lock.json".split()
+LOCKFILES = (
+    "package-lock.json",
+    "yarn.lock",
+    "pnpm-lock.yaml",
+    "npm-shrinkwrap.json",
+    "Cargo.lock",
+    "poetry.lock",
+    "Pipfile.lock",
+    "uv.lock",
+    "composer.lock",
+    "Gemfile.lock",
+    "go.sum",
+    "flake.lock",
+    "packages.lock.json",
+)
 MINIFIED = r"(\.min\.js|\.min\.css|\.min\.mjs|\.bundle\.js)$"
 LONG_LINE, LONG_MEAN, ENTROPY_BITS, ENTROPY_LEAST, THRESHOLD = 500, 200, 5.5, 1024, 4000
 
@@ -33,13 +49,30 @@ def top_and_rest(df: DataFrame, order: list[Column], most: int, value: str) -> t
     return top, rest
 
 
+def entropy_bits(content: Column) -> Column:
+    """Bits per byte of binary content, from a histogram of its 256 byte values; null where there is no byte.
+
+    Counted in Arrow batches, a number a row: as rows, a text's bytes would be far
+    more than the text.
+    """
+
+    def run(held: pd.Series) -> pd.Series:
+        def bits(raw: bytes | None) -> float | None:
+            if not raw:
+                return None
+            counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+            counts = counts[counts > 0]
+            return float(np.log2(len(raw)) - (counts * np.log2(counts)).sum() / len(raw))
+
+        return held.map(bits).astype("float64")
+
+    return F.pandas_udf(run, "double")(content)
+
+
 def byte_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Bits per byte of each text, from a byte histogram that is built in the row."""
-    hexed = F.hex(F.encode(F.col(text), "utf-8"))
-    bytes_ = F.regexp_extract_all(hexed, F.lit("(..)"), 1)
-    per = df.select(key, F.explode(bytes_).alias("b")).groupBy(key, "b").agg(F.count("*").alias("c"))
-    whole = per.groupBy(key).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
-    return whole.select(key, F.round(F.log2("n") - F.col("s") / F.col("n"), 4).alias("bits"))
+    """Bits per byte of each text that has any; nothing is exchanged."""
+    bits = df.where(F.octet_length(text) > 0).select(key, entropy_bits(F.encode(F.col(text), "utf-8")).alias("bits"))
+    return bits.select(key, F.round("bits", 4).alias("bits"))
 
 
 def line_stats(text: Column | str) -> dict[str, Column]:
@@ -57,10 +90,10 @@ def binary_probe(content: Column) -> Column:
 
 def lint(name: Column, size: Column, tokens: Column, max_line: Column, mean_line: Column, bits: Column | None = None, binary: Column | None = None, threshold: int = THRESHOLD) -> Column:
     """The first rule that a file breaks, or null."""
-    data = t.extension(name).isin(t.DATA_EXTENSIONS)
+    data = t.extension(name).isin(*t.DATA_EXTENSIONS)
     rules = [] if binary is None else [F.when(binary, "BINARY")]
     rules += [
-        F.when(t.basename(name).isin(LOCKFILES), "LOCKFILE"),
+        F.when(t.basename(name).isin(*LOCKFILES), "LOCKFILE"),
         F.when(name.rlike(MINIFIED), "MINIFIED"),
         F.when((max_line > LONG_LINE) & (mean_line > LONG_MEAN), "MINIFIED"),
     ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import blocks, budget, diff, graph, index, tokens
+from ..operators import blocks, budget, diff, index, tokens
 from ..session import table
 from .catalog import query
 from .searching import HEADS, PATHS, doc_lines, heads, paths
@@ -99,109 +99,6 @@ def render_ladder(spark, d):
     return budget.ladder([full, first, names], "cost", 100)
 
 
-# ------------------------------------------------ small index, fixed inputs
-
-INDEX = {
-    "symbols": [(1, "lib.py::core", "func", "lib.py", 1, 5, 1), (2, "app.py::use", "func", "app.py", 1, 9, 1), (3, "top.py::main", "func", "top.py", 1, 9, 1), (4, "lib.py::Base", "class", "lib.py", 7, 9, 1), (5, "kid.py::Kid", "class", "kid.py", 1, 9, 0)],
-    "refs": [(1, "app.py", 3, "core", "lib.py::core", "call", "resolved"), (2, "top.py", 4, "use", "app.py::use", "call", "resolved"), (3, "raw.py", 2, "core", "lib.py::core", "call", "resolved")],
-    "inherits": [(1, "kid.py", 1, "Kid", "Base")],
-    "tests": [(1, "test_app.py", "app.py", "convention"), (2, "test_lib.py", "lib.py", "coverage"), (3, "test_far.py", "zzz.py", "import")],
-    "imports": [(1, "app.py", 1, "lib", None, None), (2, "top.py", 1, "pkg.app", None, None), (3, "test_far.py", 1, "top", None, None)],
-}
-
-
-def small(spark, name):
-    return spark.createDataFrame(INDEX[name], index.SCHEMAS[name])
-
-
-@query()
-def impact_small(spark, d):
-    """What a change of one function reaches, level by level."""
-    parents = small(spark, "inherits").select("child", "parent")
-    reached, _ = graph.impact("core", small(spark, "refs"), small(spark, "symbols"), parents, small(spark, "tests"))
-    return reached
-
-
-@query()
-def impact_tests_small(spark, d):
-    parents = small(spark, "inherits").select("child", "parent")
-    return graph.impact("core", small(spark, "refs"), small(spark, "symbols"), parents, small(spark, "tests"))[1]
-
-
-@query()
-def tests_for_change(spark, d):
-    files = spark.createDataFrame([(x,) for x in ("lib.py", "app.py", "top.py", "test_far.py", "test_app.py", "test_lib.py")], "path string")
-    edges = index.import_edges(small(spark, "imports"), files)
-    return graph.tests_for(spark.createDataFrame([("app.py",), ("lib.py",)], "path string"), small(spark, "tests"), edges)
-
-
-@query()
-def import_edges_small(spark, d):
-    files = spark.createDataFrame([(x,) for x in ("lib.py", "a/lib.py", "app.py", "top.py")], "path string")
-    return index.import_edges(small(spark, "imports"), files)
-
-
-@query()
-def package_targets_small(spark, d):
-    files = spark.createDataFrame([(x,) for x in ("a/pkg/__init__.py", "a/pkg/mod.py", "b/other/__init__.py")], "path string")
-    rows = [(1, "a/main.py", 1, "pkg", "mod", None), (2, "c/x.py", 2, "other", None, None), (3, "c/x.py", 3, "none", None, None)]
-    return index.package_targets(spark.createDataFrame(rows, index.SCHEMAS["imports"]), files).select("file", "module", "target_file")
-
-
-@query()
-def context_prefixes(spark, d):
-    files = spark.createDataFrame([("tests/test_a.py",), ("tests/test_a/sub.py",), ("other.py",)], "path string")
-    contexts = spark.createDataFrame([("tests.test_a.TestX.test_y",), ("tests.test_a.sub.test_z",), ("nope.x",)], "context string")
-    return index.longest_prefix(contexts, "context", files, "path")
-
-
-@query()
-def public_api_listing(spark, d):
-    return index.public_api(small(spark, "symbols"), "lib.py").select("qualname", "kind")
-
-
-@query()
-def run_commands_small(spark, d):
-    rows = [("tests/test_b.py",), ("tests/test_a.py",), ("go/x_test.go",), ("go/y_test.go",), ("js/a.test.ts",)]
-    return index.run_commands(spark.createDataFrame(rows, "path string"))
-
-
-@query()
-def changed_symbols_small(spark, d):
-    hunks = spark.createDataFrame([("lib.py", 4, 4), ("app.py", 20, 30)], "file string, from_line int, to_line int")
-    return diff.changed_symbols(hunks, small(spark, "symbols")).select("qualname")
-
-
-@query()
-def section_delta_small(spark, d):
-    """Sections of two versions of a document by level, title and occurrence."""
-    from ..operators import extract
-
-    def sections(text):
-        rows = text.split("\n")
-        held, seen = [], {}
-        for level, title, a, b in extract.markdown_sections(text):
-            seen[level, title] = seen.get((level, title), 0) + 1
-            held.append((level, title, seen[level, title], "\n".join(rows[a - 1 : b])))
-        return spark.createDataFrame(held, "level int, title string, occurrence int, body string")
-
-    old, new = "# A\nx\n## B\ny\n## B\nz\n", "# A\nx\n## B\ny2\n## C\nq\n"
-    return diff.section_delta(sections(old), sections(new), ["level", "title", "occurrence"], "body")
-
-
-@query()
-def response_text(spark, d):
-    rows = [('{"stdout": "a"}',), ('{"content": "b"}',), ('{"x": 1}',)]
-    return spark.createDataFrame(rows, "j string").select("j", t.flatten_response(F.try_parse_json("j")).alias("text"))
-
-
-@query()
-def test_runners(spark, d):
-    rows = [(["vitest.config.ts", "jest.config.js"], ""), ([], '{"jest": {}}'), (["conftest.py"], None), (["go.mod"], None), ([], None)]
-    df = spark.createDataFrame(rows, "names array<string>, manifest string")
-    return df.select("names", index.test_runner(F.col("names"), F.col("manifest")).alias("runner"))
-
-
 @query("WITH l AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY 1) SELECT n::BIGINT AS n_lines, count(*) AS n_docs FROM l GROUP BY 1")
 def line_histogram(spark, d):
     return doc_lines(spark, d).where("line != ''").groupBy("doc_id").agg(F.count("*").alias("n_lines")).groupBy("n_lines").agg(F.count("*").alias("n_docs"))

@@ -41,7 +41,7 @@ def unique_candidate(spark, d):
     return index.unique(table(spark, d, "part").select(F.concat("p_type", "p_brand", F.col("p_size").cast("string")).alias("key"), "p_partkey"), "key", "p_partkey")
 
 
-@query("WITH n AS (SELECT DISTINCT regexp_extract(url, '[^/]*$') AS name FROM pages WHERE page_id % 10 = 0), p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages) SELECT name, page_id FROM n JOIN p ON path = name OR ends_with(path, concat('/', name))")
+@query("WITH n AS (SELECT DISTINCT regexp_extract(url, '[^/]*$') AS name FROM pages WHERE page_id % 10 = 0), p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages) SELECT name, page_id FROM n JOIN p ON path = name OR ends_with(path, concat('/', name))", part=True)
 def suffix_join(spark, d):
     pages = table(spark, d, "pages")
     names = pages.where("page_id % 10 = 0").select(F.regexp_extract("url", "[^/]*$", 0).alias("name")).distinct()
@@ -63,7 +63,7 @@ def or_join_union(spark, d):
     return index.either_join(s, c, [("s_suppkey", "c_custkey"), ("s_both", "c_both")]).select("s_suppkey", "c_custkey")
 
 
-@query("WITH c AS (SELECT o_orderkey, unnest([o_custkey * 7, o_custkey * 3, o_custkey]) AS p, unnest([0, 1, 2]) AS pos FROM orders WHERE o_orderkey < 2000) SELECT o_orderkey, arg_min(p, pos) AS p_partkey FROM c JOIN part ON p = p_partkey GROUP BY 1")
+@query("WITH c AS (SELECT o_orderkey, unnest([o_custkey * 7, o_custkey * 3, o_custkey]) AS p, unnest([0, 1, 2]) AS pos FROM orders WHERE o_orderkey < 2000) SELECT o_orderkey, arg_min(p, pos) AS p_partkey FROM c JOIN part ON p = p_partkey GROUP BY 1", part=True)
 def first_candidate(spark, d):
     """The first of an ordered list of keys that exists."""
     o = table(spark, d, "orders").where("o_orderkey < 2000")
@@ -117,7 +117,7 @@ def relational_division(spark, d):
     return index.division(have, want, "o_custkey", "p_brand", "set").select("o_custkey")
 
 
-@query("WITH j AS (SELECT c_custkey, s_suppkey, (c_nationkey = s_nationkey)::INT AS same FROM customer JOIN supplier ON c_custkey % 5 = s_suppkey % 5 WHERE c_custkey < 200) SELECT c_custkey, s_suppkey FROM (SELECT *, max(same) OVER (PARTITION BY c_custkey) AS best FROM j) WHERE same = best")
+@query("WITH j AS (SELECT c_custkey, s_suppkey, (c_nationkey = s_nationkey)::INT AS same FROM customer JOIN supplier ON c_custkey % 5 = s_suppkey % 5 WHERE c_custkey < 200) SELECT c_custkey, s_suppkey FROM (SELECT *, max(same) OVER (PARTITION BY c_custkey) AS best FROM j) WHERE same = best", part=True)
 def same_group_preference(spark, d):
     """Candidates of the same nation replace all others."""
     c, s = table(spark, d, "customer").where("c_custkey < 200"), table(spark, d, "supplier")
@@ -233,7 +233,7 @@ def spans(spark, d):
 SPAN_SQL = f"o AS ({SPANS}), spans AS (SELECT k, min(day) AS s, min(day) + 700 AS e, 'long' AS name FROM o GROUP BY 1 UNION ALL SELECT k, day, day + 30, concat('short', id) FROM o WHERE id % 2 = 0)"
 
 
-@query(f"WITH {SPAN_SQL}, j AS (SELECT o.k, o.id, spans.name, row_number() OVER (PARTITION BY o.id ORDER BY s DESC, e - s, name) AS r FROM o JOIN spans ON o.k = spans.k AND day BETWEEN s AND e WHERE o.id % 3 = 0) SELECT k, id, name FROM j WHERE r = 1")
+@query(f"WITH {SPAN_SQL}, j AS (SELECT o.k, o.id, spans.name, row_number() OVER (PARTITION BY o.id ORDER BY s DESC, e - s, name) AS r FROM o JOIN spans ON o.k = spans.k AND day BETWEEN s AND e WHERE o.id % 3 = 0) SELECT k, id, name FROM j WHERE r = 1", part=True)
 def innermost_interval(spark, d):
     """The innermost span around each order: equi-join on customer and bucket, then one window."""
     points = order_days(spark, d).where("id % 3 = 0")
@@ -275,14 +275,6 @@ def point_in_interval_count(spark, d):
     return intervals.point_join(order_days(spark, d), "day", spans(spark, d).where("name = 'long'"), "s", "e", ["k"], 400).groupBy("k", "name").agg(F.count("*").alias("n"))
 
 
-@query()
-def hunk_ranges(spark, d):
-    """Ranges of the hunks of unified diffs."""
-    text = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@\n a\n-b\n+c\n+d\n@@ -10 +12,0 @@\n-e\n"
-    df = spark.createDataFrame([("x", text)], "id string, diff string")
-    return df.select("id", F.explode(diff.hunk_ranges(F.col("diff"))).alias("h")).select("id", "h.*")
-
-
 @query("WITH c AS (SELECT p_partkey, p_name AS path, p_size > 45 AS public, p_size AS plus, p_partkey % 7 AS minus, CASE p_partkey % 3 WHEN 0 THEN 'fresh' WHEN 1 THEN 'stale' ELSE 'uncovered' END AS coverage FROM part), f AS (SELECT 'public' AS flag, path FROM c WHERE public UNION ALL SELECT 'large', path FROM c WHERE plus + minus > 50 UNION ALL SELECT coverage, path FROM c WHERE coverage <> 'fresh' UNION ALL SELECT 'sensitive:red', path FROM c WHERE contains(lower(path), 'red') UNION ALL SELECT 'sensitive:green', path FROM c WHERE contains(lower(path), 'green')) SELECT flag, min(path) AS path, count(*) AS n FROM f GROUP BY 1")
 def risk_flags(spark, d):
     k = F.col("p_partkey") % 3

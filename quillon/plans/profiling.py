@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import events, profile
-from ..session import table
+from ..session import checkpoint_folder, table
 from ..sources import readers, sinks
 from ..streaming import fold
 from .catalog import query
@@ -155,21 +155,6 @@ def html_attr_counts(spark, d):
     return profile.attribute_counts(table(spark, d, "pages"), "html")
 
 
-@query()
-def xml_element_profile(spark, d):
-    """Elements of well-formed markup by path, with their attributes and texts."""
-    from_rows = spark.createDataFrame([("a", "<catalog><book id='1' lang='en'><title>T</title><price>1</price></book><book id='2'><title>U</title><price/></book><note>n</note></catalog>")], "path string, text string")
-    e = readers.xml_elements(from_rows)
-    return e.groupBy("element", "attribute").agg(F.count("*").alias("n"), F.count_if("has_text").alias("n_text"))
-
-
-@query()
-def format_detection(spark, d):
-    """Formats told from name or content, for a few texts of each kind."""
-    rows = [("a.json", "x"), ("b", '{"a": 1}\n{"a": 2}\n'), ("c", "[project]\nname = 1\n"), ("d", "a,b\n1,2\n"), ("e", "a\tb\n1\t2\n"), ("f", "<a/>"), ("g", "key: 1\n"), ("h", "plain words\n"), ("i", ""), ("j", "a\0b"), ("k", "[1, 2]\n")]
-    return readers.detect(spark.createDataFrame(rows, "path string, text string")).select("path", "format", "told_by")
-
-
 # ---------------------------------------------------------------- call log
 
 CALLS = "SELECT event_type AS tool, octet_length(encode(props)) AS actual, CASE WHEN value < 20 THEN NULL WHEN value < 30 THEN 0 ELSE CAST(floor(value) AS BIGINT) END AS baseline, ts FROM events"
@@ -209,7 +194,7 @@ def events_stream_fold(spark, d):
     """The same fold over a file stream, in micro-batches; it must equal the batch."""
     path = f"{d}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/event*.parquet")
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    folder = checkpoint_folder(spark)
     name = f"fold_{uuid.uuid4().hex}"
     return fold.fold_stream(as_calls(stream), name, f"{folder}/{name}")
 

@@ -40,7 +40,8 @@ def ranked_search(spark, d):
     """Lines with a word, clustered, three of each source, sources by weighted hits, cut to 1500 tokens."""
     found = the_hits(spark, d)
     per = search.clusters(found, "source", ["doc_id", "line_no"])
-    placed = search.rank_groups(search.counts(found, "source"), "source", weight())
+    hits_of = per.groupBy("source").agg(F.sum("size").alias("n_hits"))
+    placed = search.rank_groups(hits_of, "source", weight(), (1500 + 1) * 4)
     shown = search.representatives(per, "source").join(F.broadcast(placed), "source")  # a row a source
     fitted = budget.fit(shown, [F.col("position"), F.col("rank")], t.octets("key") + 1, 1500)
     return fitted.select("position", "source", "n_hits", "rank", "size", "key")
@@ -48,8 +49,8 @@ def ranked_search(spark, d):
 
 @query(f"WITH {LINES} SELECT source, count(*) AS n_hits FROM lines WHERE regexp_matches(line, '(?i)\\bthe\\b') GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM lines WHERE regexp_matches(line, '(?i)\\bthe\\b')")
 def search_counts(spark, d):
-    found = the_hits(spark, d)
-    return search.counts(found, "source").union(found.agg(F.lit("total"), F.count("*")))
+    per = the_hits(spark, d).rollup("source").agg(F.count("*").alias("n_hits"), F.grouping("source").alias("all"))
+    return per.select(F.when(F.col("all") == 1, "total").otherwise(F.col("source")).alias("source"), "n_hits")
 
 
 @query(f"WITH {LINES} SELECT DISTINCT doc_id FROM lines WHERE regexp_matches(line, '\\bidiot\\b')")
@@ -64,9 +65,7 @@ def search_plain(spark, d):
 
 @query(f"WITH {LINES}, hit AS (SELECT doc_id, line_no FROM lines WHERE regexp_matches(line, '(?i)\\bclown\\b')) SELECT DISTINCT l.doc_id, l.line_no, l.line FROM lines l JOIN hit h ON l.doc_id = h.doc_id AND abs(l.line_no - h.line_no) <= 2 WHERE NOT EXISTS (SELECT 1 FROM hit x WHERE x.doc_id = l.doc_id AND x.line_no = l.line_no)")
 def search_context(spark, d):
-    every = doc_lines(spark, d)
-    found = search.hits(every, search.pattern("clown", word=True, ignore_case=True))
-    return search.context(every, found, ["doc_id"], 2).select("doc_id", "line_no", "line")
+    return search.context(table(spark, d, "documents"), ["doc_id"], search.pattern("clown", word=True, ignore_case=True), 2)
 
 
 @query(f"WITH {LINES}, hits AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, line_no) AS rank FROM lines WHERE regexp_matches(line, '(?i)\\bthe\\b')) SELECT source, rank, doc_id, line_no FROM hits WHERE rank <= 5")
@@ -166,7 +165,8 @@ SELECT * FROM (SELECT doc_id, tokens, CASE WHEN regexp_matches(path, '(\\.min\\.
 def lint_rules(spark, d):
     """The first rule each document breaks, under its made-up path."""
     stats = tokens.line_stats("text")
-    held = paths(spark, d).select("doc_id", "path", t.octets("text").alias("size"), t.tokens_of_bytes(t.octets("text")).alias("tokens"), stats["max_line"].alias("max_line"), (F.length("text") / stats["n_lines"]).alias("mean_line"))
+    once = paths(spark, d).select("doc_id", "path", t.octets("text").alias("size"), F.length("text").alias("chars"), F.struct(stats["max_line"].alias("max_line"), stats["n_lines"].alias("n_lines")).alias("s"))
+    held = once.select("doc_id", "path", "size", t.tokens_of_bytes(F.col("size")).alias("tokens"), F.col("s.max_line").alias("max_line"), (F.col("chars") / F.col("s.n_lines")).alias("mean_line"))
     rule = tokens.lint(F.col("path"), F.col("size"), F.col("tokens"), F.col("max_line"), F.col("mean_line"), threshold=1000)
     return held.select("doc_id", "tokens", rule.alias("rule")).where("rule is not null")
 

