@@ -11,7 +11,8 @@ import bisect
 import re
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SYMBOLS = "path string, qualname string, kind string, line_start int, line_end int, exported int, depth int"
@@ -485,3 +486,12 @@ def signature(text: str, line: int) -> str:
         if depth <= 0 and (opened or row.rstrip().endswith((":", "{", ";"))):
             break
     return re.sub(r"\s*[{:]\s*$", "", " ".join(out))
+
+
+def signature_at(text: Column | str, line: Column | str) -> Column:
+    """signature as a column."""
+
+    def run(texts: pd.Series, lines: pd.Series) -> pd.Series:
+        return pd.Series([signature(x, int(n)) for x, n in zip(texts, lines)], dtype=object)
+
+    return F.pandas_udf(run, "string")(text, line)

@@ -75,6 +75,36 @@ def byte_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
     return bits.select(key, F.round("bits", 4).alias("bits"))
 
 
+_ENCODINGS: dict[str, object] = {}
+
+
+def exact_tokens(text: Column, vocabulary: str, pattern: str) -> Column:
+    """Tokens of a text by a byte-level vocabulary file that all executors see; special tokens count as text."""
+
+    def run(held: pd.Series) -> pd.Series:
+        if vocabulary not in _ENCODINGS:
+            import base64
+
+            import tiktoken
+
+            with open(vocabulary, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+            _ENCODINGS[vocabulary] = tiktoken.Encoding("meter", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        use = _ENCODINGS[vocabulary]
+        return held.map(lambda x: 0 if x is None else len(use.encode_ordinary(x))).astype("int64")
+
+    return F.pandas_udf(run, "long")(text)
+
+
+def general_number(x: Column) -> Column:
+    """A number with six significant digits, without zeros at the end, as C writes it in its general form."""
+
+    def run(held: pd.Series) -> pd.Series:
+        return held.map(lambda v: None if pd.isna(v) else f"{v:.6g}")
+
+    return F.pandas_udf(run, "string")(x.cast("double"))
+
+
 def line_stats(text: Column | str) -> dict[str, Column]:
     lines = t.line_array(text)
     return {"n_lines": F.size(lines), "max_line": F.array_max(F.transform(lines, lambda x: F.length(x)))}

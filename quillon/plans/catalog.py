@@ -30,7 +30,7 @@ def query(sql: str | None = None, name: str | None = None, part: bool = False):
 
 
 def _load() -> None:
-    from . import covering, graphs, joining, logbooks, profiling, searching, sourcetrees, sql_surface, versions, windowing  # noqa: F401
+    from . import covering, formats, graphs, joining, logbooks, profiling, searching, sourcetrees, sql_surface, versions, windowing  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -69,7 +69,7 @@ def detect(files: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, most: int = 1 << 20) -> DataFrame:
-    """(path, text, size) of the text files below a folder; skipped folders, large and binary files left out."""
+    """(path, text, size) of the text files below a folder; skipped folders, large and binary files are counted by left_out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     parts = F.split(raw.path, "/")
     kept = raw.where(~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED)))).where(F.col("length") <= most)
@@ -247,3 +247,88 @@ def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def at_version(versions: DataFrame, rev: str) -> DataFrame:
     """(path, text) of one version of a (rev, path, text) table."""
     return versions.where(F.col("rev") == rev).select("path", F.regexp_replace(F.coalesce("text", F.lit("")), "^﻿", "").alias("text"))
+
+
+def commit_rows(lines: DataFrame, order: str, value: str = "value") -> DataFrame:
+    """(position, sha, subject, author) of log lines ``sha subject (author)``; other lines are none."""
+    rx = r"^([0-9a-f]{4,40}) (.*) \(([^()]*)\)$"
+    part = lambda i: F.regexp_extract(value, rx, i)
+    return lines.where(F.col(value).rlike(rx)).select(F.col(order).alias("position"), part(1).alias("sha"), part(2).alias("subject"), part(3).alias("author"))
+
+
+def name_status_rows(outputs: DataFrame, key: str, value: str = "value") -> DataFrame:
+    """(key, code, old_path, path) of NUL-separated name-status output; renames and copies have two paths.
+
+    A field is a status if an even walk from the start meets it, so each output is
+    walked in its row: the state says how many paths are still to come.
+    """
+    step = lambda held, x: (
+        F.when(held.left > 0, F.struct((held.left - 1).alias("left"), F.concat(held.out, F.array(F.struct(held.code.alias("code"), x.alias("path"), held.left.alias("left")))).alias("out"), held.code.alias("code")))
+        .otherwise(F.struct(F.when(x.rlike("^[RC]"), 2).otherwise(1).alias("left"), held.out.alias("out"), x.alias("code")))
+    )
+    kind = "array<struct<code:string,path:string,left:int>>"
+    start = F.struct(F.lit(0).alias("left"), F.array().cast(kind).alias("out"), F.lit("").alias("code"))
+    fields = F.filter(F.split(F.col(value), "\0"), lambda x: x != "")
+    rows = outputs.select(key, F.posexplode(F.aggregate(fields, start, step, lambda held: held.out)).alias("pos", "x"), F.aggregate(fields, start, step, lambda held: held.out).alias("all"))
+    moved = F.col("x.code").rlike("^[RC]")
+    old = F.when(moved, F.element_at("all", F.col("pos")).path).otherwise(F.col("x.path"))
+    return rows.where("x.left = 1").select(key, F.substring("x.code", 1, 1).alias("code"), old.alias("old_path"), F.col("x.path").alias("path"))
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, parts: int = 8) -> DataFrame:
+    """Rows of a table of a SQLite file that all executors see, read by ranges of its row numbers."""
+    import sqlite3
+
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as held:
+        low, high = held.execute(f'SELECT min(rowid), max(rowid) FROM "{table}"').fetchone()
+    if low is None:
+        return spark.createDataFrame([], schema)
+    step = -(-(high - low + 1) // parts)
+    ranges = spark.range(0, parts, 1, parts).select((F.lit(low) + F.col("id") * step).alias("first"))
+
+    def run(frames):
+        for frame in frames:
+            for first in frame["first"]:
+                with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as held:
+                    rows = held.execute(f'SELECT * FROM "{table}" WHERE rowid >= ? AND rowid < ?', (int(first), int(first) + step))
+                    names = [x[0] for x in rows.description]
+                    while chunk := rows.fetchmany(10_000):
+                        yield pd.DataFrame(chunk, columns=names)
+
+    return ranges.mapInPandas(run, schema)
+
+
+def read_coverage(spark: SparkSession, path: str) -> DataFrame:
+    """(context, file) of a coverage database: which recorded context has run lines of which file."""
+    files = read_sqlite(spark, path, "file", "id long, path string")
+    contexts = read_sqlite(spark, path, "context", "id long, context string")
+    bits = read_sqlite(spark, path, "line_bits", "file_id long, context_id long, numbits binary")
+    seen = bits.select("file_id", "context_id").distinct()
+    named = seen.join(files.withColumnRenamed("id", "file_id"), "file_id").join(contexts.withColumnRenamed("id", "context_id"), "context_id")
+    return named.where("context != ''").select("context", F.col("path").alias("file"))
+
+
+def config_rows(files: DataFrame) -> DataFrame:
+    """(path, key, value) of the leaves of configuration files (path, text, format), keys joined by dots; lists as JSON."""
+
+    def leaves(doc, prefix=""):
+        for k, v in doc.items():
+            if isinstance(v, dict):
+                yield from leaves(v, f"{prefix}{k}.")
+            else:
+                yield f"{prefix}{k}", v if isinstance(v, str) else json.dumps(v)
+
+    def run(frames):
+        for frame in frames:
+            held = [(p, *x) for p, doc in frame.itertuples(index=False) if doc and isinstance(d := json.loads(doc), dict) for x in leaves(d)]
+            yield pd.DataFrame(held, columns=["path", "key", "value"])
+
+    return parse(files).select("path", F.to_json("doc").alias("doc")).mapInPandas(run, "path string, key string, value string")
+
+
+def left_out(spark: SparkSession, path: str, most: int = 1 << 20) -> DataFrame:
+    """(reason, files, bytes) of what read_files leaves out: skipped folders, large files, binary ones."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    skipped = F.arrays_overlap(F.split(raw.path, "/"), F.array(*map(F.lit, SKIPPED)))
+    reason = F.when(skipped, "folder").when(F.col("length") > most, "size").when(binary_probe(F.col("content")), "binary")
+    return raw.withColumn("reason", reason).where("reason is not null").groupBy("reason").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))

@@ -72,3 +72,23 @@ def drop_derived(tests: DataFrame, files: DataFrame) -> DataFrame:
     kept = tests.where("source = 'coverage'")
     kept = kept.join(known.withColumnRenamed("path", "test_file"), "test_file", "left_semi")
     return kept.join(known.withColumnRenamed("path", "target_file"), "target_file", "left_semi").select(*tests.columns)
+
+
+def as_markdown(df: DataFrame) -> DataFrame:
+    """(position, value): a Markdown table; the head and its rule are rows 0 and 1, rows of data share 2."""
+    cells = [F.replace(cell_text(df, c), F.lit("|"), F.lit("\\|")) for c in df.columns]
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    spark = df.sparkSession
+    head = spark.createDataFrame([(0, "| " + " | ".join(df.columns) + " |"), (1, "|" + "---|" * len(df.columns))], "position int, value string")
+    return head.unionByName(df.select(F.lit(2).alias("position"), row.alias("value")))
+
+
+def keep_raw(logs: DataFrame, path: str, key: str = "log_id", text: str = "text") -> DataFrame:
+    """Writes each raw log beside its report, a folder a log; returns (key, bytes) of what was kept."""
+    logs.select(key, F.col(text).alias("value")).write.mode("append").partitionBy(key).text(path)
+    return logs.select(key, F.octet_length(text).cast("long").alias("bytes"))
+
+
+def audit(df: DataFrame, path: str, rule: str) -> None:
+    """Appends what a rule has decided, with the rule's name and the time, to a log that is never rewritten."""
+    append(df.withColumns({"rule": F.lit(rule), "at": F.current_timestamp()}), path)
