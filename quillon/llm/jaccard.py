@@ -56,7 +56,7 @@ FAR = 2 * EPS
 def frequent_shingles(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     """Shingles to be put last, from a sample of a documented bound."""
     step = max(1, -(-docs.count() // sample_docs))
-    sample = docs.where(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(step)), F.lit(0)) == 0)
+    sample = docs.where(F.coalesce(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)), F.lit(0)) == 0)
 
     def make():
         return lambda texts: [np.concatenate([np.empty(0, np.int64), *map(shingle_set, texts)])]
@@ -416,7 +416,8 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
 def classified(docs: DataFrame, **options) -> DataFrame:
     """jaccard_components with the hash of each row's text."""
     plain, edges = links(docs, **options)
-    classes = plain.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    # Written, so that links of a set that many others are linked with can be split in the joins.
+    classes = checkpoint(plain.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")))
     # Nodes in the order of their documents, so that a root is the component's first document.
     node = F.struct(F.coalesce("rep", F.lit(NOBODY)).alias("rep"), F.col("sig"))
     ends = classes.select("sig", node.alias("node"))
