@@ -38,14 +38,14 @@ def jsonl_scan(spark, d):
     return readers.json_lines(lines).groupBy("event_type").agg(F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad"))
 
 
-@query("SELECT doc_id, len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END AS n_lines FROM documents WHERE text <> ''")
+@query("SELECT lang, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_breaks FROM documents GROUP BY 1")
 def text_scan(spark, d):
-    """Documents as files, read by line."""
+    """Documents as text files by language, read by line."""
     path = scratch(spark)
-    docs = table(spark, d, "documents").where("text != ''").select("doc_id", F.col("text").alias("value"))
-    docs.write.option("lineSep", "\x01").partitionBy("doc_id").text(path)
-    held = readers.read_text(spark, path).withColumn("doc_id", F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long")).where("line != '\x01'")
-    return held.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    docs = table(spark, d, "documents").select("lang", F.col("text").alias("value"))
+    docs.write.partitionBy("lang").text(path)
+    held = readers.read_text(spark, path).withColumn("lang", F.regexp_extract("path", r"lang=(\w+)", 1))
+    return held.groupBy("lang").agg(F.count("*").alias("n_lines"), F.count("line_no").alias("n_breaks"))
 
 
 @query("SELECT concat('f', CAST(p_partkey AS VARCHAR)) AS path, CASE p_partkey % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'toml' ELSE 'log' END AS format, CASE p_partkey % 3 WHEN 0 THEN concat('{\"k\":[', CAST(p_size AS VARCHAR), ']}') WHEN 1 THEN concat('{\"t\":{\"a\":', CAST(p_size AS VARCHAR), '}}') END AS doc FROM part")
@@ -149,8 +149,7 @@ def raw_log_sink(spark, d):
     logs = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("log_id")).agg(F.array_join(F.collect_list("o_orderpriority"), "\n").alias("text"))
     path = scratch(spark)
     kept = sinks.keep_raw(logs, path)
-    back = spark.read.option("basePath", path).schema("value string, log_id string").text(path).groupBy("log_id").agg(F.count("*").alias("n_lines"))
-    return kept.join(back, "log_id")
+    return kept.join(t.lines(spark.read.parquet(path), ["log_id"]).groupBy("log_id").agg(F.count("*").alias("n_lines")), "log_id")
 
 
 # ------------------------------------------------- projections and functions

@@ -196,11 +196,15 @@ def yaml_as_json(text: Column | str) -> Column:
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """Adds ``doc`` to (path, text, format) for formats with a tree; TOML that isn't falls back to a log."""
+    """Adds ``doc`` and ``bad`` to (path, text, format) for formats with a tree; TOML that isn't falls back to a log.
+
+    A document that doesn't parse, or that nothing here can parse (YAML without its library), is bad.
+    """
     toml = F.when(F.col("format") == "toml", toml_as_json("text"))
     held = files.withColumn("__toml", toml).withColumn("format", F.when((F.col("format") == "toml") & F.col("__toml").isNull(), "log").otherwise(F.col("format")))
     raw = F.when(F.col("format") == "json", F.col("text")).when(F.col("format") == "yaml", yaml_as_json("text")).otherwise(F.col("__toml"))
-    return held.withColumn("doc", F.try_parse_json(raw)).drop("__toml")
+    parsed = held.withColumn("doc", F.try_parse_json(raw)).drop("__toml")
+    return parsed.withColumn("bad", F.col("format").isin("json", "yaml", "toml") & F.col("doc").isNull())
 
 
 def search_stream(spark: SparkSession, path: str, stored: int = 200) -> DataFrame:

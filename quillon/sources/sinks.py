@@ -84,8 +84,8 @@ def as_markdown(df: DataFrame) -> DataFrame:
 
 
 def keep_raw(logs: DataFrame, path: str, key: str = "log_id", text: str = "text") -> DataFrame:
-    """Writes each raw log beside its report, a folder a log; returns (key, bytes) of what was kept."""
-    logs.select(key, F.col(text).alias("value")).write.mode("append").partitionBy(key).text(path)
+    """Appends raw logs, a row each, to a table beside their reports; returns (key, bytes) of what was kept."""
+    logs.select(key, text).write.mode("append").parquet(path)
     return logs.select(key, F.octet_length(text).cast("long").alias("bytes"))
 
 

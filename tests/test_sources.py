@@ -51,6 +51,11 @@ def test_config_and_names(spark):
     assert [tuple(r) for r in readers.commit_rows(log, "n").collect()] == [(0, "abc1234", "Fix (a) thing", "Ann B")]
 
 
+def test_bad_documents_are_marked(spark):
+    files = spark.createDataFrame([("a", "{", "json"), ("b", "{}", "json"), ("c", "x", "log"), ("d", "[t]\n", "toml")], "path string, text string, format string")
+    assert {r.path: r.bad for r in readers.parse(files).collect()} == {"a": True, "b": False, "c": False, "d": False}
+
+
 def test_left_out(spark, tmp_path):
     (tmp_path / "node_modules").mkdir()
     for name, body in (("a.py", b"x"), ("b.bin", b"a\0b"), ("big.txt", b"y" * 99), ("node_modules/c.js", b"z")):
