@@ -22,6 +22,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one other that hangs on none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("n")).union(edges.select("b", F.lit(0)).distinct())
+    return ends.groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("ends")).where("n > 1 or (n = 1 and ends > 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (node, root), root the smallest node of each component.
 
@@ -30,17 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     longest chain. Stars end as (node, root) rows.
     """
     edges = checkpoint(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-
-    def mark(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-
-    before = mark(edges)
-    while before[0]:
+    while not _is_stars(edges):
         old, edges = edges, checkpoint(_star(_star(edges, True), False))
         forget(old)
-        now = mark(edges)
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -8,8 +8,8 @@ shingle names the set with the smallest signature that holds it as pivot, and it
 holders join the region of that pivot. Each linked pair meets in at least one region.
 
 A region is joined exactly and recursively (see region.py). A region that is too
-large for a task is dealt into chunks, each with the pivot; what is tied to the
-pivot there is connected. Where more is loose and far from the pivot than half a task
+large for a task is dealt into chunks, each with the pivot and some representatives;
+what is tied to the pivot there is connected. Where more is loose and far from the pivot than half a task
 holds, the region is divided again: its sets get a common order of their own, in which shingles that many
 of its own sets hold come last, and so new pivots and smaller regions, up to DEPTH
 times. What is loose otherwise is held against its region in bands of the distance
@@ -49,6 +49,8 @@ EXTRA, STEP = 25, 1.06
 MET = "kind byte, doc_id long, text_hash long, n long, sig long, pivot long, shared long"
 #: How often a region is divided again, sets of a region that its own order is taken from, and copies there that put a shingle last.
 DEPTH, REGION_SAMPLE, REGION_FREQUENT = 4, 128, 3
+#: Sets of a dealt region that every chunk gets beside the pivot, as many as hold a quarter of a task's shingles.
+REPRESENTATIVES = 32
 #: Sets that are loose but nearer to the pivot share so much with it that no order of shingles parts them.
 FAR = 2 * EPS
 
@@ -218,15 +220,23 @@ def regions(met: DataFrame) -> DataFrame:
 
 
 def dealt(met: DataFrame, task_sets: int, task_shingles: int) -> DataFrame:
-    """(parent, region, pivot, task, dealt, sig): the sets of each task; a region too large for one has its pivot in every chunk."""
+    """(parent, region, pivot, task, dealt, sig): the sets of each task.
+
+    A region too large for one has its pivot in every chunk, and some representatives:
+    what is linked with one of them, and that with the pivot, is tied in any chunk.
+    """
     chunks = F.greatest(F.ceil(F.col("sets") / task_sets), F.ceil(F.col("shingles") / task_shingles)).cast("int")
     # Written, so that the join has exchanges alone below it and a hot region's rows can be split.
     sizes = checkpoint(met.groupBy("parent", "pivot").agg(F.count("*").alias("sets"), F.sum("about_n").alias("shingles")).where("sets > 1").withColumn("chunks", chunks))
     task = F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int").alias("task")
     members = met.join(sizes.select("parent", "pivot", "chunks"), ["parent", "pivot"]).where("chunks = 1 or sig != pivot").select("parent", "pivot", task, (F.col("chunks") > 1).alias("dealt"), "sig")
     pivots = sizes.where("chunks > 1").select("parent", "pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("task"), F.lit(True).alias("dealt"), F.col("pivot").alias("sig"))
+    first = Window.partitionBy("parent", "pivot").orderBy(F.xxhash64("sig"), "sig")
+    large = met.join(sizes.where("chunks > 1").select("parent", "pivot", "chunks"), ["parent", "pivot"]).withColumn("at", F.row_number().over(first)).where(F.col("at") <= REPRESENTATIVES)
+    chosen = large.withColumn("so_far", F.sum("about_n").over(first)).where(F.col("so_far") <= task_shingles // 4)
+    shared = chosen.select("parent", "pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("task"), F.lit(True).alias("dealt"), "sig")
     region = F.when(F.col("parent") == 0, F.col("pivot")).otherwise(F.xxhash64("parent", "pivot"))
-    return members.unionByName(pivots).withColumn("region", region)
+    return members.unionByName(pivots).unionByName(shared).withColumn("region", region)  # a set that comes twice to a task counts once there
 
 
 FOUND = "kind byte, a long, b long, region long, pivot long, n long, known long, d double, text string"
@@ -388,9 +398,12 @@ def links(docs: DataFrame, task_sets: int = TASK_SETS, task_shingles: int = TASK
         made = done.where("kind = 0").select("a", "b")
         edges = made if edges is None else edges.union(made)
         told = done.where("kind > 0").select(F.col("a").alias("sig"), "region", "n", "known", "d", "text", (F.col("kind") == 2).alias("loose"))
+        # The pivot and the representatives are in every chunk of their region; tied in one chunk is tied.
+        tied = told.where("not loose").select("region", "sig").distinct()
+        open_ = told.where("loose").dropDuplicates(["region", "sig"]).join(tied, ["region", "sig"], "left_anti")
+        told = open_.unionByName(told.where("not loose").dropDuplicates(["region", "sig"]))
         loose = told.where("loose").groupBy("region").agg(F.count_if(F.col("d") > FAR).alias("n_far"))
-        # The pivot is in every chunk of its region.
-        opened = checkpoint(told.dropDuplicates(["region", "sig"]).join(loose, "region"))
+        opened = checkpoint(told.join(loose, "region"))
         if opened.isEmpty():
             break
         many = opened.where(F.col("n_far") > task_sets // 2)

@@ -19,6 +19,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 WIDTH = 5
 
+#: A worker keeps so many powers; those for a longer text are made for it alone.
+KEPT_POWERS = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -32,7 +34,8 @@ def powers(base: int, n: int) -> np.ndarray:
         while done < size:  # doubling: the next stretch is the first one times base**done
             have[done : 2 * done] = have[:done] * np.uint64(pow(base, done, 1 << 64))
             done *= 2
-        _powers[base] = have
+        if size <= KEPT_POWERS:
+            _powers[base] = have
     return have
 
 

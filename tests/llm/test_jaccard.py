@@ -162,3 +162,24 @@ def test_components_of_a_hub_and_a_chain(spark):
 
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: 3 for x in [3, 5, *range(100, 400)]} | {x: 1000 for x in range(1000, 1041)}
+
+
+def test_components_of_random_links(spark):
+    from quillon.llm.components import components
+
+    r = random.Random(9)
+    for n in (0, 1, 30, 300):
+        edges = [(r.randrange(200), r.randrange(200)) for _ in range(n)]
+        root = list(range(200))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        linked = {x for a, b in edges if a != b for x in (a, b)}
+        got = sorted(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).select("node", "root").collect()))
+        assert got == sorted((x, find(x)) for x in linked)
