@@ -344,7 +344,10 @@ def synthetic_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, i
 
 
 def short_findings(n: int = SHORT_FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, bool]]:
-    """Labelled findings of 8 to 15 characters: generated passwords, and the names and numbers that look like them."""
+    """Labelled findings of 8 to 15 characters: generated passwords, and the names and numbers that look like them.
+
+    A finding is the run as it is scanned, so a name and its equals sign may belong to it.
+    """
     r = random.Random(seed)
     letters, digits = string.ascii_letters, string.digits
     some = lambda chars, a, b: "".join(r.choices(chars, k=r.randint(a, b)))
@@ -388,7 +391,8 @@ def short_findings(n: int = SHORT_FINDINGS, seed: int = SEED) -> list[tuple[str,
         if before[-1] in KEY_LIKE and before[-1] != "=":
             before += " "
         after = r.choice(["", '"', "'", ")", ",", ";"]) + r.choice([" ", "\n"]) + prose(r.randint(0, 6))
-        out.append((before + part + after, len(before), len(before) + len(part), yes))
+        text = before + part + after
+        out += [(text, a, b, yes) for a, b in candidates(text) if a <= len(before) < b]
     return out
 
 
