@@ -83,20 +83,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a table in the shared folder, which survives a lost executor.
+    """Cuts the lineage with files in the shared folder, which survive a lost executor.
 
-    A table, because its size is known: a checkpoint keeps the size that was guessed
-    for its plan, a product over all joins, and over the rounds of an iteration that
-    number grows until planning takes longer than the work.
+    What comes back knows its columns only. A checkpoint itself keeps the size that
+    was guessed for its plan, a product over all joins; over the rounds of an
+    iteration that number grows until planning takes longer than the work.
     """
-    return written(df, "cut")
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    held = df._jdf.checkpoint(True)
+    return type(df)(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
-def written(df: DataFrame, kind: str = "stage") -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """The rows as Parquet in the shared folder, read again."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -106,5 +109,5 @@ def forget(df: DataFrame) -> None:
     spark = df.sparkSession
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if path.getName().startswith(("stage-", "cut-")):
+        if path.getName().startswith("stage-"):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
