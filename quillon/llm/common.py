@@ -95,6 +95,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return type(df)(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
+def apart(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """An aggregate by columns with them as one ``key``, for a join on that.
+
+    The join then exchanges the aggregate anew instead of keeping its partitions,
+    and the rows of a hot key on the other side can be split.
+    """
+    return df.select(F.struct(*by).alias("key"), *(c for c in df.columns if c not in by))
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as Parquet in the shared folder, read again."""
     spark = df.sparkSession

@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import apart, checkpoint
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hangs the neighbours of each node on the smallest node around it."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     side = both if large else both.where("b < a")
-    # Written, so that the join has exchanges alone below it and the rows of a hot node can be split.
-    least = checkpoint(side.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
-    joined = side.join(least, "a")
+    least = side.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    joined = side.withColumn("key", F.struct("a")).join(apart(least, ["a"]), "key")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

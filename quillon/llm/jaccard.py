@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import checkpoint, map_columns, schema_of
+from .common import apart, checkpoint, map_columns, schema_of
 from .components import components
 from .region import EPS, join_region
 from .shingles import shingle_set, signature
@@ -226,13 +226,13 @@ def dealt(met: DataFrame, task_sets: int, task_shingles: int) -> DataFrame:
     what is linked with one of them, and that with the pivot, is tied in any chunk.
     """
     chunks = F.greatest(F.ceil(F.col("sets") / task_sets), F.ceil(F.col("shingles") / task_shingles)).cast("int")
-    # Written, so that the join has exchanges alone below it and a hot region's rows can be split.
-    sizes = checkpoint(met.groupBy("parent", "pivot").agg(F.count("*").alias("sets"), F.sum("about_n").alias("shingles")).where("sets > 1").withColumn("chunks", chunks))
+    sizes = met.groupBy("parent", "pivot").agg(F.count("*").alias("sets"), F.sum("about_n").alias("shingles")).where("sets > 1").withColumn("chunks", chunks)
+    keyed = met.withColumn("key", F.struct("parent", "pivot")).join(apart(sizes.select("parent", "pivot", "chunks"), ["parent", "pivot"]), "key")
     task = F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int").alias("task")
-    members = met.join(sizes.select("parent", "pivot", "chunks"), ["parent", "pivot"]).where("chunks = 1 or sig != pivot").select("parent", "pivot", task, (F.col("chunks") > 1).alias("dealt"), "sig")
+    members = keyed.where("chunks = 1 or sig != pivot").select("parent", "pivot", task, (F.col("chunks") > 1).alias("dealt"), "sig")
     pivots = sizes.where("chunks > 1").select("parent", "pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("task"), F.lit(True).alias("dealt"), F.col("pivot").alias("sig"))
     first = Window.partitionBy("parent", "pivot").orderBy(F.xxhash64("sig"), "sig")
-    large = met.join(sizes.where("chunks > 1").select("parent", "pivot", "chunks"), ["parent", "pivot"]).withColumn("at", F.row_number().over(first)).where(F.col("at") <= REPRESENTATIVES)
+    large = keyed.where("chunks > 1").withColumn("at", F.row_number().over(first)).where(F.col("at") <= REPRESENTATIVES)
     chosen = large.withColumn("so_far", F.sum("about_n").over(first)).where(F.col("so_far") <= task_shingles // 4)
     shared = chosen.select("parent", "pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("task"), F.lit(True).alias("dealt"), "sig")
     region = F.when(F.col("parent") == 0, F.col("pivot")).otherwise(F.xxhash64("parent", "pivot"))
@@ -429,12 +429,13 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
 def classified(docs: DataFrame, **options) -> DataFrame:
     """jaccard_components with the hash of each row's text."""
     plain, edges = links(docs, **options)
-    # Written, so that links of a set that many others are linked with can be split in the joins.
-    classes = checkpoint(plain.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")))
+    classes = plain.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     # Nodes in the order of their documents, so that a root is the component's first document.
     node = F.struct(F.coalesce("rep", F.lit(NOBODY)).alias("rep"), F.col("sig"))
-    ends = classes.select("sig", node.alias("node"))
-    named = edges.join(ends.select(F.col("sig").alias("a"), F.col("node").alias("na")), "a").join(ends.select(F.col("sig").alias("b"), F.col("node").alias("nb")), "b")
+    ends = apart(classes.select("sig", node.alias("node")), ["sig"])
+    of = lambda side, name: ends.select(F.col("key").alias(side), F.col("node").alias(name))
+    keyed = edges.select(F.struct(F.col("a").alias("sig")).alias("ka"), F.struct(F.col("b").alias("sig")).alias("kb"))
+    named = keyed.join(of("ka", "na"), "ka").join(of("kb", "nb"), "kb")
     roots = components(named.select(F.col("na").alias("a"), F.col("nb").alias("b")))
     first = classes.join(roots.select("node.sig", F.col("root.rep").alias("root")), "sig", "left").select("sig", F.coalesce("root", "rep").alias("least"))
     # Written first, so that the join has exchanges alone below it and a hot set's rows can be split.
