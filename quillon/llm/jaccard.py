@@ -49,7 +49,7 @@ EXTRA, STEP = 25, 1.06
 MET = "kind byte, doc_id long, text_hash long, n long, sig long, pivot long, shared long"
 #: How often a region is divided again, sets of a region that its own order is taken from, and copies there that put a shingle last.
 DEPTH, REGION_SAMPLE, REGION_FREQUENT = 4, 128, 3
-#: Sets of a dealt region that every chunk gets beside the pivot, as many as hold a quarter of a task's shingles.
+#: Sets of a dealt region that every chunk gets beside the pivot, about so many, or as many as hold a quarter of a task's shingles.
 REPRESENTATIVES = 32
 #: Sets that are loose but nearer to the pivot share so much with it that no order of shingles parts them.
 FAR = 2 * EPS
@@ -227,13 +227,13 @@ def dealt(met: DataFrame, task_sets: int, task_shingles: int) -> DataFrame:
     """
     chunks = F.greatest(F.ceil(F.col("sets") / task_sets), F.ceil(F.col("shingles") / task_shingles)).cast("int")
     sizes = met.groupBy("parent", "pivot").agg(F.count("*").alias("sets"), F.sum("about_n").alias("shingles")).where("sets > 1").withColumn("chunks", chunks)
-    keyed = met.withColumn("key", F.struct("parent", "pivot")).join(apart(sizes.select("parent", "pivot", "chunks"), ["parent", "pivot"]), "key")
+    keyed = met.withColumn("key", F.struct("parent", "pivot")).join(apart(sizes, ["parent", "pivot"]), "key")
     task = F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int").alias("task")
     members = keyed.where("chunks = 1 or sig != pivot").select("parent", "pivot", task, (F.col("chunks") > 1).alias("dealt"), "sig")
     pivots = sizes.where("chunks > 1").select("parent", "pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("task"), F.lit(True).alias("dealt"), F.col("pivot").alias("sig"))
-    first = Window.partitionBy("parent", "pivot").orderBy(F.xxhash64("sig"), "sig")
-    large = keyed.where("chunks > 1").withColumn("at", F.row_number().over(first)).where(F.col("at") <= REPRESENTATIVES)
-    chosen = large.withColumn("so_far", F.sum("about_n").over(first)).where(F.col("so_far") <= task_shingles // 4)
+    # About so many, by a hash, where the sets are.
+    wanted = F.greatest(F.least(F.lit(REPRESENTATIVES), F.floor(F.col("sets") * (task_shingles // 4) / F.col("shingles"))), F.lit(1))
+    chosen = keyed.where((F.col("chunks") > 1) & (F.pmod(F.xxhash64("sig", F.lit(3)), F.ceil(F.col("sets") / wanted)) == 0))
     shared = chosen.select("parent", "pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("task"), F.lit(True).alias("dealt"), "sig")
     region = F.when(F.col("parent") == 0, F.col("pivot")).otherwise(F.xxhash64("parent", "pivot"))
     return members.unionByName(pivots).unionByName(shared).withColumn("region", region)  # a set that comes twice to a task counts once there
