@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, checkpoint
+from .common import checkpoint, forget
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hangs the neighbours of each node on the smallest node around it."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     side = both if large else both.where("b < a")
-    least = side.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = side.withColumn("key", F.struct("a")).join(apart(least, ["a"]), "key")
+    # Written, so that the join has exchanges alone below it and the rows of a hot node can be split.
+    least = checkpoint(side.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+    joined = side.join(least, "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -21,12 +22,6 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
-def _is_stars(edges: DataFrame) -> bool:
-    """Whether each node hangs on one other that hangs on none."""
-    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("n")).union(edges.select("b", F.lit(0)).distinct())
-    return ends.groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("ends")).where("n > 1 or (n = 1 and ends > 1)").isEmpty()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (node, root), root the smallest node of each component.
 
@@ -35,7 +30,17 @@ def components(edges: DataFrame) -> DataFrame:
     longest chain. Stars end as (node, root) rows.
     """
     edges = checkpoint(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while not _is_stars(edges):
-        edges = checkpoint(_star(_star(edges, True), False))
+
+    def mark(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+
+    before = mark(edges)
+    while before[0]:
+        old, edges = edges, checkpoint(_star(_star(edges, True), False))
+        forget(old)
+        now = mark(edges)
+        if now == before:
+            break
+        before = now
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
