@@ -17,7 +17,8 @@ g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach + 1 THEN 1 ELSE 0 END)
 SELECT user_id, min(a) AS a, max(b) AS b, count(*) AS n_merged FROM g GROUP BY user_id, grp"""
 )
 def interval_merge(spark, d):
-    e = table(spark, d, "events").select("user_id", F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long").alias("a")).withColumn("b", F.col("a") + 3600)
+    """Half seconds go to the even second, as the SQL's cast takes them."""
+    e = table(spark, d, "events").select("user_id", F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long").alias("a")).withColumn("b", F.col("a") + 3600)
     return intervals.merge(e, ["user_id"], "a", "b")
 
 

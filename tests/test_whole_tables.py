@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quillon.operators import budget, index
@@ -44,3 +45,17 @@ def test_prefer_same_join(spark):
     want = index.prefer_same(joined, ["a"], F.col("ga") == F.col("gb")).select("a", "b")
     got = index.prefer_same_join(a, b, "a", ["k"], "g").select("a", "b")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_interval_merge_half_seconds_and_nulls(spark, tmp_path):
+    """Half seconds of either sign and parity, rows without a time, a user with no time at all and no user."""
+    times = [f"{day} 00:{m:02}:0{s}" for day in ("1969-12-31", "2024-01-01") for m in (0, 1) for s in ("0.5", "1.5", "2.500001", "3.499999")]
+    rows = [*((times[i % len(times)], i // len(times) or None) for i in range(4 * len(times))), (None, 1), (None, 1), (None, 9), (None, 9), ("2024-01-01 02:00:04.5", 1)]
+    made = spark.createDataFrame(rows, "ts string, user_id long").select(F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id")
+    made.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    queries, sql = catalog.whole()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(c.execute(sql["interval_merge"]).fetchall(), key=repr)
+    got = queries["interval_merge"](spark, str(tmp_path)).select("user_id", "a", "b", "n_merged").collect()
+    assert sorted(map(tuple, got), key=repr) == want
