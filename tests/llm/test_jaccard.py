@@ -183,3 +183,37 @@ def test_components_of_random_links(spark):
         linked = {x for a, b in edges if a != b for x in (a, b)}
         got = sorted(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).select("node", "root").collect()))
         assert got == sorted((x, find(x)) for x in linked)
+
+
+def test_components_take_few_tables_where_a_task_holds_all_links(spark, monkeypatch):
+    from quillon.llm import components
+
+    written, write = [], components.checkpoint
+    monkeypatch.setattr(components, "checkpoint", lambda df: written.append(1) or write(df))
+    edges = [(i, i + 1) for i in range(60)] + [(i, 99) for i in range(100, 130)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: 0 for x in range(61)} | {x: 99 for x in range(99, 130)}
+    assert len(written) == 2
+
+
+@pytest.mark.parametrize("slice_links", [1, 7, 400])
+def test_components_of_slices(spark, slice_links):
+    """Hubs, chains and random links between structs, in slices of the links that must be tied afterwards."""
+    from quillon.llm.components import components
+
+    r = random.Random(slice_links)
+    links = [(0, i) for i in range(300, 340)] + [(i + 1, i) for i in range(400, 430)] + [(r.randrange(80), r.randrange(80)) for _ in range(60)]
+    root = list(range(500))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    made = [((a // 10, a - 250), (b // 10, b - 250)) for a, b in links]
+    edges = spark.createDataFrame(made, "a struct<rep: long, sig: long>, b struct<rep: long, sig: long>").repartition(3)
+    got = sorted((r.node.sig + 250, r.root.sig + 250) for r in components(edges, slice_links).collect())
+    assert got == sorted((x, find(x)) for x in {x for a, b in links if a != b for x in (a, b)})
