@@ -12,7 +12,8 @@ large for a task is dealt into chunks, each with the pivot; what is tied to the
 pivot there is connected. Where more is loose and far from the pivot than half a task
 holds, the region is divided again: its sets get a common order of their own, in which shingles that many
 of its own sets hold come last, and so new pivots and smaller regions, up to DEPTH
-times. What is loose otherwise is held against its region in bands of the distance
+times, as long as that makes it smaller: near copies share so much that no order of
+shingles parts them. What is loose otherwise is held against its region in bands of the distance
 to the pivot, which by the triangle inequality only meet their neighbours, and in
 blocks of bounded size.
 
@@ -28,7 +29,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -51,6 +52,8 @@ MET = "kind byte, doc_id long, text_hash long, n long, sig long, pivot long, sha
 DEPTH, REGION_SAMPLE, REGION_FREQUENT = 4, 128, 3
 #: Sets that are loose but nearer to the pivot share so much with it that no order of shingles parts them.
 FAR = 2 * EPS
+#: A region whose loose sets take no more blocks than this is not divided, nor is one that keeps more than this share of the sets it was divided from.
+MOST_BLOCKS, SHRUNK = 128, 0.75
 
 
 def frequent_shingles(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
@@ -229,7 +232,7 @@ def dealt(met: DataFrame, task_sets: int, task_shingles: int) -> DataFrame:
     return members.unionByName(pivots).withColumn("region", region)
 
 
-FOUND = "kind byte, a long, b long, region long, pivot long, n long, known long, d double, text string"
+FOUND = "kind byte, a long, b long, region long, pivot long, above long, n long, known long, d double, text string"
 TASK = ["region", "pivot", "task"]
 
 
@@ -237,14 +240,15 @@ def join_tasks(members: DataFrame) -> DataFrame:
     """Joins each task's sets: links (kind 0), and what is known of sets in dealt regions (kind 1: tied to the pivot, 2: loose).
 
     Sets with the same ``known`` are connected already; a set tied to the pivot is
-    from then on known by the region.
+    from then on known by the region. ``above`` is the number of sets in the region
+    that a region was divided from, and passes as it is.
     """
     arrow = to_arrow_schema(schema_of(FOUND))
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         out: list[list] = [[] for _ in arrow]
-        task, is_dealt, held, texts, known = None, False, {}, {}, {}
+        task, is_dealt, above, held, texts, known = None, False, None, {}, {}, {}
 
         def add(*row):
             for column, value in zip(out, row, strict=True):
@@ -256,11 +260,11 @@ def join_tasks(members: DataFrame) -> DataFrame:
             at = names.index(pivot) if pivot in held else None
             links, to, roots = join_region([held[x] for x in names], at, [known[x] for x in names])
             for a, b in links:
-                add(0, names[a], names[b], region, None, None, None, None, None)
+                add(0, names[a], names[b], region, None, None, None, None, None, None)
             if is_dealt and at is not None:
                 for i, name in enumerate(names):
                     tied = roots[i] == roots[at]
-                    add(1 if tied else 2, name, None, region, pivot, len(held[name]), region if tied else known[name], float(to[i]), texts[name])
+                    add(1 if tied else 2, name, None, region, pivot, above, len(held[name]), region if tied else known[name], float(to[i]), texts[name])
             for x in (held, texts, known):
                 x.clear()
 
@@ -275,7 +279,7 @@ def join_tasks(members: DataFrame) -> DataFrame:
                 for row in batch.slice(at, 64).to_pylist():
                     if (now := tuple(row[x] for x in TASK)) != task and held:
                         close()
-                    task, is_dealt = now, row["dealt"]
+                    task, is_dealt, above = now, row["dealt"], row["above"]
                     hashes = shingle_set(row["text"])
                     if signature(hashes) == row["sig"]:
                         held[row["sig"]], known[row["sig"]] = hashes, row["known"]
@@ -287,7 +291,7 @@ def join_tasks(members: DataFrame) -> DataFrame:
             close()
         yield flush()
 
-    return members.select(*TASK, "dealt", "known", "sig", "text").repartition(n, *TASK).sortWithinPartitions(*TASK).mapInArrow(run, FOUND)
+    return members.select(*TASK, "dealt", "above", "known", "sig", "text").repartition(n, *TASK).sortWithinPartitions(*TASK).mapInArrow(run, FOUND)
 
 
 def with_texts(tasks: DataFrame, plain: DataFrame, docs: DataFrame) -> DataFrame:
@@ -301,7 +305,7 @@ def with_texts(tasks: DataFrame, plain: DataFrame, docs: DataFrame) -> DataFrame
     texts = docs.select(rep.alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
     if not plain.groupBy("doc_id").count().where("count > 1").isEmpty():
         texts = texts.groupBy("rep", "text_hash").agg(F.first("text").alias("text"))
-    return tasks.join(classes, "sig").join(texts, ["rep", "text_hash"]).select(*TASK, "dealt", F.lit(None).cast("long").alias("known"), "sig", "text")
+    return tasks.join(classes, "sig").join(texts, ["rep", "text_hash"]).select(*TASK, "dealt", F.lit(None).cast("long").alias("above"), F.lit(None).cast("long").alias("known"), "sig", "text")
 
 
 POSTED = "region long, key long, sig long, n long, loose boolean"
@@ -352,18 +356,26 @@ def divided(opened: DataFrame, task_sets: int, task_shingles: int) -> DataFrame:
     posted = checkpoint(own_order(opened, task_sets, task_shingles))
     holders = checkpoint(posted.groupBy("region", "key").agg(F.min("sig").alias("pivot"), F.count("*").alias("sets"), F.count_if("loose").alias("n_loose")).where("sets > 1 and n_loose > 0"))
     met = posted.join(holders.select("region", "key", "pivot"), ["region", "key"]).select(F.col("region").alias("parent"), "sig", "n", "pivot", F.lit(1).alias("shared"))
-    texts = opened.select(F.col("region").alias("parent"), "sig", "known", "text")
+    texts = opened.select(F.col("region").alias("parent"), F.col("n_all").alias("above"), "sig", "known", "text")
     tasks = dealt(checkpoint(regions(met)), task_sets, task_shingles)
-    return tasks.join(texts, ["parent", "sig"]).select(*TASK, "dealt", "known", "sig", "text")
+    return tasks.join(texts, ["parent", "sig"]).select(*TASK, "dealt", "above", "known", "sig", "text")
 
 
-def blocks(opened: DataFrame, task_sets: int) -> DataFrame:
+#: Of rows with n and loose: how many sets and shingles there are, and how many of them are loose.
+COUNTED = {"n_all": "count(*)", "n_loose": "count_if(loose)", "shingles": "sum(n)", "loose_shingles": "sum(if(loose, n, 0))"}
+
+
+def in_blocks(sets: str, shingles: str, task_sets: int, task_shingles: int) -> Column:
+    """How many blocks they are dealt in, of half a task each."""
+    return F.greatest(F.ceil(F.col(sets) / max(1, task_sets // 2)), F.ceil(F.col(shingles) / max(1, task_shingles // 2))).cast("int")
+
+
+def blocks(opened: DataFrame, task_sets: int, task_shingles: int) -> DataFrame:
     """The tasks that hold loose sets against all of their region, by bands of the distance to its pivot and by blocks."""
-    half = max(1, task_sets // 2)
-    all_ = opened.select("sig", "region", F.floor(F.col("d") / EPS).cast("int").alias("band"), "loose")
-    counted = all_.groupBy("region", "band").agg(F.count("*").alias("n_all"), F.count_if("loose").alias("n_loose"))
-    left = counted.where("n_loose > 0").select("region", F.col("band").alias("of"), F.ceil(F.col("n_loose") / half).cast("int").alias("left_blocks"))
-    right = counted.select("region", F.col("band").alias("near"), F.ceil(F.col("n_all") / half).cast("int").alias("right_blocks"))
+    all_ = opened.select("sig", "region", F.floor(F.col("d") / EPS).cast("int").alias("band"), "n", "loose")
+    counted = all_.groupBy("region", "band").agg(*[F.expr(x).alias(name) for name, x in COUNTED.items()])
+    left = counted.where("n_loose > 0").select("region", F.col("band").alias("of"), in_blocks("n_loose", "loose_shingles", task_sets, task_shingles).alias("left_blocks"))
+    right = counted.select("region", F.col("band").alias("near"), in_blocks("n_all", "shingles", task_sets, task_shingles).alias("right_blocks"))
     grid = left.join(right, "region").where("abs(of - near) <= 1")
     task = F.concat_ws(":", "of", "near", "i", "j")
     i_of, j_of = F.pmod(F.xxhash64("sig", F.lit(1)), F.col("left_blocks")).cast("int"), F.pmod(F.xxhash64("sig", F.lit(2)), F.col("right_blocks")).cast("int")
@@ -373,7 +385,14 @@ def blocks(opened: DataFrame, task_sets: int) -> DataFrame:
     other_rows = of_right.select("sig", "region", "of", "near", j_of.alias("j"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"))
     dealt_rows = loose_rows.unionByName(other_rows).select("sig", "region", F.xxhash64(task).alias("task")).distinct()
     texts = opened.select("sig", "region", "known", "text")
-    return dealt_rows.join(texts, ["sig", "region"]).select("region", F.lit(None).cast("long").alias("pivot"), "task", F.lit(False).alias("dealt"), "known", "sig", "text")
+    return dealt_rows.join(texts, ["sig", "region"]).select("region", F.lit(None).cast("long").alias("pivot"), "task", F.lit(False).alias("dealt"), F.lit(None).cast("long").alias("above"), "known", "sig", "text")
+
+
+def worth_dividing(task_sets: int, task_shingles: int) -> Column:
+    """Of a region: whether to divide it, rather than to compare its loose sets in blocks."""
+    grid = in_blocks("n_loose", "loose_shingles", task_sets, task_shingles).cast("long") * in_blocks("n_all", "shingles", task_sets, task_shingles)
+    smaller = F.col("above").isNull() | (F.col("n_all") <= SHRUNK * F.col("above"))
+    return (F.col("n_far") > task_sets // 2) & (grid > MOST_BLOCKS) & smaller
 
 
 def links(docs: DataFrame, task_sets: int = TASK_SETS, task_shingles: int = TASK_SHINGLES, sample_docs: int = SAMPLE_DOCS, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
@@ -387,18 +406,19 @@ def links(docs: DataFrame, task_sets: int = TASK_SETS, task_shingles: int = TASK
         done = checkpoint(join_tasks(tasks))
         made = done.where("kind = 0").select("a", "b")
         edges = made if edges is None else edges.union(made)
-        told = done.where("kind > 0").select(F.col("a").alias("sig"), "region", "n", "known", "d", "text", (F.col("kind") == 2).alias("loose"))
-        loose = told.where("loose").groupBy("region").agg(F.count_if(F.col("d") > FAR).alias("n_far"))
+        told = done.where("kind > 0").select(F.col("a").alias("sig"), "region", "above", "n", "known", "d", "text", (F.col("kind") == 2).alias("loose"))
         # The pivot is in every chunk of its region.
-        opened = checkpoint(told.dropDuplicates(["region", "sig"]).join(loose, "region"))
+        told = told.dropDuplicates(["region", "sig"])
+        sizes = told.groupBy("region").agg(*[F.expr(x).alias(name) for name, x in COUNTED.items()], F.count_if(F.col("loose") & (F.col("d") > FAR)).alias("n_far"), F.first("above").alias("above"))
+        sizes = sizes.where("n_loose > 0").select("region", "n_all", worth_dividing(task_sets, task_shingles).alias("divide"))
+        opened = checkpoint(told.drop("above").join(sizes, "region"))
         if opened.isEmpty():
             break
-        many = opened.where(F.col("n_far") > task_sets // 2)
+        many = opened.where("divide")
         if level >= depth or many.isEmpty():
-            tasks = blocks(opened, task_sets)
+            tasks = blocks(opened, task_sets, task_shingles)
         else:
-            few = blocks(opened.where(F.col("n_far") <= task_sets // 2), task_sets)
-            tasks = divided(many, task_sets, task_shingles).unionByName(few)
+            tasks = divided(many, task_sets, task_shingles).unionByName(blocks(opened.where("not divide"), task_sets, task_shingles))
     return plain, edges
 
 

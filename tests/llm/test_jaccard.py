@@ -133,6 +133,35 @@ def test_large_regions_are_divided(spark, depth):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("most_blocks, levels", [(0, 4), (128, 2)])
+def test_near_copies_are_not_divided_again_and_again(spark, monkeypatch, most_blocks, levels):
+    """They share so many shingles that each division leaves one region of nearly all of them."""
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for i in range(90):
+        near = list(base)
+        for _ in range(r.randint(0, 9)):
+            near[r.randrange(90)] = f"e{r.randrange(10**9)}"
+        rows.append((i, " ".join(near)))
+    joined, join = [], jaccard.join_tasks
+    monkeypatch.setattr(jaccard, "MOST_BLOCKS", most_blocks, raising=False)
+    monkeypatch.setattr(jaccard, "join_tasks", lambda tasks: joined.append(1) or join(tasks))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), task_sets=24, sample_docs=1).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert len(joined) <= levels
+
+
+def test_blocks_hold_no_more_shingles_than_a_task(spark):
+    rows = [(i, 5, 1000, i, 0.5, f"t{i}", i % 2 == 0) for i in range(40)]
+    opened = spark.createDataFrame(rows, "sig long, region long, n long, known long, d double, text string, loose boolean")
+    tasks = jaccard.blocks(opened, 500, 8_000).collect()
+    held = {t: [x.sig for x in tasks if x.task == t] for t in {x.task for x in tasks}}
+    assert max(map(len, held.values())) <= 20  # dealt by a hash
+    met = {(a, b) for x in held.values() for a in x for b in x}
+    assert all((a, b) in met for a in range(0, 40, 2) for b in range(40))
+
+
 @pytest.mark.parametrize("ids", [[None] * 300, [7] * 300, list(range(300))])
 def test_a_set_is_sent_once_whatever_the_ids(spark, ids):
     base = [f"w{k}" for k in range(200)]
