@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import checkpoint, forget
+from .common import checkpoint, forget, returning
 
 #: Links that a task contracts at once.
 SLICE_LINKS = 50_000
@@ -36,6 +36,7 @@ def _in_slices(edges: DataFrame, tasks: int, slice_links: int) -> DataFrame:
     """The edges as stars of each slice, which tie the same nodes; files that are small meet in few tasks."""
     arrow = to_arrow_schema(edges.schema)
 
+    @returning
     def run(batches):
         def close():
             columns = zip(*made) if (made := stars(held)) else ((), ())

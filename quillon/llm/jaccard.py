@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import checkpoint, map_columns, schema_of
+from .common import checkpoint, map_columns, returning, schema_of
 from .components import components
 from .region import EPS, join_region
 from .shingles import shingle_set, signature
@@ -112,6 +112,7 @@ def meet(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     parts = min(1 << 22, max(4 * n, -(-docs.count() * 160 // PART_POSTINGS)))
     shared = spark.sparkContext.broadcast(frequent)
 
+    @returning
     def packed(batches):
         last = shared.value
         for batch in batches:
@@ -179,6 +180,7 @@ def meet(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (pivot[1:] != pivot[:-1])]))
         return rows_of(1, None, None, size[first], owner[first], pivot[first], np.diff(np.append(first, len(owner))))
 
+    @returning
     def gathered(batches):
         part, held = None, []
         for batch in batches:
@@ -246,6 +248,7 @@ def join_tasks(members: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(schema_of(FOUND))
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    @returning
     def run(batches):
         out: list[list] = [[] for _ in arrow]
         task, is_dealt, above, held, texts, known = None, False, None, {}, {}, {}
@@ -327,6 +330,7 @@ def own_order(opened: DataFrame, task_sets: int, task_shingles: int, sample: int
     n = int(opened.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     arrow = to_arrow_schema(schema_of(POSTED))
 
+    @returning
     def run(batches):
         task, held, last = None, [], None
         for batch in batches:

@@ -22,9 +22,10 @@ import string
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_columns
+from .common import SLICE_ROWS, map_columns, returning
 
 KINDS = ("assign", "access", "hex", "cnn")
 
@@ -492,12 +493,17 @@ def redact(docs: DataFrame, network: Network) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(network)
     from pyspark.sql import functions as F
 
-    @F.pandas_udf("string")
-    def clean(texts):
+    @returning
+    def clean(batches):
         net = shared.value
-        return texts.map(lambda t: redact_text(t, net))
-
-    out = docs.withColumn("text", clean("text"))
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            field = batch.schema.field(at)
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                yield part.set_column(at, field, pa.array([redact_text(t, net) for t in part.column(at).to_pylist()], field.type))
+
+    out = docs.mapInArrow(clean, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

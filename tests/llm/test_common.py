@@ -33,3 +33,19 @@ def test_written_and_forgotten(spark):
 
     assert not os.path.exists(folder)
     common.forget(spark.range(3))
+
+
+def test_memory_goes_back_when_a_task_ends(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batches = common.returning(lambda batches: (2 * b for b in batches))(iter([1, 2]))
+    assert next(batches) == 2 and not given
+    assert list(batches) == [4] and given == [1]
+
+
+def test_redacting_maps_arrow_batches(spark):
+    from quillon.llm import secretscan
+
+    df = secretscan.redact(spark.createDataFrame([(1, "plain")], "doc_id long, text string"), None)
+    plan = df._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
