@@ -19,6 +19,7 @@ import json
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import ahocorasick
@@ -33,20 +34,29 @@ WORDS_CACHED, PAIRS_CACHED = 400_000, 2_000_000
 FOREVER = 1 << 60
 
 
-def unassigned() -> str:
-    """A character class of the code points without a category in this Python's tables."""
+def char_ranges(holds: Callable[[str], object], points: range) -> str:
+    """The inside of a character class: the code points for which something holds."""
     runs: list[list[int]] = []
-    for i in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(i)) == "Cn":
+    for i in points:
+        if holds(chr(i)):
             if runs and runs[-1][1] == i - 1:
                 runs[-1][1] = i
             else:
                 runs.append([i, i])
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
 
 
-#: Libraries follow different versions of Unicode for these only.
-UNSURE = re.compile(unassigned())
+def unassigned(char: str) -> bool:
+    return unicodedata.category(char) == "Cn"
+
+
+# A class of `re` is a table for the first 65,536 code points and a list, gone through one by one, for those above.
+TABLED, ABOVE = range(0x10000), range(0x10000, sys.maxunicode + 1)
+HIGH = "\\U00010000-\\U0010ffff"
+#: Code points without a category in this Python's tables: libraries follow different versions of Unicode for these only.
+UNSURE = re.compile(f"[{char_ranges(unassigned, TABLED)}]|(?=[{HIGH}])[{char_ranges(unassigned, ABOVE)}]")
+#: All others are known and in the tables of a class.
+RARE = re.compile(f"[{char_ranges(unassigned, TABLED)}{HIGH}]")
 
 
 # How the file cuts for which Encoder has a way of its own; texts under other rules are cut by the library.
@@ -157,7 +167,8 @@ class Encoder:
         self.automaton.make_automaton()
         self.right_spine: dict[int, list] = {}
         self.left_spine: dict[int, list] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.follows = _Follows(self.compatible)
+        self.at_start, self.nowhere = bytes([1]) * len(rules.tokens), bytes(len(rules.tokens))
         self.words = _Words(self.encode_word)
         self.library = None
         self.ids_as_text = [str(i) for i in range(len(rules.tokens))]
@@ -165,6 +176,9 @@ class Encoder:
         self.special_ids = dict(rules.specials)
         # The letters first: no other branch starts with one, so the matches are those of the file's own order.
         self.split = regex.compile(r"\p{L}+|'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\p{L}\p{N}]+").findall
+        # The same with regex's own classes written out, where they fit the tables of `re`, which is twice as fast.
+        letter, number, space = (char_ranges(regex.compile(x).match, TABLED) for x in (r"\p{L}", r"\p{N}", r"\s"))
+        self.split_tabled = re.compile(f"[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d|[{number}]|[^{space}{letter}{number}]+").findall
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one edge of a token's merge tree, each with the rank at which it is used up."""
@@ -181,23 +195,14 @@ class Encoder:
         return found
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            rank = self.merge_rank.get
-            known = True
-            for a, a_until in self.spine(left, 1):
-                for b, b_until in self.spine(right, 0):
-                    m = rank((a, b))
-                    # Of equal pairs side by side the left one is merged first.
-                    if m is not None and m < a_until and m <= b_until:
-                        known = False
-                        break
-                if not known:
-                    break
-            if len(self.pairs) >= PAIRS_CACHED:
-                self.pairs.clear()
-            self.pairs[left, right] = known
-        return known
+        rank = self.merge_rank.get
+        for a, a_until in self.spine(left, 1):
+            for b, b_until in self.spine(right, 0):
+                m = rank((a, b))
+                # Of equal pairs side by side the left one is merged first.
+                if m is not None and m < a_until and m <= b_until:
+                    return False
+        return True
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         return self.encode_bytes(word.encode("utf-8", "surrogatepass"))
@@ -206,22 +211,24 @@ class Encoder:
         text = word.decode("latin-1")
         if self.rules.end:
             text = text[:-1] + chr(ord(text[-1]) + 256)
-        last = [-1] * (len(text) + 1)
-        length = [0] * (len(text) + 1)
-        compatible = self.compatible
-        for end, (token, n) in self.automaton.iter(text):
-            end += 1
-            if length[end] == 0:
-                start = end - n
-                if start == 0 or (length[start] and compatible(last[start], token)):
-                    last[end], length[end] = token, n
-        ids, at = [], len(text)
-        while at > 0:
-            ids.append(last[at])
-            at -= length[at] or at + 1
-        if at < 0:
-            raise ValueError("the vocabulary has no token for some byte")
-        return tuple(reversed(ids))
+        # For each prefix, by where it ends: its last token, and what may stand behind that. Behind the end: the empty prefix.
+        nowhere, follows = self.nowhere, self.follows
+        last: list = [None] * len(text)
+        may_follow: list = [nowhere] * len(text) + [self.at_start]
+        for end, found in self.automaton.iter(text):
+            if may_follow[end] is nowhere:
+                token, n = found
+                if may_follow[end - n][token]:
+                    last[end], may_follow[end] = found, follows[token]
+        ids, at = [], len(text) - 1
+        while at >= 0:
+            if last[at] is None:
+                raise ValueError("the vocabulary has no token for some byte")
+            token, n = last[at]
+            ids.append(token)
+            at -= n
+        ids.reverse()
+        return tuple(ids)
 
     def normalize(self, text: str) -> str:
         if not text.isascii():
@@ -241,10 +248,16 @@ class Encoder:
 
     def encode_plain(self, text: str) -> list[int]:
         """A text without special tokens."""
-        if not self.rules.known or (not text.isascii() and UNSURE.search(text)):
+        if not self.rules.known:
             return self.encode_unsure(text)
+        normal, split = self.normalize(text), self.split_tabled
+        # What is unassigned stays as it is when it is normalised, and nothing becomes it.
+        if not normal.isascii() and RARE.search(normal):
+            if UNSURE.search(normal):
+                return self.encode_unsure(text)
+            split = self.split
         ids: list[int] = []
-        for entry in map(self.words.__getitem__, self.split(self.normalize(text))):
+        for entry in map(self.words.__getitem__, split(normal)):
             ids.extend(entry)
         return ids
 
@@ -260,25 +273,59 @@ class Encoder:
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder, so the tokens are joined by a space, as the library does."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+        tokens = self.tokens
+        return " ".join([tokens[i] for i in ids])
 
 
 class _Words(dict):
-    """Pre-token to ids; forgets all when full, so a worker's memory is bounded."""
+    """Pre-token to ids. Memory is bounded: when full, it forgets the words not met since it was last full."""
 
-    def __init__(self, encode) -> None:
+    def __init__(self, encode: Callable[[str], tuple[int, ...]]) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= WORDS_CACHED:
-            self.clear()
-        found = self.encode(word)
+        found = self.older.pop(word, None)
+        if found is None:
+            found = self.encode(word)
         if len(word) <= 64:
+            if len(self) >= WORDS_CACHED // 2:
+                self.older = dict(self)
+                self.clear()
             self[word] = found
         return found
 
 
+class _Follows(dict):
+    """Left token to the pairs known of it; forgets all when full, so a worker's memory is bounded."""
+
+    def __init__(self, compatible: Callable[[int, int], bool]) -> None:
+        super().__init__()
+        self.compatible, self.pairs = compatible, 0
+
+    def __missing__(self, left: int) -> _Pairs:
+        found = self[left] = _Pairs(self, left)
+        return found
+
+
+class _Pairs(dict):
+    """Right token to whether it may stand behind one left token."""
+
+    __slots__ = ("left", "of")
+
+    def __init__(self, of: _Follows, left: int) -> None:
+        super().__init__()
+        self.of, self.left = of, left
+
+    def __missing__(self, right: int) -> bool:
+        if self.of.pairs >= PAIRS_CACHED:
+            self.of.clear()
+            self.of.pairs = 0
+        self.of.pairs += 1
+        found = self[right] = self.of.compatible(self.left, right)
+        return found
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -319,5 +366,6 @@ def encode_documents(docs: DataFrame, path: str, project=None, ddl: str = "doc_i
 
 
 def digest(use: Encoder, ids: list[int], decoded: str) -> tuple[int, str, str]:
-    joined = " ".join(map(use.ids_as_text.__getitem__, ids))
+    shown = use.ids_as_text
+    joined = " ".join([shown[i] for i in ids])
     return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()

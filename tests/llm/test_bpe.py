@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import sys
+import time
 
 import public_tokenizers as P
 import pytest
@@ -90,3 +92,56 @@ def test_other_rules(tmp_path):
         assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, repr(text)
     with pytest.raises(ValueError):
         bpe.load_rules(changed(tmp_path, decoder={"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}))
+
+
+def test_tabled_cut(own):
+    """The cut with written-out classes is that of the regex module for whatever is in its tables."""
+    for i in range(0x10000):
+        c = chr(i)
+        text = f"a{c}{c}b 1{c}'s-{c} '{c}"
+        assert own.split_tabled(text) == own.split(text), hex(i)
+
+
+HIGH = ["a", "é", " ", "1", "'s", "\U0001f389", "\U0001d400", "\U00010400", "\U0001d7d8", "\U00020000", "\ufacf", "\ufad5", "\u0378", "\u2fef", "\U0001fbff", "\U000e0080", "\U000f0000", "\ue000", "\u212a", "\u1fef"]
+
+
+def test_high_and_unassigned(library, own):
+    """Above the tables, unassigned, and what only the normal form has above them (\ufacf)."""
+    r = random.Random(3)
+    for _ in range(4000):
+        text = "".join(r.choice(HIGH) for _ in range(r.randint(1, 12)))
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, ascii(text)
+    for i in range(0x80, sys.maxunicode + 1):
+        c = chr(i)
+        if bpe.unassigned(c):
+            assert bpe.UNSURE.search(c) and bpe.RARE.search(c)
+        else:
+            assert not bpe.UNSURE.search(c) and bool(bpe.RARE.search(c)) == (i > 0xFFFF)
+
+
+def test_full_caches(library, monkeypatch):
+    """What is met again and again is encoded once, however often the cache is full; ids don't depend on the caches."""
+    monkeypatch.setattr(bpe, "WORDS_CACHED", 8)
+    monkeypatch.setattr(bpe, "PAIRS_CACHED", 5)
+    own, asked = bpe.Encoder(bpe.load_rules(PATH)), []
+    encode = own.words.encode
+    own.words.encode = lambda word: asked.append(word) or encode(word)
+    for i in range(200):
+        text = f"hotword rare{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'xy'[i // 100]}"
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert asked.count("hotword") == 1 and len(asked) == 201
+    assert len(own.words) + len(own.words.older) <= 8
+
+
+def test_letters_beyond_ascii_cost_no_more(own):
+    """They were looked up one by one in a list of hundreds of ranges, which took most of the time."""
+
+    def seconds(text):
+        spent = []
+        for _ in range(5):
+            start = time.process_time()
+            own.encode(text)
+            spent.append(time.process_time() - start)
+        return min(spent)
+
+    assert seconds("mámá tétel " * 20_000) < 2.5 * seconds("mama tetel " * 20_000)
